@@ -274,9 +274,8 @@ def spread(rows: list[list[str]], spans: list[dict]) -> list[list[str | None]]:
             x += across
 
     def at(y: int, x: int) -> str | None:
-        if held.get((y, x), ("", 0))[0]:
-            return held[y, x][0]
+        own = held[y, x][0] if (y, x) in held else None
         above = range(y - 1, max(y - tallest, -1), -1)
-        return next((held[p, x][0] for p in above if (p, x) in held and p + held[p, x][1] > y), None)
+        return own or next((held[p, x][0] for p in above if (p, x) in held and p + held[p, x][1] > y), own)
 
     return [[at(y, x) for x in columns] for y in range(len(data))]

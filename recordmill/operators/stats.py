@@ -112,17 +112,21 @@ def quality_report(df: DataFrame) -> DataFrame:
     return _with_total(per).drop("is_total")
 
 
-def quality_issues(report: DataFrame) -> DataFrame:
-    """One message per category and counter of missing names or penalties."""
+def issue_messages(category: Column) -> Column:
+    """Messages of a report row: missing names, then missing penalties."""
     def issue(counter: str, suffix: str) -> Column:
-        text = F.concat(F.col("category"), F.lit(": "), F.col(counter).cast("string"), F.lit(suffix))
-        return F.when(F.col(counter) > 0, text)
+        return F.when(F.col(counter) > 0, F.concat(category, F.lit(": "), F.col(counter).cast("string"), F.lit(suffix)))
 
-    messages = F.array_compact(F.array(
+    return F.array_compact(F.array(
         issue("missing_name", fixed.MISSING_NAME_ISSUE),
         issue("missing_punishment", fixed.MISSING_PENALTY_ISSUE),
     ))
-    return report.where(F.col("category") != fixed.TOTAL_LABEL).select("category", F.explode(messages).alias("issue"))
+
+
+def quality_issues(report: DataFrame) -> DataFrame:
+    """One row per message, categories only."""
+    per = report.where(F.col("category") != fixed.TOTAL_LABEL)
+    return per.select("category", F.explode(issue_messages(F.col("category"))).alias("issue"))
 
 
 def kpis(df: DataFrame) -> DataFrame:

@@ -230,10 +230,10 @@ def select_table(tables: Column) -> Column:
 
 def select_single_table(tables: Column) -> Column:
     """The one table of a page: first of the first marked class present, else the first of all."""
-    firsts = [
-        F.get(F.filter(tables, lambda t, name=name: F.array_contains(F.split(t["classes"], r"\s+"), name)), F.lit(0))
-        for name in fixed.TABLE_CLASSES
-    ]
+    def first_of(name: str) -> Column:
+        return F.get(F.filter(tables, lambda t: F.array_contains(F.split(t["classes"], r"\s+"), name)), F.lit(0))
+
+    firsts = [first_of(name) for name in fixed.TABLE_CLASSES]
     return F.coalesce(*firsts, F.get(tables, F.lit(0)))
 
 

@@ -246,3 +246,43 @@ def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(
         F.col("ingest_pos").cast("string").alias("file"), F.posexplode(lines).alias("line_no", "line")
     )
+
+
+def multi_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per group of up to three notices: a plain table with a data row each.
+
+    Every fifth group also has a row too short for the header.
+    """
+    n = notices(spark, sf_dir)
+    cells = [F.col("ingest_pos").cast("string"), F.coalesce("entity_name", F.lit("")), F.col("punishment_content"),
+             F.col("decision_authority"), F.col("punishment_basis")]
+    row = _tag("tr", *[_tag("td", c) for c in cells])
+    grouped = n.groupBy(F.floor(F.col("ingest_pos") / GROUP_ROWS).alias("group_no")).agg(
+        F.array_sort(F.collect_list(F.struct("ingest_pos", row.alias("tr")))).alias("rows")
+    )
+    heads = _tag("tr", *[
+        _tag("th", F.lit(h)) for h in ("序号", "当事人名称", "行政处罚内容", "作出处罚决定的机关名称", "行政处罚依据")
+    ])
+    short = F.when(F.col("group_no") % 5 == 0, F.lit("<tr><td>合计</td><td>0</td></tr>")).otherwise(F.lit(""))
+    table_rows = F.array_join(F.transform("rows", lambda r: r["tr"]), "")
+    return grouped.select(
+        F.concat(F.lit(f"{SITE}/notice/"), F.col("group_no").cast("string")).alias("url"),
+        "group_no",
+        F.concat(F.lit("<table>"), heads, short, table_rows, F.lit("</table>")).alias("html"),
+    )
+
+
+def finding_text() -> Column:
+    """A sentence with a legal basis, from a notice's columns."""
+    return F.concat(
+        F.lit("依据"), F.col("decision_authority"), F.lit("办法第"), (F.col("ingest_pos") % 60 + 1).cast("string"),
+        F.lit("条。违反《"), F.col("entity_or_x"), F.lit("规定》。"),
+    )
+
+
+def penalty_text() -> Column:
+    """Two penalties in one text, from a notice's columns."""
+    return F.concat(
+        F.lit("对"), F.col("entity_or_x"), F.lit("罚款"), (F.col("ingest_pos") % 500).cast("string"), F.lit("万元。对甲"),
+        F.col("ingest_pos").cast("string"), F.lit("警告并罚款7万元。"),
+    )
