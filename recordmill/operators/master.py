@@ -47,10 +47,16 @@ def dedup(df: DataFrame, *order: str) -> DataFrame:
 
 
 def merge_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Existing rows plus the new ones whose key is not there yet; keyless new rows always come."""
-    taken = existing.where(~T.is_blank(F.col(key))).select(F.col(key).alias("_taken")).distinct()
-    fresh = new.join(taken, F.col(key) == F.col("_taken"), "left_anti")
-    return existing.unionByName(fresh, allowMissingColumns=True)
+    """Existing rows plus the new ones whose key is not there yet; keyless new rows always come.
+
+    Keyless rows stay out of the join, where they would all meet in one task.
+    """
+    keyless = T.is_blank(F.col(key))
+    taken = existing.where(~keyless).select(F.col(key).alias("_taken")).distinct()
+    fresh = new.where(~keyless).join(taken, F.col(key) == F.col("_taken"), "left_anti")
+    return existing.unionByName(new.where(keyless), allowMissingColumns=True).unionByName(
+        fresh, allowMissingColumns=True
+    )
 
 
 def master_and_batch(master: DataFrame, batch: DataFrame) -> DataFrame:

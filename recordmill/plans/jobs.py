@@ -14,6 +14,7 @@ from recordmill.operators import reshape as R
 from recordmill.operators import select as C
 from recordmill.operators import stats as S
 from recordmill.operators import tables as B
+from recordmill.session import stage
 from recordmill.sources import store as A
 
 
@@ -24,12 +25,16 @@ def collect_records(
     """Raw records of the notices a run selects.
 
     List pages ``(url, category, page, html)``; detail pages ``(url, html)``. Caps and windows
-    come before the join, and detail pages are cut to the listed addresses before any markup
-    is parsed.
+    come before the join. A run that does not take everything first cuts the detail pages to its
+    addresses, so only their markup is parsed; the address list is staged, and Spark broadcasts
+    it when its real size allows. A full run parses every page where it lies.
     """
-    items = C.select_for_run(L.extract_links(list_pages, site), mode, today, categories)
-    wanted = items.select(F.col("detail_url").alias("url")).distinct()
-    pages = detail_pages.join(wanted, "url", "left_semi")
+    items = stage(C.select_for_run(L.extract_links(list_pages, site), mode, today, categories), "items")
+    takes_all = fixed.RUN_CAPS[mode] == (None, None) and C.run_window(mode, today)[0] is None
+    if takes_all and len(C.resolve_categories(categories)) == len(fixed.CATEGORIES):
+        pages = detail_pages
+    else:
+        pages = detail_pages.join(items.select(F.col("detail_url").alias("url")), "url", "left_semi")
     nested = B.extract_nested(pages)
     records = B.expand_multi_record(nested, F.lit(crawl_time), F.lit(""))
     joined = B.join_list_detail(items, records)

@@ -71,7 +71,7 @@ cells AS (
 
 _OLD_NEW = _N + """,
 both_sides AS (
-  SELECT 0 AS source, * FROM t WHERE k % 3 <> 0 UNION ALL SELECT 1, * FROM t WHERE k % 2 = 0),
+  SELECT 0 AS source, * FROM t WHERE day < DATE '1999-01-01' UNION ALL SELECT 1, * FROM t WHERE day >= DATE '1997-01-01'),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY entity, doc_no, nation ORDER BY source, k) AS rn FROM both_sides)"""
 
@@ -100,8 +100,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'stats', count(DISTINCT category) + 3 FROM t"""),
     "a4_write_by_category": _with(_N, """
         SELECT c AS category, count(k) AS records, max(k) AS last_pos
-        FROM (SELECT unnest(['总局机关', '监管局本级', '监管分局本级']) AS c)
-        LEFT JOIN t ON t.category = c AND c <> '监管局本级' GROUP BY c"""),
+        FROM (SELECT unnest(['总局机关', '监管局本级', '监管分局本级', '其他']) AS c)
+        LEFT JOIN t ON t.category = c GROUP BY c"""),
     "a5_export_text": _with(_N, """
         SELECT title AS file_key,
           '序号' || chr(9) || seq || chr(10) || '当事人名称' || chr(9) || entity || chr(10) ||
@@ -111,7 +111,7 @@ ORACLES: dict[str, str] = {
           '详情链接' || chr(9) || link || chr(10) AS body
         FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY region DESC, k DESC) AS rn FROM t) WHERE rn = 1"""),
     "a6_snapshot": _with(_N, """
-        SELECT category, count(*) AS records, min(k) AS first_no FROM t WHERE k % 2 = 1 GROUP BY category"""),
+        SELECT category, count(*) AS records, min(k) AS first_no FROM t GROUP BY category"""),
     "a7_labelled_lines": _with(_N, """
         SELECT CAST(k AS VARCHAR) AS file, 'N' || k AS doc_no, entity, nation AS authority, '' AS day FROM t"""),
     "a8_preview": _with(_N, """
@@ -299,8 +299,8 @@ ORACLES: dict[str, str] = {
         SELECT min(k) AS ingest_pos, entity AS entity_name, violation AS violation_behavior, content AS punishment_content
         FROM t GROUP BY entity, violation, content"""),
     "e11_merge_new": _with(_N, """
-        SELECT k AS ingest_pos, seq AS source_seq, 'old' AS side FROM t WHERE k % 3 <> 0
-        UNION ALL SELECT k, seq, 'new' FROM t WHERE k % 2 = 0 AND (k % 3 = 0 OR seq = '')"""),
+        SELECT k AS ingest_pos, seq AS source_seq, 'old' AS side FROM t WHERE day < DATE '1999-01-01'
+        UNION ALL SELECT k, seq, 'new' FROM t WHERE day >= DATE '1997-01-01' AND (day >= DATE '1999-01-01' OR seq = '')"""),
     "e12_upsert_master": _with(_OLD_NEW, """
         SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, day DESC, source, k) AS seq_no, title, entity AS entity_name,
           violation AS violation_behavior, basis AS punishment_basis, content AS punishment_content,
@@ -313,9 +313,9 @@ ORACLES: dict[str, str] = {
                 count(*) FILTER (WHERE rn = 1 AND source = 1) AS inserted, count(*) AS total FROM ranked)"""),
 
     "f1_summary_by_category": _with(_N, """
-        SELECT c AS category, count(k) AS records FROM (SELECT unnest(['总局机关', '监管局本级', '监管分局本级']) AS c)
-        LEFT JOIN t ON t.category = c AND region <> 2 GROUP BY c
-        UNION ALL SELECT '总计', count(*) FROM t WHERE region <> 2"""),
+        SELECT c AS category, count(k) AS records FROM (SELECT unnest(['总局机关', '监管局本级', '监管分局本级', '其他']) AS c)
+        LEFT JOIN t ON t.category = c GROUP BY c
+        UNION ALL SELECT '总计', count(*) FROM t"""),
     "f2_master_stats": _with(_N, """
         SELECT 1 AS rank, category AS metric, count(*) AS records, '2001-08-01 12:00:00' AS note, CAST(NULL AS VARCHAR) AS pct
         FROM t GROUP BY category

@@ -49,12 +49,14 @@ def _clean_notices(spark, sf) -> DataFrame:
     return R.fill_decision_number(n)
 
 
-def _master_old(spark, sf) -> DataFrame:
-    return _clean_notices(spark, sf).where(F.col("ingest_pos") % 3 != 0)
+def _stored(df: DataFrame) -> DataFrame:
+    """What a master of the end of 1998 holds."""
+    return df.where(F.col("order_day") < F.lit(date(1999, 1, 1)))
 
 
-def _batch_new(spark, sf) -> DataFrame:
-    return _clean_notices(spark, sf).where(F.col("ingest_pos") % 2 == 0)
+def _arriving(df: DataFrame) -> DataFrame:
+    """A later collection from 1997 on, overlapping the master by two years."""
+    return df.where(F.col("order_day") >= F.lit(date(1997, 1, 1)))
 
 
 def _details(spark, sf) -> DataFrame:
@@ -94,8 +96,7 @@ def a3_write_report(spark, sf):
 @query
 def a4_write_by_category(spark, sf):
     root = scratch_path(spark, "sheets")
-    kept = _clean_notices(spark, sf).where(F.col("category") != fixed.CATEGORIES[1])
-    A.write_by_category(kept, root)
+    A.write_by_category(_clean_notices(spark, sf), root, (*fixed.CATEGORIES, "其他"))
     rows = spark.read.parquet(f"{root}/rows").groupBy("category").agg(F.max("ingest_pos").alias("last_pos"))
     return spark.read.parquet(f"{root}/counts").join(rows, "category", "left")
 
@@ -108,9 +109,9 @@ def a5_export_text(spark, sf):
 @query
 def a6_snapshot(spark, sf):
     root = scratch_path(spark, "snapshots")
-    n = R.ledger_projection(_clean_notices(spark, sf).withColumn("seq_no", F.col("ingest_pos")))
-    A.write_snapshot(n.where("seq_no % 2 = 0"), root, datetime(2025, 1, 1))
-    A.write_snapshot(n.where("seq_no % 2 = 1"), root, datetime(2025, 1, 2))
+    n = _clean_notices(spark, sf).withColumn("seq_no", F.col("ingest_pos"))
+    A.write_snapshot(R.ledger_projection(_stored(n)), root, datetime(2025, 1, 1))
+    A.write_snapshot(R.ledger_projection(n), root, datetime(2025, 1, 2))
     return A.latest_snapshot(spark, root).groupBy("category").agg(
         F.count("*").alias("records"), F.min("seq_no").alias("first_no")
     )
@@ -202,15 +203,17 @@ def b8_classify_layout(spark, sf):
 
 @query
 def b9_map_header(spark, sf):
-    cells = B.explode_cells(X.detail_html(spark, sf)).where("table_no = 2")
-    heads = cells.where((F.col("row_no") == 1) | ((F.col("ingest_pos") % 3 == 1) & (F.col("cell_no") == 1)))
-    counted = heads.groupBy(F.col("text").alias("header")).agg(F.count("*").alias("cells"))
+    table = F.col("table")
+    labels = F.transform(table["rows"], lambda r: F.get(r, F.lit(0)))
+    heads = F.when(B.classify_layout(table) == "key_value", labels).otherwise(B.header(table))
+    named = _chosen_table(spark, sf).select(F.explode(heads).alias("header"))
+    counted = named.groupBy("header").agg(F.count("*").alias("cells"))
     return counted.select(
         "header", "cells",
         B.map_header(F.col("header")).alias("field"),
         B.map_header(F.col("header"), compat=True).alias("compat_field"),
         B.map_label(F.col("header")).alias("label_field"),
-    ).where(F.col("header").rlike("^[一-龥]+$"))
+    )
 
 
 def _record_columns(df: DataFrame, *keep: str) -> DataFrame:
@@ -223,7 +226,8 @@ def _record_columns(df: DataFrame, *keep: str) -> DataFrame:
 
 @query
 def b10_parse_horizontal_single(spark, sf):
-    tables = _chosen_table(spark, sf).where("ingest_pos % 3 = 0")
+    horizontal = B.classify_layout(F.col("table")) == "horizontal"
+    tables = _chosen_table(spark, sf).where(horizontal & (F.size("table.rows") == 2))
     rows = B.with_horizontal(tables, "table", "records").select("ingest_pos", F.explode_outer("records").alias("r"))
     return _record_columns(rows.select("ingest_pos", F.col("r.fields").alias("fields")), "ingest_pos")
 
@@ -258,7 +262,7 @@ def b13_expand_spans(spark, sf):
 
 @query
 def b14_parse_key_value(spark, sf):
-    tables = _chosen_table(spark, sf).where("ingest_pos % 3 = 1")
+    tables = _chosen_table(spark, sf).where(B.classify_layout(F.col("table")) == "key_value")
     flat = tables.select("ingest_pos", B.parse_key_value(F.col("table")).alias("fields"))
     return _record_columns(flat, "ingest_pos", "fields").select(
         "ingest_pos", "entity", "violation", "content", "authority",
@@ -538,20 +542,20 @@ def e10_dedup_fallback(spark, sf):
 
 @query
 def e11_merge_new(spark, sf):
-    n = X.notices(spark, sf).select("ingest_pos", "source_seq")
-    old = n.where(F.col("ingest_pos") % 3 != 0).withColumn("side", F.lit("old"))
-    new = n.where(F.col("ingest_pos") % 2 == 0).withColumn("side", F.lit("new"))
-    return M.merge_new(old, new, "source_seq")
+    n = X.notices(spark, sf).select("ingest_pos", "source_seq", "order_day")
+    old = _stored(n).withColumn("side", F.lit("old"))
+    new = _arriving(n).withColumn("side", F.lit("new"))
+    return M.merge_new(old, new, "source_seq").drop("order_day")
 
 
 @query
 def e12_upsert_master(spark, sf):
-    return M.upsert_master(_master_old(spark, sf), _batch_new(spark, sf))
+    return M.upsert_master(_stored(_clean_notices(spark, sf)), _arriving(_clean_notices(spark, sf)))
 
 
 @query
 def e13_upsert_counts(spark, sf):
-    return M.upsert_counts(_master_old(spark, sf), _batch_new(spark, sf))
+    return M.upsert_counts(_stored(_clean_notices(spark, sf)), _arriving(_clean_notices(spark, sf)))
 
 
 # --- F: aggregates --------------------------------------------------------------------------
@@ -559,8 +563,7 @@ def e13_upsert_counts(spark, sf):
 
 @query
 def f1_summary_by_category(spark, sf):
-    n = X.notices(spark, sf).where(F.col("category") != fixed.CATEGORIES[2])
-    return S.summary_by_category(n).drop("position")
+    return S.summary_by_category(X.notices(spark, sf), (*fixed.CATEGORIES, "其他")).drop("position")
 
 
 @query
