@@ -1,178 +1,311 @@
-"""One pass over one page's markup: its tables, links, dates and labelled times.
+"""The parts of one page's markup: table cells, labelled times, links and dates.
 
-This is the only per-row Python. Everything is linear in the page; what the parts mean is
-decided later, in Spark.
+This is the only per-row Python. Each part is one linear pass that looks only at the tags it
+needs; what the parts mean is decided later, in Spark.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import lru_cache
 from html import unescape
 from itertools import count, product
 
 from recordmill import fixed
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/)?(?P<name>[a-z][a-z0-9:_-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.I | re.S,
-)
+_ATTRS = r"[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*"
+_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
+_TAG = re.compile(rf"<(/?)([a-z][a-z0-9:_-]*)({_ATTRS})>", re.I)
+_GRID_TAG = re.compile(rf"<(/?)(table|t[rdh])\b({_ATTRS})>", re.I)
+_OTHER_TAG = re.compile(rf"</?(?!(?:table|t[rdh])\b)[a-z]{_ATTRS}>", re.I)
+_TIMED_TAG = re.compile(r"<([a-z][a-z0-9:_-]*)\s([^<>]*(?:time|ng-bind)[^<>]*)>", re.I)
 _ATTR = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_DAY = re.compile(f"(?=({fixed.ISO_DAY}))")
-_DAY_LEN = 10
-_YEAR = re.compile(r"\d{4}")
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_INLINE = frozenset("a abbr b em font i label mark o:p s small span strong sub sup u".split())
-_TELLING = frozenset(("a", "table", "td", "th"))
-_NO_ATTRS: dict[str, str] = {}
-_DATED = frozenset(("td", "span", "div"))
 _SPAN_MAX = {"rowspan": 65534, "colspan": 1000}  # limits of the HTML standard
 
 
+def visible(markup: str) -> str:
+    """Markup without comments, declarations, scripts and styles."""
+    return _HIDDEN.sub("", markup)
+
+
 def clean(text: str) -> str:
-    text = " ".join(text.split())
+    text = " ".join((unescape(text) if "&" in text else text).split())
     for entity, char in fixed.ENTITIES:
         text = text.replace(entity, char)
     return text.strip()
 
 
-class Element:
-    """An element's reach over the page text: chunk numbers and rendered offsets."""
+def _attributes(raw: str) -> dict[str, str]:
+    return {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(raw)} if "=" in raw else {}
+
+
+# --- tables ---------------------------------------------------------------------------------
+
+_RANK = {"table": 0, "tr": 1, "td": 2, "th": 2}
+
+
+class _Box:
+    """A table, row or cell: its attributes, text pieces [first, last) and parts."""
+
+    __slots__ = ("rank", "attrs", "first", "last", "parts")
+
+    def __init__(self, rank: int, attrs: str, first: int):
+        self.rank, self.attrs, self.first, self.last = rank, attrs, first, None
+        self.parts: list[_Box] = []
+
+
+def _boxes(shown: str) -> tuple[list[str], list[_Box]]:
+    """Text pieces and tables in page order. Boxes inside a nested table count for the outer one too.
+
+    A new cell ends the open cell of its row and a new row that of its table.
+    """
+    pieces: list[str] = []
+    tables: list[_Box] = []
+    stack: list[_Box] = []
+
+    def end(rank: int) -> None:
+        while stack and stack[-1].rank >= rank:
+            box = stack.pop()
+            box.last = len(pieces)
+            if box.rank == rank:
+                break
+
+    tokens = _GRID_TAG.split(_OTHER_TAG.sub("", shown))
+    pieces.append(tokens[0])
+    for closing, name, attrs, text in zip(*(iter(tokens[1:]),) * 4):
+        rank = _RANK[name.lower()]
+        if closing or rank:
+            end(rank)
+        if not closing:
+            box = _Box(rank, attrs, len(pieces))
+            if rank == 0:
+                tables.append(box)
+            for outer in stack:
+                if outer.rank == rank - 1:
+                    outer.parts.append(box)
+            stack.append(box)
+        pieces.append(text)
+    while stack:
+        end(stack[-1].rank)
+    return pieces, tables
+
+
+def table_rows(shown: str, candidates_only: bool = False) -> list[dict]:
+    """Cell texts row by row; only merged cells are listed in ``spans`` (numbered from 1)."""
+    pieces, found = _boxes(shown)
+    tables = [(no, t, _attributes(t.attrs).get("class", "")) for no, t in enumerate(found, 1)]
+    marked = {no for no, _, classes in tables if not set(fixed.TABLE_CLASSES).isdisjoint(classes.split())}
+
+    def text(box: _Box) -> str:
+        return clean("".join(pieces[box.first:box.last]))
+
+    out = []
+    for no, table, classes in tables:
+        if candidates_only and marked and no not in marked:
+            continue
+        rows = [[text(cell) for cell in row.parts] for row in table.parts]
+        spans = [
+            {"row_no": y, "cell_no": x, "rowspan": size[0], "colspan": size[1]}
+            for y, row in enumerate(table.parts, 1)
+            for x, cell in enumerate(row.parts, 1)
+            if "span" in cell.attrs.lower() and (size := _spans(cell.attrs)) != (1, 1)
+        ]
+        merged = len(rows) > 2 and any(s["row_no"] > 1 for s in spans)
+        out.append({
+            "table_no": no,
+            "marked": no in marked,
+            "classes": classes,
+            "text": text(table),
+            "rows": rows,
+            "spans": spans,
+            "grid": spread(rows, spans) if merged else None,
+        })
+    return out
+
+
+def _spans(raw: str) -> tuple[int, int]:
+    attrs = _attributes(raw)
+    given = [(attrs.get(k, "").strip(), most) for k, most in _SPAN_MAX.items()]
+    down, across = [min(max(int(v), 1), most) if v.isascii() and v.isdigit() else 1 for v, most in given]
+    return down, across
+
+
+def spread(rows: list[list[str]], spans: list[dict]) -> list[list[str | None]]:
+    """Text at every position below the header row, cut at the header's width.
+
+    A position left empty takes the text of the nearest one above whose span, counted from
+    there, reaches it.
+    """
+    header, *data = rows
+    sizes = {(s["row_no"] - 2, s["cell_no"] - 1): (s["rowspan"], s["colspan"]) for s in spans}
+    tallest = max(down for down, _ in sizes.values())
+    columns = range(len(header))
+    held: dict[tuple[int, int], tuple[str, int]] = {}
+    for y, cells in enumerate(data):
+        x = 0
+        for i, text in enumerate(cells):
+            down, across = sizes.get((y, i), (1, 1))
+            x = next(at for at in count(x) if (y, at) not in held)
+            reach = range(y, min(y + down, len(data))), range(x, min(x + across, len(header)))
+            held.update(dict.fromkeys(product(*reach), (text, down)))
+            x += across
+
+    def at(y: int, x: int) -> str | None:
+        own = held[y, x][0] if (y, x) in held else None
+        above = range(y - 1, max(y - tallest, -1), -1)
+        return own or next((held[p, x][0] for p in above if (p, x) in held and p + held[p, x][1] > y), own)
+
+    return [[at(y, x) for x in columns] for y in range(len(data))]
+
+
+# --- labelled times -------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=256)
+def _tags_of(names: frozenset) -> re.Pattern:
+    return re.compile(rf"<(/?)({'|'.join(map(re.escape, sorted(names)))})(?![\w:-])({_ATTRS})>", re.I)
 
-    __slots__ = ("name", "first", "last", "start", "stop", "own_year", "attrs", "parts", "order")
 
-    def __init__(self, name, first, start, attrs, order):
-        self.name, self.first, self.start, self.attrs, self.order = name, first, start, attrs, order
-        self.last = self.stop = None
+def times(shown: str) -> list[dict]:
+    """Texts of elements that look like a time label, with how telling each looks (0 is best)."""
+    names = frozenset(m[1].lower() for m in _TIMED_TAG.finditer(shown))
+    if not names:
+        return []
+    found: list[list] = []
+    stack: list[tuple[str, int | None]] = []
+    for tag in _tags_of(names).finditer(shown):
+        name = tag[2].lower()
+        if not tag[1]:
+            rank = _time_rank(name, _attributes(tag[3]))
+            stack.append((name, None if rank is None else len(found)))
+            if rank is not None:
+                found.append([rank, tag.end(), len(shown)])
+        elif stack and stack[-1][0] == name:
+            _, at = stack.pop()
+            if at is not None:
+                found[at][2] = tag.start()
+    return [{"rank": rank, "text": clean(_TAG.sub("", shown[start:stop]))} for rank, start, stop in found]
+
+
+def _time_rank(name: str, attrs: dict) -> int | None:
+    classes = attrs.get("class", "")
+    words = classes.split()
+    if name == "span" and "ng-binding" in words:
+        return 0
+    if name == "span" and "time" in attrs.get("ng-bind", ""):
+        return 1
+    for rank, word in enumerate(("publish-time", "pub-time", "time"), 2):
+        if word in words:
+            return rank
+    return 5 if "time" in classes else None
+
+
+# --- links and dates ------------------------------------------------------------------------
+
+_DAY = re.compile(f"(?=({fixed.ISO_DAY}))")
+_DAY_LEN = 10
+_YEAR = re.compile(r"\d{4}")
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_INLINE = frozenset("a abbr b em font i label mark o:p s small span strong sub sup u".split())
+_DATED = frozenset(("td", "span", "div"))
+
+
+class _Element:
+    """An element's reach over the text as shown, with line breaks between blocks."""
+
+    __slots__ = ("name", "rank", "start", "stop", "own_year", "cells")
+
+    def __init__(self, name: str, start: int):
+        self.name, self.rank, self.start, self.stop = name, _RANK.get(name), start, None
         self.own_year = False
-        self.parts: list[Element] = []  # rows of a table, cells of a row
+        self.cells: list[_Element] = []  # of a row
 
 
-class Page:
-    def __init__(self, markup: str):
-        self.chunks: list[str] = []
-        self.rendered: list[str] = []
+class ListPage:
+    """Links of a page and the dates on and around them."""
+
+    def __init__(self, shown: str):
+        self.lines: list[str] = []
         self.size = 0
-        self.open: list[Element] = []
-        self.depth: dict[str, int] = {}
-        self.tables: list[Element] = []
-        self.links: list[tuple[Element, list[Element], Element | None]] = []
-        self.dated: list[Element] = []
-        self.timed: list[tuple[int, Element]] = []
-        self._nest: dict[str, list[Element]] = {"table": [], "tr": [], "cell": []}
-        self._order = count()
+        self.open: list[_Element] = []
+        self.links: list[tuple[_Element, str, list[_Element], _Element | None]] = []
+        self.dated: list[_Element] = []
         at = 0
-        for token in _TOKEN.finditer(markup):
-            self._text(markup[at:token.start()])
-            at = token.end()
-            if name := token["name"]:
-                if token["end"]:
-                    self._close(name.lower())
-                else:
-                    self._open(name.lower(), token["attrs"])
-        self._text(markup[at:])
+        for tag in _TAG.finditer(shown):
+            self._text(shown[at:tag.start()])
+            at = tag.end()
+            closing, name, attrs = tag.groups()
+            if closing:
+                self._close(name.lower())
+            else:
+                self._start(name.lower(), attrs)
+        self._text(shown[at:])
         while self.open:
             self._pop()
-        page_text = "".join(self.rendered)
-        self._days = [(m.start(), m[1]) for m in _DAY.finditer(page_text)]
-        self._day_starts = [start for start, _ in self._days]
-
-    # --- building -------------------------------------------------------------------------
+        self.text = "".join(self.lines)
+        self._days = [(m.start(), m[1]) for m in _DAY.finditer(self.text)]
+        self._starts = [start for start, _ in self._days]
 
     def _text(self, raw: str) -> None:
-        if not raw:
-            return
-        text = unescape(raw) if "&" in raw else raw
-        self.chunks.append(text)
-        self.rendered.append(text)
+        if raw:
+            text = unescape(raw) if "&" in raw else raw
+            self._add(text)
+            if self.open and _YEAR.search(text):
+                self.open[-1].own_year = True
+
+    def _add(self, text: str) -> None:
+        self.lines.append(text)
         self.size += len(text)
-        if self.open and _YEAR.search(text):
-            self.open[-1].own_year = True
 
-    def _gap(self, name: str) -> None:
+    def _start(self, name: str, attrs: str) -> None:
+        rank = _RANK.get(name)
+        if rank:
+            self._end_rank(rank)
         if name not in _INLINE:
-            self.rendered.append("\n")
-            self.size += 1
-
-    def _open(self, name: str, raw_attrs: str) -> None:
+            self._add("\n")
         if name in _VOID:
-            self._gap(name)
             return
-        kind = "cell" if name in ("td", "th") else name
-        if kind in ("cell", "tr"):
-            self._end_implied(kind)
-        self._gap(name)
-        told = name in _TELLING or "time" in raw_attrs or "ng-bind" in raw_attrs
-        attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(raw_attrs)} if told else _NO_ATTRS
-        element = Element(name, len(self.chunks), self.size, attrs, next(self._order))
-        if name == "table":
-            self.tables.append(element)
-        elif name == "tr":
-            for table in self._nest["table"]:
-                table.parts.append(element)
-        elif kind == "cell":
-            for row in self._nest["tr"]:
-                row.parts.append(element)
-        elif name == "a" and attrs.get("href"):
-            row = self._nest["tr"][-1] if self._nest["tr"] else None
-            self.links.append((element, self.open[: -fixed.NEAR_LEVELS - 1 : -1], row))
+        element = _Element(name, self.size)
+        row = next((e for e in reversed(self.open) if e.rank == 1), None) if name in ("a", "td") else None
+        if name == "td" and row:
+            row.cells.append(element)
         if name in _DATED:
             self.dated.append(element)
-        rank = _time_rank(name, attrs) if attrs else None
-        if rank is not None:
-            self.timed.append((rank, element))
+        if name == "a" and (href := _attributes(attrs).get("href", "").strip()):
+            self.links.append((element, href, self.open[: -fixed.NEAR_LEVELS - 1 : -1], row))
         self.open.append(element)
-        self.depth[name] = self.depth.get(name, 0) + 1
-        if kind in self._nest:
-            self._nest[kind].append(element)
-
-    def _end_implied(self, kind: str) -> None:
-        """A new cell ends the open one of its row, a new row the open one of its table."""
-        table = self._nest["table"][-1].order if self._nest["table"] else -1
-        row = self._nest["tr"][-1].order if self._nest["tr"] else -1
-        outer = max(table, row) if kind == "cell" else table
-        inner = self._nest[kind]
-        if inner and inner[-1].order > outer:
-            ended = inner[-1]
-            while self._pop() is not ended:
+
+    def _end_rank(self, rank: int) -> None:
+        """End the open cell or row this one replaces, within the innermost table."""
+        last = next((e for e in reversed(self.open) if e.rank is not None and e.rank <= rank), None)
+        if last and last.rank == rank:
+            while self._pop() is not last:
                 pass
 
     def _close(self, name: str) -> None:
-        if not self.depth.get(name):
-            return
-        # An inner end tag never closes the cell or table around it.
-        if name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
-            fence = max((n[-1].order for n in self._nest.values() if n), default=-1)
-            depth = len(self.open)
-            while depth and self.open[depth - 1].name != name:
-                depth -= 1
-            if self.open[depth - 1].order < fence:
+        """End the named element; the end tag of an inner one never ends a cell, row or table around."""
+        rank = _RANK.get(name, 3)
+        for i in range(len(self.open) - 1, -1, -1):
+            element = self.open[i]
+            if element.name == name:
+                while len(self.open) > i:
+                    self._pop()
+                return
+            if element.rank is not None and element.rank < rank:
                 return
-        while self._pop().name != name:
-            pass
 
-    def _pop(self) -> Element:
+    def _pop(self) -> _Element:
         element = self.open.pop()
-        element.last, element.stop = len(self.chunks), self.size
-        self.depth[element.name] -= 1
-        kind = "cell" if element.name in ("td", "th") else element.name
-        if kind in self._nest:
-            self._nest[kind].pop()
-        self._gap(element.name)
+        element.stop = self.size
+        if element.name not in _INLINE:
+            self._add("\n")
         return element
 
-    # --- reading --------------------------------------------------------------------------
-
-    def text(self, e: Element) -> str:
-        return clean("".join(self.chunks[e.first:e.last]))
-
-    def first_day(self, e: Element | None) -> str | None:
+    def first_day(self, e: _Element | None) -> str | None:
         if e is None:
             return None
-        i = bisect_left(self._day_starts, e.start)
+        i = bisect_left(self._starts, e.start)
         if i < len(self._days) and self._days[i][0] + _DAY_LEN <= e.stop:
             return self._days[i][1]
         return None
@@ -180,15 +313,14 @@ class Page:
     def link_rows(self) -> list[dict]:
         out = []
         cell_days: dict[int, str | None] = {}
-        for pos, (a, around, row) in enumerate(self.links, 1):
-            if row and row.order not in cell_days:
-                cells = (c for c in row.parts if c.name == "td")
-                cell_days[row.order] = next((d for d in map(self.first_day, cells) if d), None)
+        for pos, (a, href, around, row) in enumerate(self.links, 1):
+            if row and id(row) not in cell_days:
+                cell_days[id(row)] = next((d for d in map(self.first_day, row.cells) if d), None)
             out.append({
                 "pos": pos,
-                "href": a.attrs["href"].strip(),
-                "text": self.text(a),
-                "cell_day": cell_days[row.order] if row else None,
+                "href": href,
+                "text": clean(self.text[a.start:a.stop]),
+                "cell_day": cell_days[id(row)] if row else None,
                 "row_day": self.first_day(row),
                 "near_day": next((d for d in map(self.first_day, around) if d), None),
             })
@@ -198,84 +330,15 @@ class Page:
         """First date of each cell, span or division that itself holds a four-digit number."""
         return [d for e in self.dated if e.own_year and (d := self.first_day(e))]
 
-    def times(self) -> list[dict]:
-        return [{"rank": rank, "text": self.text(e)} for rank, e in self.timed]
 
-    def table_rows(self, candidates_only: bool = False) -> list[dict]:
-        """Cell texts row by row; only merged cells are listed in ``spans`` (numbered from 1)."""
-        tables = list(enumerate(self.tables, 1))
-        marked = [(no, t) for no, t in tables if _is_marked(t)]
-        out = []
-        for no, table in (marked or tables) if candidates_only else tables:
-            rows = [[self.text(c) for c in r.parts] for r in table.parts]
-            spans = [
-                {"row_no": y, "cell_no": x, "rowspan": size[0], "colspan": size[1]}
-                for y, r in enumerate(table.parts, 1)
-                for x, c in enumerate(r.parts, 1)
-                if (size := _spans(c)) != (1, 1)
-            ]
-            merged = len(rows) > 2 and any(s["row_no"] > 1 for s in spans)
-            out.append({
-                "table_no": no,
-                "marked": _is_marked(table),
-                "classes": table.attrs.get("class", ""),
-                "text": self.text(table),
-                "rows": rows,
-                "spans": spans,
-                "grid": spread(rows, spans) if merged else None,
-            })
-        return out
-
-
-def _is_marked(table: Element) -> bool:
-    return not set(fixed.TABLE_CLASSES).isdisjoint(table.attrs.get("class", "").split())
-
-
-def _spans(cell: Element) -> tuple[int, int]:
-    if not cell.attrs:
-        return 1, 1
-    given = [(cell.attrs.get(k, "").strip(), most) for k, most in _SPAN_MAX.items()]
-    down, across = [min(max(int(v), 1), most) if v.isascii() and v.isdigit() else 1 for v, most in given]
-    return down, across
-
-
-def _time_rank(name: str, attrs: dict) -> int | None:
-    """How telling an element is as a publish-time label; lower is tried first."""
-    classes = attrs.get("class", "")
-    words = classes.split()
-    if name == "span" and "ng-binding" in words:
-        return 0
-    if name == "span" and "time" in attrs.get("ng-bind", ""):
-        return 1
-    for rank, word in enumerate(("publish-time", "pub-time", "time"), 2):
-        if word in words:
-            return rank
-    return 5 if "time" in classes else None
-
-
-def spread(rows: list[list[str]], spans: list[dict]) -> list[list[str | None]]:
-    """Text at every position below the header row, cut at the header's width.
-
-    A position left empty takes the text of the nearest one above whose span, counted from
-    there, reaches it.
-    """
-    header, *data = rows
-    sizes = {(s["row_no"] - 2, s["cell_no"] - 1): (s["rowspan"], s["colspan"]) for s in spans}
-    tallest = max(down for down, _ in sizes.values())
-    columns = range(len(header))
-    held: dict[tuple[int, int], tuple[str, int]] = {}
-    for y, cells in enumerate(data):
-        x = 0
-        for i, text in enumerate(cells):
-            down, across = sizes.get((y, i), (1, 1))
-            x = next(at for at in count(x) if (y, at) not in held)
-            reach = range(y, min(y + down, len(data))), range(x, min(x + across, len(header)))
-            held.update(dict.fromkeys(product(*reach), (text, down)))
-            x += across
-
-    def at(y: int, x: int) -> str | None:
-        own = held[y, x][0] if (y, x) in held else None
-        above = range(y - 1, max(y - tallest, -1), -1)
-        return own or next((held[p, x][0] for p in above if (p, x) in held and p + held[p, x][1] > y), own)
-
-    return [[at(y, x) for x in columns] for y in range(len(data))]
+def page_parts(markup: str, parts: tuple[str, ...], candidates_only: bool) -> dict[str, list]:
+    """The asked parts of a page."""
+    shown = visible(markup)
+    listing = ListPage(shown) if "links" in parts or "days" in parts else None
+    build = {
+        "links": lambda: listing.link_rows(),
+        "days": lambda: listing.days(),
+        "times": lambda: times(shown),
+        "tables": lambda: table_rows(shown, candidates_only),
+    }
+    return {part: build[part]() for part in parts}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recordmill import fixed
 from recordmill.functions import text as T
 from recordmill.operators.reshape import ledger_projection, renumber
+from recordmill.session import stage
 
 PRIMARY_KEY = ("entity_name", "decision_authority", "decision_document_number")
 FALLBACK_KEY = ("entity_name", "violation_behavior", "punishment_content")
@@ -80,13 +81,13 @@ def new_records(master: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows of the batch the master lacks, for appending.
 
     A master kept by this rule has no repeats, so appending gives what the full upsert gives.
-    Only the master's key columns are read, and first cut to keys of the batch: Spark broadcasts
-    those while they are small, and the master is not shuffled then.
+    Only the master's key columns are read, and first cut to keys of the batch. The batch's own
+    first rows are staged: used twice, computed once, and of a known size, so Spark broadcasts
+    them while they are small, and the master is not shuffled then.
     """
     key = list(PRIMARY_KEY)
-    fresh = first_wins(batch, key, "ingest_pos")
     values = {f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in key}
-    named = fresh.withColumns(values)
+    named = stage(first_wins(batch, key, "ingest_pos"), "batch").withColumns(values)
     wanted = named.select(*values)
     taken = master.select(*[v.alias(n) for n, v in values.items()]).join(wanted, list(values), "left_semi")
     return named.join(taken, list(values), "left_anti").drop(*values)

@@ -17,7 +17,7 @@ from recordmill.operators import select as C
 from recordmill.operators import stats as S
 from recordmill.operators import tables as B
 from recordmill.plans import jobs
-from recordmill.session import prepare, scratch_path
+from recordmill.session import prepare, scratch_path, widen
 from recordmill.sources import fixtures as X
 from recordmill.sources import store as A
 from recordmill.sources.pages import read_parts, scan_pages
@@ -143,7 +143,7 @@ def b1_extract_links(spark, sf):
 
 @query
 def b1_extract_links_pages(spark, sf):
-    pages = scan_pages(spark, f"{sf}/pages.parquet")
+    pages = widen(scan_pages(spark, f"{sf}/pages.parquet"))
     chosen = L.extract_links(pages, X.SITE, keywords=("the", "un"), href_part="/d")
     return chosen.groupBy("url").agg(F.count("*").alias("links"), F.max("detail_url").alias("last_url"))
 
@@ -394,7 +394,7 @@ def d1_normalize_fields(spark, sf):
 
 @query
 def d2_clean_text(spark, sf):
-    docs = X.table(spark, sf, "documents")
+    docs = widen(X.table(spark, sf, "documents"))
     clean = T.clean_text(F.concat(F.lit("　"), F.col("text"), F.lit(" &nbsp;&amp;lt;\t")))
     return docs.select("doc_id", clean.alias("clean")).select("doc_id", F.length("clean").cast("bigint").alias("chars"), F.md5("clean").alias("md5"))
 

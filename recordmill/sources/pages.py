@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from recordmill.functions.html import Page
+from recordmill.functions.html import page_parts
+
+PAGES_AT_ONCE = 256  # parsed pages held in Python before they go back to Spark
 
 PARTS = {
     "links": "array<struct<pos:int,href:string,text:string,cell_day:string,row_day:string,near_day:string>>",
@@ -34,24 +36,19 @@ def read_parts(pages: DataFrame, *parts: str, candidates_only: bool = False) ->
     """
     keep = [f for f in pages.schema.fields if f.name != "html"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"{p} {PARTS[p]}" for p in parts])
-    build = {
-        "links": Page.link_rows,
-        "days": Page.days,
-        "times": Page.times,
-        "tables": lambda page: page.table_rows(candidates_only),
-    }
     names = [f.name for f in keep]
     types = {p: _arrow(PARTS[p]) for p in parts}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            built: dict[str, list] = {p: [] for p in parts}
-            for markup in batch.column("html"):
-                page = Page(markup.as_py() or "")
-                for part in parts:
-                    built[part].append(build[part](page))
-            columns = [batch.column(n) for n in names] + [pa.array(built[p], types[p]) for p in parts]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *parts])
+        for whole in batches:
+            for start in range(0, whole.num_rows, PAGES_AT_ONCE):
+                batch = whole.slice(start, PAGES_AT_ONCE)
+                built: dict[str, list] = {p: [] for p in parts}
+                for markup in batch.column("html"):
+                    for part, value in page_parts(markup.as_py() or "", parts, candidates_only).items():
+                        built[part].append(value)
+                columns = [batch.column(n) for n in names] + [pa.array(built[p], types[p]) for p in parts]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *parts])
 
     return pages.select(*names, "html").mapInArrow(run, schema)
 
