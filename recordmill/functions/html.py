@@ -30,7 +30,9 @@ def visible(markup: str) -> str:
 
 
 def clean(text: str) -> str:
-    text = " ".join((unescape(text) if "&" in text else text).split())
+    if "&" not in text:
+        return " ".join(text.split())
+    text = " ".join(unescape(text).split())
     for entity, char in fixed.ENTITIES:
         text = text.replace(entity, char)
     return text.strip()
@@ -74,16 +76,17 @@ def _boxes(shown: str) -> tuple[list[str], list[_Box]]:
     tokens = _GRID_TAG.split(_OTHER_TAG.sub("", shown))
     pieces.append(tokens[0])
     for closing, name, attrs, text in zip(*(iter(tokens[1:]),) * 4):
-        rank = _RANK[name.lower()]
+        rank = _RANK[name if name in _RANK else name.lower()]
         if closing or rank:
             end(rank)
         if not closing:
             box = _Box(rank, attrs, len(pieces))
             if rank == 0:
                 tables.append(box)
-            for outer in stack:
-                if outer.rank == rank - 1:
-                    outer.parts.append(box)
+            else:
+                for outer in stack:
+                    if outer.rank == rank - 1:
+                        outer.parts.append(box)
             stack.append(box)
         pieces.append(text)
     while stack:
@@ -177,7 +180,8 @@ def times(shown: str) -> list[dict]:
     for tag in _tags_of(names).finditer(shown):
         name = tag[2].lower()
         if not tag[1]:
-            rank = _time_rank(name, _attributes(tag[3]))
+            told = "time" in tag[3] or "ng-bind" in tag[3]
+            rank = _time_rank(name, _attributes(tag[3])) if told else None
             stack.append((name, None if rank is None else len(found)))
             if rank is not None:
                 found.append([rank, tag.end(), len(shown)])

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordmill import fixed
-from recordmill.functions.penalty import extract_basis, extract_content
-from recordmill.functions.text import contains_any, first_nonempty
+from recordmill.functions.penalty import any_sql, basis_sql, content_sql
+from recordmill.functions.text import first_nonempty
 from recordmill.operators.links import label_time, source_time
 from recordmill.sources.pages import read_parts
 
@@ -48,45 +48,53 @@ def data_rows(table: Column) -> Column:
     return F.slice(table["rows"], F.lit(2), F.greatest(F.size(table["rows"]), F.lit(1)))
 
 
-def classify_layout(table: Column) -> Column:
-    """'none' below two rows; 'horizontal' for three or more headers one of which is telling; else 'key_value'."""
-    heads = header(table)
-    telling = F.exists(heads, lambda h: contains_any(h, fixed.HORIZONTAL_HINTS))
+def layout_sql(table: str) -> str:
+    telling = f"exists(get({table}.rows, 0), h -> {any_sql('h', fixed.HORIZONTAL_HINTS)})"
     return (
-        F.when(F.size(table["rows"]) < 2, F.lit("none"))
-        .when((F.size(heads) >= 3) & telling, F.lit("horizontal"))
-        .otherwise(F.lit("key_value"))
+        f"CASE WHEN size({table}.rows) < 2 THEN 'none'"
+        f" WHEN size(get({table}.rows, 0)) >= 3 AND {telling} THEN 'horizontal' ELSE 'key_value' END"
     )
 
 
+def classify_layout(table: str) -> Column:
+    """'none' below two rows; 'horizontal' for three or more headers one of which is telling; else 'key_value'."""
+    return F.expr(layout_sql(table))
+
+
 def has_merged_cells(table: Column) -> Column:
     """Any data cell spans rows or columns."""
     return F.exists(table["spans"], lambda s: s["row_no"] > 1)
 
 
-def map_header(head: Column, compat: bool = False) -> Column:
+def header_sql(head: str, compat: bool = False) -> str:
+    order = fixed.HEADER_ORDER_COMPAT if compat else fixed.HEADER_ORDER
+    cases = " ".join(f"WHEN {any_sql(head, fixed.HEADER_WORDS[f])} THEN '{f}'" for f in order)
+    return f"CASE {cases} ELSE {head} END"
+
+
+def map_header(head: str, compat: bool = False) -> Column:
     """Field of a column header; an unknown header is its own field.
 
     By default specific headers come before the general penalty words; ``compat`` tries the
     general ones first, which files basis, number, authority and date columns under content.
     """
-    out = None
-    for field in fixed.HEADER_ORDER_COMPAT if compat else fixed.HEADER_ORDER:
-        hit = contains_any(head, fixed.HEADER_WORDS[field])
-        out = F.when(hit, F.lit(field)) if out is None else out.when(hit, F.lit(field))
-    return out.otherwise(head)
+    return F.expr(header_sql(head, compat))
 
 
-def map_label(label: Column) -> Column:
-    """Field of a row label: exact spelling, else contained words, else the label itself."""
-    out = None
+def label_sql(label: str) -> str:
+    cases = []
     for field, spellings in fixed.LABELS.items():
-        hit = label.isin(*spellings)
-        out = F.when(hit, F.lit(field)) if out is None else out.when(hit, F.lit(field))
+        quoted = ", ".join(f"'{s}'" for s in spellings)
+        cases.append(f"WHEN {label} IN ({quoted}) THEN '{field}'")
     for field, words, barred in fixed.LABEL_WORDS:
-        hit = contains_any(label, words)
-        out = out.when(hit & ~contains_any(label, barred) if barred else hit, F.lit(field))
-    return out.otherwise(label)
+        but = f" AND NOT {any_sql(label, barred)}" if barred else ""
+        cases.append(f"WHEN {any_sql(label, words)}{but} THEN '{field}'")
+    return f"CASE {' '.join(cases)} ELSE {label} END"
+
+
+def map_label(label: str) -> Column:
+    """Field of a row label: exact spelling, else contained words, else the label itself."""
+    return F.expr(label_sql(label))
 
 
 def _fields(names: Column, values: Column) -> Column:
@@ -146,19 +154,17 @@ def with_horizontal(df: DataFrame, table: str, out: str, compat: bool = False) -
     )
     marked = F.when(F.size(t["rows"]) > 2, mark_places(F.col("_rows"))).otherwise(F.col("_rows"))
     return (
-        df.withColumn("_names", F.transform(header(t), lambda h: map_header(h, compat)))
+        df.withColumn("_names", F.expr(f"transform(get({table}.rows, 0), h -> {header_sql('h', compat)})"))
         .withColumn("_rows", rows).withColumn(out, marked).drop("_names", "_rows")
     )
 
 
-def parse_key_value(table: Column) -> Column:
+def parse_key_value(table: str) -> Column:
     """Fields of a two-column table: first cell names, second holds; blanks skipped, the last wins."""
-    wide = F.filter(table["rows"], lambda r: F.size(r) >= 2)
-    pairs = F.transform(
-        wide, lambda r: F.struct(F.get(r, F.lit(0)).alias("l"), F.get(r, F.lit(1)).alias("r"))
+    filled = f"filter({table}.rows, r -> size(r) >= 2 AND get(r, 0) <> '' AND get(r, 1) <> '')"
+    return F.expr(
+        f"map_from_entries(transform({filled}, r -> struct({label_sql('get(r, 0)')} AS key, get(r, 1) AS value)))"
     )
-    filled = F.filter(pairs, lambda p: (p["l"] != "") & (p["r"] != ""))
-    return _fields(F.transform(filled, lambda p: map_label(p["l"])), F.transform(filled, lambda p: p["r"]))
 
 
 def overlay_basis(fields: Column, basis: Column) -> Column:
@@ -180,7 +186,6 @@ def with_records(df: DataFrame, table: str = "table", out: str = "records", comp
     The steps are separate columns because lambdas share no work: what is used twice is
     computed once, below.
     """
-    t = F.col(table)
     lone = F.lit(None).cast("int")
     is_kv = F.col("_layout") == "key_value"
     own_content = first_nonempty(F.try_element_at("_down", F.lit(fixed.CONTENT)))
@@ -192,34 +197,27 @@ def with_records(df: DataFrame, table: str = "table", out: str = "records", comp
     single = F.filter(F.array(_record(lone, F.col("_alone"))), lambda r: F.size(F.map_keys(r["fields"])) > 0)
     return (
         with_horizontal(df, table, "_across", compat)
-        .withColumns({"_layout": classify_layout(t), "_basis": extract_basis(t["text"])})
-        .withColumn("_down", F.when(is_kv, parse_key_value(t)))
-        .withColumn("_content", F.when(is_kv & (own_content == ""), extract_content(t["text"])).otherwise(F.lit("")))
+        .withColumns({"_layout": classify_layout(table), "_basis": F.expr(basis_sql(f"{table}.text"))})
+        .withColumn("_down", F.when(is_kv, parse_key_value(table)))
+        .withColumn("_content", F.when(is_kv & (own_content == ""), F.expr(content_sql(f"{table}.text"))).otherwise(F.lit("")))
         .withColumn("_alone", overlay_content(alone, F.col("_content")))
         .withColumn(out, F.when(F.size(across) > 0, across).otherwise(single))
         .drop("_across", "_layout", "_basis", "_down", "_content", "_alone")
     )
 
 
-def has_data(table: Column, compat: bool = False) -> Column:
-    """Whether a table gives any record; the text is searched only when its cells give none."""
-    layout = classify_layout(table)
-    full_row = F.exists(data_rows(table), lambda r: F.size(r) >= F.size(F.get(table["rows"], F.lit(0))))
-    entity_at = F.transform(header(table), lambda h: map_header(h, compat) == fixed.ENTITY)
-    named = F.exists(
-        table["grid"],
-        lambda row: F.exists(
-            F.zip_with(row, entity_at, lambda v, e: e & (F.trim(F.coalesce(v, F.lit(""))) != "")), lambda x: x
-        ),
-    )
-    pair = F.exists(
-        table["rows"],
-        lambda r: (F.size(r) >= 2) & (F.get(r, F.lit(0)) != "") & (F.get(r, F.lit(1)) != ""),
+def data_sql(table: str, compat: bool = False) -> str:
+    """Whether a table gives any record; its text is searched only when its cells give none."""
+    full_row = f"exists(slice({table}.rows, 2, greatest(size({table}.rows), 1)), r -> size(r) >= size(get({table}.rows, 0)))"
+    is_entity = f"transform(get({table}.rows, 0), h -> {header_sql('h', compat)} = '{fixed.ENTITY}')"
+    named = f"exists({table}.grid, row -> exists(zip_with(row, {is_entity}, (v, e) -> e AND trim(v) <> ''), x -> x))"
+    pair = f"exists({table}.rows, r -> size(r) >= 2 AND get(r, 0) <> '' AND get(r, 1) <> '')"
+    cells = (
+        f"CASE {layout_sql(table)} WHEN 'horizontal' THEN CASE WHEN {table}.grid IS NULL THEN {full_row}"
+        f" ELSE coalesce({named}, false) END WHEN 'key_value' THEN {pair} ELSE false END"
     )
-    across = F.when(table["grid"].isNotNull(), F.coalesce(named, F.lit(False))).otherwise(full_row)
-    cells = F.when(layout == "horizontal", across).when(layout == "key_value", pair).otherwise(F.lit(False))
-    text = (extract_basis(table["text"]) != "") | ((layout == "key_value") & (extract_content(table["text"]) != ""))
-    return cells | text
+    by_content = f"({layout_sql(table)} = 'key_value' AND {content_sql(f'{table}.text')} <> '')"
+    return f"({cells} OR {basis_sql(f'{table}.text')} <> '' OR {by_content})"
 
 
 def select_table(tables: Column) -> Column:
@@ -246,9 +244,7 @@ def extract_nested(pages: DataFrame, compat: bool = False) -> DataFrame:
     kept = [c for c in pages.columns if c != "html"]
     with_source = pages.withColumn("_source_time", source_time(F.col("html")))
     parts = read_parts(with_source, "times", "tables", candidates_only=True)
-    hit = F.when(F.size("tables") == 1, F.get("tables", F.lit(0))).otherwise(
-        F.get(F.filter("tables", lambda t: has_data(t, compat)), F.lit(0))
-    )
+    hit = F.expr(f"CASE WHEN size(tables) = 1 THEN get(tables, 0) ELSE get(filter(tables, t -> {data_sql('t', compat)}), 0) END")
     chosen = parts.select(
         *kept,
         first_nonempty(label_time(F.col("times")), F.col("_source_time")).alias("publish_time"),

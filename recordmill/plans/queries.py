@@ -197,7 +197,7 @@ def _chosen_table(spark, sf) -> DataFrame:
 def b8_classify_layout(spark, sf):
     pages = read_parts(X.detail_html(spark, sf), "tables")
     return pages.select("ingest_pos", F.posexplode("tables").alias("at", "table")).select(
-        "ingest_pos", (F.col("at") + 1).cast("bigint").alias("table_no"), B.classify_layout(F.col("table")).alias("layout")
+        "ingest_pos", (F.col("at") + 1).cast("bigint").alias("table_no"), B.classify_layout("table").alias("layout")
     )
 
 
@@ -205,14 +205,14 @@ def b8_classify_layout(spark, sf):
 def b9_map_header(spark, sf):
     table = F.col("table")
     labels = F.transform(table["rows"], lambda r: F.get(r, F.lit(0)))
-    heads = F.when(B.classify_layout(table) == "key_value", labels).otherwise(B.header(table))
+    heads = F.when(B.classify_layout("table") == "key_value", labels).otherwise(B.header(table))
     named = _chosen_table(spark, sf).select(F.explode(heads).alias("header"))
     counted = named.groupBy("header").agg(F.count("*").alias("cells"))
     return counted.select(
         "header", "cells",
-        B.map_header(F.col("header")).alias("field"),
-        B.map_header(F.col("header"), compat=True).alias("compat_field"),
-        B.map_label(F.col("header")).alias("label_field"),
+        B.map_header("header").alias("field"),
+        B.map_header("header", compat=True).alias("compat_field"),
+        B.map_label("header").alias("label_field"),
     )
 
 
@@ -226,7 +226,7 @@ def _record_columns(df: DataFrame, *keep: str) -> DataFrame:
 
 @query
 def b10_parse_horizontal_single(spark, sf):
-    horizontal = B.classify_layout(F.col("table")) == "horizontal"
+    horizontal = B.classify_layout("table") == "horizontal"
     tables = _chosen_table(spark, sf).where(horizontal & (F.size("table.rows") == 2))
     rows = B.with_horizontal(tables, "table", "records").select("ingest_pos", F.explode_outer("records").alias("r"))
     return _record_columns(rows.select("ingest_pos", F.col("r.fields").alias("fields")), "ingest_pos")
@@ -262,8 +262,8 @@ def b13_expand_spans(spark, sf):
 
 @query
 def b14_parse_key_value(spark, sf):
-    tables = _chosen_table(spark, sf).where(B.classify_layout(F.col("table")) == "key_value")
-    flat = tables.select("ingest_pos", B.parse_key_value(F.col("table")).alias("fields"))
+    tables = _chosen_table(spark, sf).where(B.classify_layout("table") == "key_value")
+    flat = tables.select("ingest_pos", B.parse_key_value("table").alias("fields"))
     return _record_columns(flat, "ingest_pos", "fields").select(
         "ingest_pos", "entity", "violation", "content", "authority",
         _field(fixed.BASIS).alias("basis"), _field(fixed.DOC_NO).alias("doc_no"),
@@ -274,13 +274,13 @@ def b14_parse_key_value(spark, sf):
 @query
 def b15_extract_basis(spark, sf):
     n = X.notices(spark, sf).withColumn("entity_or_x", T.first_nonempty(F.col("entity_name"), F.lit("某机构")))
-    return n.select("ingest_pos", P.extract_basis(X.finding_text()).alias("basis"))
+    return n.withColumn("finding", X.finding_text()).select("ingest_pos", P.extract_basis("finding").alias("basis"))
 
 
 @query
 def b16_extract_content(spark, sf):
     n = X.notices(spark, sf).withColumn("entity_or_x", T.first_nonempty(F.col("entity_name"), F.lit("某机构")))
-    return n.select("ingest_pos", P.extract_content(X.penalty_text()).alias("content"))
+    return n.withColumn("finding", X.penalty_text()).select("ingest_pos", P.extract_content("finding").alias("content"))
 
 
 @query
@@ -290,7 +290,8 @@ def b17_containment_dedup(spark, sf):
         F.concat(F.lit("罚款甲"), k), F.concat(F.lit("警告乙"), k, F.lit("。")), F.concat(F.lit("对丙罚款甲"), k, F.lit("，")),
         F.concat(F.lit("乙"), k), F.lit("警告"), F.concat(F.lit("；警告乙"), k),
     )
-    return X.notices(spark, sf).select("ingest_pos", F.array_join(P.containment_dedup(sentences), "|").alias("kept"))
+    n = X.notices(spark, sf).withColumn("sentences", sentences)
+    return n.select("ingest_pos", F.array_join(P.containment_dedup("sentences"), "|").alias("kept"))
 
 
 @query

@@ -27,57 +27,29 @@ def notices(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    k = F.col("o_orderkey")
-    day = F.col("o_orderdate").cast("timestamp")
-    year = F.date_format(day, "yyyy")
-    nation = F.col("n_name")
-    number = F.concat(F.lit("〔"), year, F.lit("〕"), (k % 97).cast("string"), F.lit("号"))
-    plain = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit("金罚决字"), number)
-    bureau = F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit("金监罚决字"), number)
-    title = (
-        F.when(k % 10 == 9, F.concat(nation, F.lit("行政处罚信息公示")))
-        .when(k % 3 == 0, F.concat(nation, F.lit("行政处罚信息公开表（"), plain, F.lit("）")))
-        .when(k % 3 == 1, F.concat(nation, F.lit("行政处罚信息公开表 "), bureau))
-        .otherwise(plain)
-    )
-    party = F.when(k % 11 == 0, F.lit("")).when(k % 13 == 0, F.lit(None)).otherwise(F.col("c_name"))
-    content = (
-        F.when(k % 17 == 0, F.lit(""))
-        .when(k % 3 == 0, F.concat(F.lit("罚款"), (k % 500).cast("string"), F.lit("万元")))
-        .when(k % 3 == 1, F.concat(F.lit("罚款"), (k * 37 % 99999).cast("string"), F.lit("元")))
-        .otherwise(F.lit("警告"))
-    )
-    basis = F.when(k % 4 == 0, F.lit("")).otherwise(
-        F.concat(F.lit("《"), nation, F.lit("管理办法》第"), (k % 60 + 1).cast("string"), F.lit("条"))
-    )
-    publish = (
-        F.when(k % 5 == 0, F.date_format(day, "yyyy-MM-dd"))
-        .when(k % 5 == 1, F.date_format(day, "yyyy/MM/dd"))
-        .when(k % 5 == 2, F.date_format(day, "yyyy'年'MM'月'dd'日'"))
-        .when(k % 5 == 3, F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
-        .otherwise(F.lit(""))
-    )
-    path = F.concat(F.lit("/cn/view/pages/ItemDetail.html?docId="), k.cast("string"))
-    spaced = F.replace(F.col("o_orderpriority"), F.lit(" "), F.lit("  "))
-    region = F.col("n_regionkey") % 3
-    return rows.select(
-        k.alias("ingest_pos"),
-        F.when(k % 7 == 0, F.lit("")).otherwise(k.cast("string")).alias("source_seq"),
-        title.alias("title"),
-        party.alias("entity_name"),
-        F.concat(F.lit("　"), spaced).alias("violation_behavior"),
-        basis.alias("punishment_basis"),
-        content.alias("punishment_content"),
-        F.lit("").alias("decision_document_number"),
-        nation.alias("decision_authority"),
-        publish.alias("publish_time"),
-        F.when(region == 0, F.lit(fixed.CATEGORIES[0]))
-        .when(region == 1, F.lit(fixed.CATEGORIES[1]))
-        .otherwise(F.lit(fixed.CATEGORIES[2]))
-        .alias("category"),
-        F.date_format(F.date_add(day.cast("date"), 1), "yyyy-MM-dd HH:mm:ss").alias("crawl_time"),
-        F.when(k % 2 == 0, F.concat(F.lit(SITE), path)).otherwise(path).alias("detail_url"),
-        day.cast("date").alias("order_day"),
+    first, second, third = fixed.CATEGORIES
+    number = "concat('〔', date_format(day, 'yyyy'), '〕', k % 97, '号')"
+    plain, bureau = (f"concat('N', n_nationkey, '{mark}', {number})" for mark in ("金罚决字", "金监罚决字"))
+    return rows.selectExpr("*", "o_orderkey AS k", "cast(o_orderdate AS timestamp) AS day", "n_name AS nation").selectExpr(
+        "k AS ingest_pos",
+        "CASE WHEN k % 7 = 0 THEN '' ELSE string(k) END AS source_seq",
+        f"""CASE WHEN k % 10 = 9 THEN concat(nation, '行政处罚信息公示')
+            WHEN k % 3 = 0 THEN concat(nation, '行政处罚信息公开表（', {plain}, '）')
+            WHEN k % 3 = 1 THEN concat(nation, '行政处罚信息公开表 ', {bureau}) ELSE {plain} END AS title""",
+        "CASE WHEN k % 11 = 0 THEN '' WHEN k % 13 = 0 THEN NULL ELSE c_name END AS entity_name",
+        "concat('\u3000', replace(o_orderpriority, ' ', '\u00a0 ')) AS violation_behavior",
+        "CASE WHEN k % 4 = 0 THEN '' ELSE concat('《', nation, '管理办法》第', k % 60 + 1, '条') END AS punishment_basis",
+        """CASE WHEN k % 17 = 0 THEN '' WHEN k % 3 = 0 THEN concat('罚款', k % 500, '万元')
+           WHEN k % 3 = 1 THEN concat('罚款', k * 37 % 99999, '元') ELSE '警告' END AS punishment_content""",
+        "'' AS decision_document_number",
+        "nation AS decision_authority",
+        """CASE k % 5 WHEN 0 THEN date_format(day, 'yyyy-MM-dd') WHEN 1 THEN date_format(day, 'yyyy/MM/dd')
+           WHEN 2 THEN date_format(day, "yyyy'年'MM'月'dd'日'") WHEN 3 THEN date_format(day, 'yyyy-MM-dd HH:mm:ss')
+           ELSE '' END AS publish_time""",
+        f"CASE n_regionkey % 3 WHEN 0 THEN '{first}' WHEN 1 THEN '{second}' ELSE '{third}' END AS category",
+        "date_format(date_add(date(day), 1), 'yyyy-MM-dd HH:mm:ss') AS crawl_time",
+        f"""concat(CASE WHEN k % 2 = 0 THEN '{SITE}' ELSE '' END, '/cn/view/pages/ItemDetail.html?docId=', k) AS detail_url""",
+        "date(day) AS order_day",
     )
 
 
@@ -118,56 +90,40 @@ def list_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _tag(name: str, *parts: Column, attrs: str = "") -> Column:
-    return F.concat(F.lit(f"<{name}{attrs}>"), *parts, F.lit(f"</{name}>"))
+def _tag(name: str, *parts: Column) -> Column:
+    return F.concat(F.lit(f"<{name}>"), *parts, F.lit(f"</{name}>"))
 
 
-def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One rendered notice per order: k%3 picks a one-row, a two-column or a merged two-row table."""
-    k = F.col("ingest_pos")
-    party = F.coalesce("entity_name", F.lit(""))
-    seq = k.cast("string")
+def _row_sql(*cells: str, attrs: dict[int, str] | None = None) -> str:
+    """SQL for one table row; each cell is an SQL string expression."""
+    given = attrs or {}
+    tds = ", ".join(f"'<td{given.get(i, '')}>', {cell}, '</td>'" for i, cell in enumerate(cells))
+    return f"concat('<tr>', {tds}, '</tr>')"
 
-    def td(*parts: Column, attrs: str = "") -> Column:
-        return _tag("td", *parts, attrs=attrs)
 
-    def tr(*cells: Column) -> Column:
-        return _tag("tr", *cells)
-
-    heads = tr(*[
-        td(_tag("p", _tag("span", F.lit(h[:2])), _tag("span", F.lit(h[2:]))))
-        for h in ("序号", "当事人名称", "主要违法违规行为", "行政处罚内容", "作出决定机关")
-    ])
-    violation, content, authority = (F.col(c) for c in ("violation_behavior", "punishment_content", "decision_authority"))
-    single = F.concat(heads, tr(td(seq), td(party), td(violation), td(content), td(authority)))
-    pairs = [
-        ("行政处罚决定书文号", F.concat(F.lit("N罚决字"), seq)),
-        ("被处罚当事人", party),
-        ("主要违法违规事实", violation),
-        ("行政处罚依据", F.col("punishment_basis")),
-        ("行政处罚决定", content),
-        ("作出处罚决定的机关名称", authority),
-        ("作出处罚决定的日期", F.date_format("order_day", "yyyy'年'M'月'd'日'")),
-    ]
-    keyed = F.concat(*[tr(td(F.lit(label)), td(value)) for label, value in pairs])
-    span = ' rowspan="2"'
-    merged = F.concat(
-        heads,
-        tr(td(F.lit("1")), td(party), td(violation, attrs=span), td(content), td(authority, attrs=span)),
-        tr(td(F.lit("2")), td(F.lit("乙"), seq), td(F.lit("警告"))),
-    )
-    body = F.when(k % 3 == 0, single).when(k % 3 == 1, keyed).otherwise(merged)
-    css = F.when(k % 2 == 0, F.lit("MsoTableGrid")).otherwise(F.lit("MsoNormalTable"))
-    return notices(spark, sf_dir).select(
-        F.when(F.col("detail_url").startswith("http"), F.col("detail_url"))
-        .otherwise(F.concat(F.lit(SITE), F.col("detail_url"))).alias("url"),
-        F.concat(
-            F.lit('<html><head><script>var a="<td>x</td>";</script></head><body>'),
-            F.lit("<table class=\"nav\"><tr><td>首页</td></tr></table>"),
-            F.lit('<div><span class="ng-binding">发布时间：'), F.date_format("order_day", "yyyy-MM-dd"),
-            F.lit("</span></div><!-- <table> -->"),
-            F.lit('<table border="1" class="'), css, F.lit('"><tbody>'), body, F.lit("</tbody></table></body></html>"),
-        ).alias("html"),
+def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rendered notice per order: k%3 picks a one-row, a two-column or a merged two-row table."""
+    names = ("序号", "当事人名称", "主要违法违规行为", "行政处罚内容", "作出决定机关")
+    heads = _row_sql(*[f"'<p><span>{h[:2]}</span><span>{h[2:]}</span></p>'" for h in names])
+    shared = ("violation_behavior", "punishment_content", "decision_authority")
+    single = f"concat({heads}, {_row_sql('string(k)', 'party', *shared)})"
+    pairs = {
+        "行政处罚决定书文号": "concat('N罚决字', k)", "被处罚当事人": "party", "主要违法违规事实": "violation_behavior",
+        "行政处罚依据": "punishment_basis", "行政处罚决定": "punishment_content", "作出处罚决定的机关名称": "decision_authority",
+        "作出处罚决定的日期": """date_format(order_day, "yyyy'年'M'月'd'日'")""",
+    }
+    keyed = f"concat({', '.join(_row_sql(repr(label), value) for label, value in pairs.items())})"
+    spans = dict.fromkeys((2, 4), ' rowspan="2"')
+    second = _row_sql("'2'", "concat('乙', k)", "'警告'")
+    merged = f"concat({heads}, {_row_sql(repr('1'), 'party', *shared, attrs=spans)}, {second})"
+    top = """<html><head><script>var a="<td>x</td>";</script></head><body><table class="nav"><tr><td>首页</td></tr></table>"""
+    time = """<div><span class="ng-binding">发布时间：', string(order_day), '</span></div><!-- <table> -->"""
+    n = notices(spark, sf_dir).selectExpr("*", "ingest_pos AS k", "coalesce(entity_name, '') AS party")
+    return n.selectExpr(
+        f"CASE WHEN startswith(detail_url, 'http') THEN detail_url ELSE concat('{SITE}', detail_url) END AS url",
+        f"""concat('{top}{time}<table border="1" class="', CASE WHEN k % 2 = 0 THEN 'MsoTableGrid' ELSE 'MsoNormalTable' END,
+            '"><tbody>', CASE k % 3 WHEN 0 THEN {single} WHEN 1 THEN {keyed} ELSE {merged} END,
+            '</tbody></table></body></html>') AS html""",
         "ingest_pos", "category", "title",
     )
 
