@@ -64,6 +64,32 @@ def update_master(spark: SparkSession, root: str, batch: DataFrame, now: datetim
     return counts
 
 
+def process_and_save(
+    records: DataFrame, path: str, now: datetime, master_root: str | None = None, text_export: bool = False
+) -> DataFrame:
+    """Save a run's collected records as a report; returns their quality report.
+
+    Takes ``(ingest_pos, category, fields[, additional])``. The report holds every record, newest
+    first; only the master, updated when ``master_root`` is given, drops repeats.
+    """
+    spark = records.sparkSession
+    if "additional" not in records.columns:
+        records = records.withColumn("additional", F.lit(None).cast("array<map<string,string>>"))
+    place = ("category_no", "position", "part")
+    rows = R.canonicalize(R.process_category(records), "position", "part").withColumn(
+        "category_no", R.category_rank(F.col("category"))
+    )
+    rows = stage(rows.drop("extras"), "rows")
+    main = R.ledger_projection(R.renumber(rows, *place))
+    stats = S.summary_by_category(rows).withColumn("updated", F.lit(now.strftime("%Y-%m-%d %H:%M:%S")))
+    A.write_report(main, stats, f"{path}/report")
+    if master_root:
+        update_master(spark, master_root, spark.read.parquet(f"{path}/report/main"), now)
+    if text_export:
+        A.write_text(A.export_text(rows, "position", "part"), f"{path}/texts")
+    return S.quality_report(records)
+
+
 def save_report(ledger: DataFrame, path: str, now: datetime, net_new: int = 0) -> None:
     """The ledger with its statistics."""
     A.write_report(ledger, S.master_stats(ledger, net_new, now), path)

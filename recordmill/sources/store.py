@@ -77,12 +77,12 @@ def write_by_category(df: DataFrame, path: str, categories=fixed.CATEGORIES) ->
     ).write.mode("overwrite").parquet(f"{path}/counts")
 
 
-def export_text(df: DataFrame) -> DataFrame:
+def export_text(df: DataFrame, *order: str) -> DataFrame:
     """One text per record as ``(file_key, category, body)``; of equal keys the last record wins.
 
-    The key is the title with unsafe characters replaced, or category and position without one.
+    Records stand by category rank, then by the ``order`` columns (``ingest_pos`` by default). The key is the title with unsafe characters replaced, or category and position without one.
     """
-    placed = number_rows(df, [F.col("ingest_pos")], name="_position", by=["category"])
+    placed = number_rows(df, [F.col(c) for c in order or ("ingest_pos",)], name="_position", by=["category"])
     fallback = F.concat_ws("_", F.col("category"), F.col("_position").cast("string"))
     key = F.regexp_replace(X.first_nonempty(F.col("title"), fallback), fixed.UNSAFE_IN_NAME, "_")
     columns = {**fixed.LEDGER_FIELDS, fixed.SEQ: "source_seq"}

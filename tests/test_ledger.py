@@ -193,3 +193,38 @@ def test_full_run_takes_every_page(spark):
     daily = jobs.collect_records(lists, details, X.SITE, "daily", date(2001, 8, 2), "2025-01-01 00:00:00", "1")
     assert raw.select("url").distinct().count() == 1050
     assert {r.category for r in daily.collect()} <= {"总局机关"}
+
+
+def test_process_and_save(spark, tmp_path):
+    quality = jobs.process_and_save(
+        X.nested_records(spark, SF), str(tmp_path / "run"), datetime(2025, 1, 1), str(tmp_path / "master"), text_export=True
+    )
+    total = quality.where(F.col("category") == "总计").first()
+    assert (total.total, total.missing_authority) == (500, 0)  # main records; their additional rows are not checked
+    main = spark.read.parquet(f"{tmp_path}/run/report/main")
+    assert main.agg(F.count("*"), F.max("seq_no"), F.countDistinct("seq_no")).first()[:] == (1500, 1500, 1500)
+    stats = {r.category: r.records for r in spark.read.parquet(f"{tmp_path}/run/report/stats").collect()}
+    assert stats["总计"] == 1500 == sum(stats[c] for c in fixed.CATEGORIES)
+    master = A.latest_snapshot(spark, f"{tmp_path}/master")
+    assert master.count() == M.dedup(main.withColumn("ingest_pos", F.col("seq_no"))).count() < 1500
+    assert spark.read.text(f"{tmp_path}/run/texts").where("value like '序号%'").count() > 0
+
+
+def test_scratch_follows_the_session():
+    from recordmill import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.checkpoint.dir": "hdfs://shared/check/"}.get(key, default)
+
+    class Remote:
+        conf = Conf()
+
+    assert session.scratch_root(Remote()) == "hdfs://shared/check"
+
+    class Unset:
+        conf = type("C", (), {"get": lambda self, key, default=None: default})()
+        sparkContext = type("S", (), {"master": "yarn", "applicationId": "x"})()
+
+    with pytest.raises(RuntimeError):
+        session.scratch_root(Unset())

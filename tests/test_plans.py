@@ -11,7 +11,6 @@ from recordmill.operators import reshape as R
 from recordmill.operators import select as C
 from recordmill.operators import tables as B
 from recordmill.plans.queries import QUERIES
-from recordmill.session import scratch_root
 from recordmill.sources import fixtures as X
 
 
@@ -68,6 +67,3 @@ def test_no_query_crosses_or_pins_locally(spark):
     for word in ("crossJoin", "localCheckpoint", ".toPandas(", ".collect()", "F.broadcast("):
         assert word not in source
 
-
-def test_scratch_is_shared_or_local(spark):
-    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir", scratch_root(spark))

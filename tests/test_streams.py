@@ -3,7 +3,6 @@ from datetime import datetime
 from conftest import SF
 from pyspark.sql import functions as F
 
-from recordmill import fixed
 from recordmill.operators import master as M
 from recordmill.operators import reshape as R
 from recordmill.sources import fixtures as X
@@ -47,4 +46,3 @@ def test_stream_dedup(spark, tmp_path):
         "checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.k for r in spark.table("kept").collect()) == ["a", "b"]
-    assert fixed.TASK_MARK
