@@ -144,10 +144,13 @@ def decision_number(title: Column) -> Column:
     mark = fixed.DECISION_MARK
     bracketed = strip(F.regexp_extract(title, rf"[（(]([^）)]*{mark}[^）)]*)[）)]", 1))
     spaced = F.regexp_extract(title, rf"{BLANK}({NOT_BLANK}*{mark}{NOT_BLANK}*)", 1)
-    # The first of the longest: length up, then position down.
+    # A bare match starts where the last one ended or after a blank or bracket, and nowhere
+    # else, so a long title is not rescanned from every character.
     word_start = NOT_BLANK[:-1] + "（(]"
     word_end = NOT_BLANK[:-1] + "）)]"
-    bare = F.regexp_extract_all(title, F.lit(rf"({word_start}*{mark}{word_end}*)"), F.lit(1))
+    start = rf"(?:\G|(?<={BLANK[:-1]}（(]))"
+    bare = F.regexp_extract_all(title, F.lit(rf"{start}({word_start}*{mark}{word_end}*)"), F.lit(1))
+    # The first of the longest: length up, then position down.
     ranked = F.transform(bare, lambda m, i: F.struct(F.length(m).alias("n"), (-i).alias("p"), m.alias("m")))
     longest = F.array_max(ranked)["m"]
     return F.coalesce(

@@ -97,7 +97,8 @@ def canonicalize(records: DataFrame, *keep: str) -> DataFrame:
 
 def fill_decision_number(df: DataFrame) -> DataFrame:
     """Document number from the title where the column is blank."""
-    number = T.first_nonempty(F.col("decision_document_number"), T.decision_number(F.col("title")))
+    given = F.col("decision_document_number")
+    number = F.when(T.is_blank(given), F.coalesce(T.decision_number(F.col("title")), F.lit(""))).otherwise(given)
     return df.withColumn("decision_document_number", number)
 
 

@@ -608,8 +608,11 @@ def f8_records_per_notice(spark, sf):
 
 
 def _stream_table(spark, sf, name: str) -> DataFrame:
-    schema = X.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table as a file stream, spread over the cores where its files are too few."""
+    at_rest = X.table(spark, sf, name)
+    stream = spark.readStream.schema(at_rest.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    cores = spark.sparkContext.defaultParallelism
+    return stream.repartition(cores) if at_rest.rdd.getNumPartitions() < cores else stream
 
 
 @query

@@ -44,6 +44,27 @@ def test_decision_number(column):
     assert column(T.decision_number, *given) == list(given.values())
 
 
+def test_bare_numbers_match_a_plain_scan(column):
+    """The anchored search finds what scanning from every character finds."""
+    import random
+    import re
+
+    dice = random.Random(7)
+    titles = ["".join(dice.choices(["罚决字", "甲", "）", "(", " ", "1号", "、"], k=dice.randint(1, 12))) for _ in range(300)]
+    plain = re.compile(r"([^\s（(]*罚决字[^\s）)]*)")
+
+    def want(title):
+        for pattern in (r"[（(]([^）)]*罚决字[^）)]*)[）)]", r"\s(\S*罚决字\S*)"):
+            if hit := re.search(pattern, title):
+                found = re.sub("[）)]+$", "", hit[1]) if "S" in pattern else hit[1].strip()
+                if found:
+                    return found
+        longest = max(plain.findall(title), key=len, default="")
+        return longest if len(longest) > 5 else ""
+
+    assert column(T.decision_number, *titles) == [want(t) for t in titles]
+
+
 def test_seq_sort_key(column):
     got = column(T.seq_sort_key, "3", "1-2", "x", "1-", "1-2-3", None, "1.5")
     assert [tuple(r) for r in got] == [(3, 0), (1, 2), (9999, 0), (9999, 0), (1, 2), (9999, 0), (9999, 0)]
