@@ -157,30 +157,36 @@ def category_rank(category: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, category), F.lit(len(fixed.CATEGORIES) + 1))
 
 
-def category_seq_order() -> list[Column]:
-    """Category rank, then n before n-1, n-2, ...; unreadable numbers last."""
+def with_category_seq_keys(df: DataFrame) -> DataFrame:
     seq = T.strip(F.col("source_seq"))
     key = T.seq_sort_key(seq)
-    has_minor = ~seq.rlike("^[0-9]+$")
-    return [
-        category_rank(F.col("category")),
-        key["major"],
-        F.when(has_minor, key["minor"]).asc_nulls_first(),
-        F.col("ingest_pos"),
-    ]
+    return df.withColumns({
+        "_category_no": category_rank(F.col("category")),
+        "_major": key["major"],
+        "_minor": F.when(~seq.rlike("^[0-9]+$"), key["minor"]),
+    })
+
+
+def category_seq_order() -> list[Column]:
+    """Category rank, then n before n-1, n-2, ...; unreadable numbers last."""
+    return [F.col("_category_no"), F.col("_major"), F.col("_minor").asc_nulls_first(), F.col("ingest_pos")]
 
 
 def sort_by_category_seq(df: DataFrame) -> DataFrame:
-    return df.orderBy(*category_seq_order())
+    return with_category_seq_keys(df).orderBy(*category_seq_order()).drop("_category_no", "_major", "_minor")
 
 
-def seq_order() -> list[Column]:
+def with_seq_keys(df: DataFrame) -> DataFrame:
     key = T.seq_sort_key(F.col("source_seq"))
-    return [key["major"], key["minor"], F.col("ingest_pos")]
+    return df.withColumns({"_major": key["major"], "_minor": key["minor"]})
+
+
+def seq_order() -> list[Column]:
+    return [F.col("_major"), F.col("_minor"), F.col("ingest_pos")]
 
 
 def sort_by_seq(df: DataFrame) -> DataFrame:
-    return df.orderBy(*seq_order())
+    return with_seq_keys(df).orderBy(*seq_order()).drop("_major", "_minor")
 
 
 # --- row numbers ----------------------------------------------------------------------------
@@ -191,7 +197,8 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "seq_no", by: li
 
     Rows are range-partitioned on the whole order, so a group of any size spreads over many
     tasks, and are written once with their place. Only the run lengths, one per partition and
-    group, are summed up to give each run its start. ``order`` should be total.
+    group, are summed up to give each run its start. ``order`` should be total, and name plain
+    columns: a sort evaluates an expression again in every comparison.
     """
     by = by or []
     keys = [*[F.col(c) for c in by], *order]

@@ -516,13 +516,14 @@ def e5_sort_by_time(spark, sf):
 @query
 def e6_sort_by_category_seq(spark, sf):
     n = X.notices(spark, sf).select("ingest_pos", "category", _mixed_seq().alias("source_seq"))
-    return R.number_rows(n, R.category_seq_order(), name="place")
+    placed = R.number_rows(R.with_category_seq_keys(n), R.category_seq_order(), name="place")
+    return placed.select("ingest_pos", "category", "source_seq", "place")
 
 
 @query
 def e7_sort_by_seq(spark, sf):
     n = X.notices(spark, sf).select("ingest_pos", _mixed_seq().alias("source_seq"))
-    return R.number_rows(n, R.seq_order(), name="place")
+    return R.number_rows(R.with_seq_keys(n), R.seq_order(), name="place").select("ingest_pos", "source_seq", "place")
 
 
 @query
