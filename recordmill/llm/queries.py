@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from recordmill.llm.html_main import extract_main
+from recordmill.llm.langid import language_id
 from recordmill.llm.minhash import near_duplicates
+from recordmill.llm.pieces import round_trip
+from recordmill.llm.quality import quality_rules
+from recordmill.llm.secrets import secret_scan
+from recordmill.llm.suffixes import remove_repeats
 from recordmill.llm.tables import table
 from recordmill.session import prepare
 
@@ -26,6 +31,36 @@ def op1_minhash_near_dedup(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))
 
 
+@query
+def op2_language_id(spark, sf):
+    return language_id(table(spark, sf, "documents"))
+
+
+@query
+def op3_secret_scan(spark, sf):
+    return secret_scan(table(spark, sf, "documents"))
+
+
+@query
+def op4_quality_rules(spark, sf):
+    return quality_rules(table(spark, sf, "documents"))
+
+
+@query
+def op5_suffix_dedup(spark, sf):
+    return remove_repeats(table(spark, sf, "documents"))
+
+
+@query
+def op7_sentencepiece(spark, sf):
+    return round_trip(table(spark, sf, "documents"))
+
+
+@query
+def op8_html_main_text(spark, sf):
+    return extract_main(table(spark, sf, "pages"))
+
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
 WITH RECURSIVE d AS (

@@ -68,11 +68,7 @@ def ends(data: bytes) -> dict[int, int]:
     return found
 
 
-# A byte at which a rule's matches can begin and its neighbourhood: every match holds this text.
-_HOOKS = {"access": (b"AKIA",), "private_key": (b"-----BEGIN",), "code_host": (b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"),
-          "chat": (b"xox",), "web_token": (b"eyJ",), "map_key": (b"AIza",)}
-
-
+@cache
 def _first_bytes(rule: int) -> frozenset[int]:
     table, mask = _anchored(rule)
     dead = next((s for s, row in enumerate(table) if set(row) == {s} and not mask[s]), None)
