@@ -1,4 +1,4 @@
-"""Secret scans: all rules in one automaton, one pass over a text's bytes, exact spans only where the pass saw an end."""
+"""Secret scans: all rules in one automaton, one pass over a text's bytes, exact spans only for rules whose head it saw."""
 
 from __future__ import annotations
 
@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 from recordmill.llm.automaton import compile_rules
 from recordmill.llm.tables import texts
 
-# Kind, pattern, letters in either case, least length of the value at the match's end (0: of nothing).
-# Base rules first. Where a least length is written into the pattern, shorter matches could hide no longer one.
+# Kind, pattern, letters in either case, least length of an assignment's value (0: of nothing), and the head that
+# the common automaton looks for. Every match holds its head. Open-ended tails would multiply the automaton's states, so the
+# rule's own automaton reads them. Base rules first.
 RULES = (
-    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, 6),
-    ("access", r"AKIA[A-Z0-9]{16,}", False, 0),
-    ("hex", r"[0-9a-f]{24,}", False, 0),
-    ("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", False, 0),
-    ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", False, 0),
-    ("chat", r"xox[abprs]-[0-9A-Za-z-]{10,}", False, 0),
-    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", False, 0),
-    ("map_key", r"AIza[0-9A-Za-z_-]{35}", False, 0),
-    ("url_login", r"[a-z]{3,10}://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+=-]+@", False, 0),
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, 6,
+     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
+    ("access", r"AKIA[A-Z0-9]{16,}", False, 0, r"AKIA[A-Z0-9]"),
+    ("hex", r"[0-9a-f]{24,}", False, 0, r"[0-9a-f]{24}"),
+    ("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", False, 0, r"-----BEGIN "),
+    ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", False, 0, r"gh[pousr]_[A-Za-z0-9]"),
+    ("chat", r"xox[abprs]-[0-9A-Za-z-]{10,}", False, 0, r"xox[abprs]-[0-9A-Za-z-]"),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", False, 0, r"\.eyJ[A-Za-z0-9_-]"),
+    ("map_key", r"AIza[0-9A-Za-z_-]{35}", False, 0, r"AIza[0-9A-Za-z_-]"),
+    ("url_login", r"[a-z]{3,10}://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+=-]+@", False, 0, r"[a-z]://[A-Za-z0-9._~%-]"),
 )
 KINDS = tuple(r[0] for r in RULES)
 BASE = 3
@@ -34,11 +36,11 @@ _VALUE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456
 
 @cache
 def _scanner() -> tuple[list[list[int]], int, list[int]]:
-    """Next state by state and byte, the first state in which a rule ends, and the rules that end in those states.
+    """Next state by state and byte, the first state in which a rule's head ends, and the rules whose heads end in those states.
 
     States where rules end come last, so that one comparison tells.
     """
-    table, mask = compile_rules([(p, fold) for _, p, fold, _ in RULES], restart=True)
+    table, mask = compile_rules([(head, fold) for _, _, fold, _, head in RULES], restart=True)
     order = np.argsort(mask != 0, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
@@ -55,7 +57,7 @@ def _anchored(rule: int) -> tuple[list[list[int]], list[int]]:
 
 
 def ends(data: bytes) -> dict[int, int]:
-    """For every rule that ends somewhere in ``data``, where it first does: the one pass."""
+    """For every rule whose head ends somewhere in ``data``, where it first does: the one pass."""
     rows, calm, mask, state = _scanner()
     found: dict[int, int] = {}
     seen = 0
