@@ -5,17 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordmill.llm.minhash import near_duplicates
+from recordmill.llm.pieces import round_trip
+from recordmill.llm.quality import quality_rules
+from recordmill.llm.secrets import redact_secrets
 from recordmill.llm.tables import table
+from recordmill.llm.tiling import decontaminate
 from recordmill.session import prepare, stage
 
+SHINGLE = 5  # words
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    prepare(spark)
+    return _only(docs, quality_rules(docs))
+
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    prepare(spark)
+    return _only(docs, near_duplicates(docs, k=SHINGLE))
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate(docs, table(prepare(spark), sf_dir, "benchmark"))
+
+
+def _redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; all documents stay."""
+    prepare(spark)
+    return redact_secrets(docs)
+
+
+def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and what they decode to."""
+    prepare(spark)
+    return round_trip(docs)
+
+
+def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    kept = judged.where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
-STAGES = [("minhash_near_dedup", _near_dedup)]
+STAGES = [
+    ("quality_rules", _quality),
+    ("minhash_near_dedup", _near_dedup),
+    ("benchmark_decontamination", _decontaminate),
+    ("secret_scan", _redact),
+    ("sentencepiece", _encode),
+]
 
 ORACLE_SQL = None
 

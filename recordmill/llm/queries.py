@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from recordmill.llm.html_main import extract_main
 from recordmill.llm.langid import language_id
 from recordmill.llm.minhash import near_duplicates
+from recordmill.llm.neighbours import quality_scores
 from recordmill.llm.pieces import round_trip
 from recordmill.llm.quality import quality_rules
+from recordmill.llm.recount import recount, sample_edits
 from recordmill.llm.secrets import secret_scan
 from recordmill.llm.suffixes import remove_repeats
 from recordmill.llm.tables import table
+from recordmill.llm.tiling import contaminated_pairs
 from recordmill.session import prepare
 
 QUERIES: dict = {}
@@ -51,6 +54,11 @@ def op5_suffix_dedup(spark, sf):
     return remove_repeats(table(spark, sf, "documents"))
 
 
+@query
+def op6_benchmark_tiling(spark, sf):
+    return contaminated_pairs(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op7_sentencepiece(spark, sf):
     return round_trip(table(spark, sf, "documents"))
@@ -60,6 +68,15 @@ def op7_sentencepiece(spark, sf):
 def op8_html_main_text(spark, sf):
     return extract_main(table(spark, sf, "pages"))
 
+@query
+def op9_neighbour_quality(spark, sf):
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_edit_recount(spark, sf):
+    return recount(sample_edits(table(spark, sf, "documents")))
+
 
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": r"""
