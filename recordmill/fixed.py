@@ -100,7 +100,7 @@ CATEGORY_ALIASES = {
     "3": "监管分局本级",
 }
 
-# Caps per run mode: pages and records per category; None is unlimited.
+# Caps that a live run of each mode has: pages and records per category; None is unlimited. Stored pages are read without.
 RUN_CAPS = {
     "test": (1, 5),
     "init": (50, None),

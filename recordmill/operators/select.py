@@ -101,12 +101,12 @@ def take_while_recent(items: DataFrame, start: date) -> DataFrame:
     )
 
 
-def run_window(mode: str, today: date) -> tuple[date | None, date | None]:
+def run_window(mode: str, today: date, init_year: int = fixed.INIT_YEAR) -> tuple[date | None, date | None]:
     """Half-open day window of a run mode; (None, None) is everything."""
     if mode not in fixed.RUN_CAPS:
         raise ValueError(f"unknown run mode {mode!r}")
     if mode == "init":
-        return year_window(fixed.INIT_YEAR)
+        return year_window(init_year)
     if mode == "monthly":
         last = today.replace(day=1) - timedelta(days=1)
         return month_window(last.year, last.month)
@@ -127,11 +127,13 @@ def tag_run_modes(items: DataFrame, today: date, modes=tuple(fixed.RUN_CAPS)) ->
     return items.withColumn("mode", F.explode(hits))
 
 
-def select_for_run(items: DataFrame, mode: str, today: date, categories: str | None = None) -> DataFrame:
-    """The list items a run takes: category, page cap, date window, then record cap."""
-    pages, records = fixed.RUN_CAPS[mode]
-    start, end = run_window(mode, today)
-    out = page_cap(filter_categories(items, categories), pages)
+def select_for_run(
+    items: DataFrame, mode: str, today: date, categories: str | None = None,
+    max_pages: int | None = None, max_records: int | None = None, init_year: int = fixed.INIT_YEAR,
+) -> DataFrame:
+    """The list items a run takes: category and date window; caps only where asked for, on the items of the window."""
+    start, end = run_window(mode, today, init_year)
+    out = filter_categories(items, categories)
     if start is not None:
         out = list_date_window(out, start, end)
-    return record_cap(out, records)
+    return record_cap(page_cap(out, max_pages), max_records)

@@ -20,17 +20,19 @@ from recordmill.sources import store as A
 
 def collect_records(
     list_pages: DataFrame, detail_pages: DataFrame, site: str, mode: str, today: date, crawl_time: str,
-    categories: str | None = None,
+    categories: str | None = None, max_pages: int | None = None, max_records: int | None = None,
+    init_year: int = fixed.INIT_YEAR,
 ) -> DataFrame:
     """Raw records of the notices a run selects.
 
-    List pages ``(url, category, page, html)``; detail pages ``(url, html)``. Caps and windows
-    come before the join. A run that does not take everything first cuts the detail pages to its
+    List pages ``(url, category, page, html)``; detail pages ``(url, html)``. Windows, and
+    caps where asked for, come before the join. A run that does not take everything first cuts the detail pages to its
     addresses, so only their markup is parsed; the address list is staged, and Spark broadcasts
     it when its real size allows. A full run parses every page where it lies.
     """
-    items = stage(C.select_for_run(L.extract_links(list_pages, site), mode, today, categories), "items")
-    takes_all = fixed.RUN_CAPS[mode] == (None, None) and C.run_window(mode, today)[0] is None
+    items = stage(C.select_for_run(
+        L.extract_links(list_pages, site), mode, today, categories, max_pages, max_records, init_year), "items")
+    takes_all = max_pages is None and max_records is None and C.run_window(mode, today, init_year)[0] is None
     if takes_all and len(C.resolve_categories(categories)) == len(fixed.CATEGORIES):
         pages = detail_pages
     else:
@@ -44,10 +46,11 @@ def collect_records(
 
 def pages_to_ledger(
     list_pages: DataFrame, detail_pages: DataFrame, site: str, mode: str, today: date, crawl_time: str,
-    categories: str | None = None,
+    categories: str | None = None, max_pages: int | None = None, max_records: int | None = None,
+    init_year: int = fixed.INIT_YEAR,
 ) -> DataFrame:
     """The run's ledger: cleaned, deduplicated, newest first, numbered."""
-    raw = collect_records(list_pages, detail_pages, site, mode, today, crawl_time, categories)
+    raw = collect_records(list_pages, detail_pages, site, mode, today, crawl_time, categories, max_pages, max_records, init_year)
     rows = R.canonicalize(
         R.clean_records(raw.withColumn("fields", F.map_concat("fields", F.create_map(F.lit(fixed.CATEGORY), F.col("category"))))),
         "page", "pos", "record_no",
@@ -57,9 +60,9 @@ def pages_to_ledger(
 
 
 def update_master(spark: SparkSession, root: str, batch: DataFrame, now: datetime) -> DataFrame:
-    """Upsert a run's rows into the stored master as a new snapshot; returns its counts."""
+    """Upsert a run's rows into the stored master as a new snapshot; returns its counts, taken before the write."""
     old = A.latest_snapshot(spark, root)
-    counts = M.upsert_counts(old, batch)
+    counts = stage(M.upsert_counts(old, batch), "counts")
     A.write_snapshot(M.upsert_master(old, batch), root, now)
     return counts
 

@@ -354,7 +354,7 @@ ORACLES: dict[str, str] = {
     "g5_log_tail": _with(_LOGS, "SELECT line_no, level, message FROM logs ORDER BY ts DESC, line_no DESC LIMIT 250"),
 
     "run_pages_to_ledger": _with(_ITEMS + """,
-        taken AS (SELECT * FROM linked WHERE page <= 15 AND day >= DATE '2001-06-01' AND day < DATE '2001-07-01'),
+        taken AS (SELECT * FROM linked WHERE day >= DATE '2001-06-01' AND day < DATE '2001-07-01'),
         recs AS (
           SELECT k, title, category, page, nth, day, url, 1 AS record_no, entity, nation, content,
             CASE WHEN k % 3 = 1 THEN 'N罚决字' || k ELSE doc_no END AS doc FROM taken WHERE NOT (k % 3 = 2 AND entity = '')

@@ -39,8 +39,13 @@ def snapshot_name(ts: datetime) -> str:
 
 
 def write_snapshot(df: DataFrame, root: str, ts: datetime) -> None:
-    """A new dated copy beside the earlier ones; a rerun for the same time replaces its own."""
-    df.write.mode("overwrite").parquet(f"{root}/snapshot_ts={snapshot_name(ts)}")
+    """A new dated copy beside the earlier ones; a further one of the same second gets a number, so none is overwritten."""
+    jvm = df.sparkSession.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    name = f"snapshot_ts={snapshot_name(ts)}"
+    taken = sum(s.getPath().getName().startswith(name) for s in fs.listStatus(base)) if fs.exists(base) else 0
+    df.write.parquet(f"{root}/{name}-{taken:04d}" if taken else f"{root}/{name}")
 
 
 def latest_snapshot(spark: SparkSession, root: str, schema: T.StructType = LEDGER_SCHEMA) -> DataFrame:

@@ -228,3 +228,18 @@ def test_scratch_follows_the_session():
 
     with pytest.raises(RuntimeError):
         session.scratch_root(Unset())
+
+
+def test_update_master_twice_in_one_second(spark, tmp_path):
+    batch = R.fill_decision_number(X.notices(spark, SF))
+    now = datetime(2025, 1, 1)
+    first, second = (jobs.update_master(spark, f"{tmp_path}/m", batch, now).first() for _ in range(2))
+    assert first.inserted == second.before_count == second.after_count and second.inserted == 0
+    assert A.latest_snapshot(spark, f"{tmp_path}/m").count() == first.after_count
+
+
+def test_a_run_takes_its_whole_window(spark):
+    items = spark.createDataFrame([("监管分局本级", p, 0, date(2001, 6, 1 + p % 20)) for p in range(60)], "category string, page int, pos int, publish_date date")
+    assert C.select_for_run(items, "monthly", date(2001, 7, 3)).count() == 60
+    assert C.select_for_run(items, "monthly", date(2001, 7, 3), max_pages=15).count() == 16
+    assert C.select_for_run(items, "init", date(2030, 1, 1), init_year=2001, max_records=7).count() == 7
