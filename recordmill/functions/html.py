@@ -14,14 +14,14 @@ from itertools import count, product
 
 from recordmill import fixed
 
-_ATTRS = r"[^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*"
+# A quote opens a value right after = only; elsewhere it is an ordinary character.
+_ATTRS = r"""[^<>=]*+(?:=(?:\s*"[^"]*"|\s*'[^']*')?+[^<>=]*+)*+"""
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
 _TAG = re.compile(rf"<(/?)([a-z][a-z0-9:_-]*)({_ATTRS})>", re.I)
 _GRID_TAG = re.compile(rf"<(/?)(table|t[rdh])\b({_ATTRS})>", re.I)
 _OTHER_TAG = re.compile(rf"</?(?!(?:table|t[rdh])\b)[a-z]{_ATTRS}>", re.I)
 _TIMED_TAG = re.compile(r"<([a-z][a-z0-9:_-]*)\s([^<>]*(?:time|ng-bind)[^<>]*)>", re.I)
 _ATTR = re.compile(r"""([^\s=/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_SPAN_MAX = {"rowspan": 65534, "colspan": 1000}  # limits of the HTML standard
 
 
 def visible(markup: str) -> str:
@@ -129,8 +129,9 @@ def table_rows(shown: str, candidates_only: bool = False) -> list[dict]:
 
 def _spans(raw: str) -> tuple[int, int]:
     attrs = _attributes(raw)
-    given = [(attrs.get(k, "").strip(), most) for k, most in _SPAN_MAX.items()]
-    down, across = [min(max(int(v), 1), most) if v.isascii() and v.isdigit() else 1 for v, most in given]
+    given = [attrs.get(k, "").strip() for k in ("rowspan", "colspan")]
+    # ``spread`` cuts at the table's edges; here a span only has to fit the column's type.
+    down, across = [min(max(int(v.lstrip("0")[:11] or 0), 1), 2**31 - 1) if v.isascii() and v.isdigit() else 1 for v in given]
     return down, across
 
 

@@ -184,3 +184,13 @@ def test_spread_keeps_text_and_width(data):
 @given(st.text(alphabet="<>/abtdrspn ='\"!-=class2024-01", max_size=80))
 def test_reader_never_fails(markup):
     json.dumps(H.page_parts(markup, ("tables", "links", "days", "times"), False))
+
+
+def test_stray_quotes_and_wide_spans():
+    for markup, tags in (
+        ("<td title=5'>A</td><td>it's</td>", ["<td title=5'>", "</td>", "<td>", "</td>"]),
+        ("<a href=\"x>y\" title = 'a>b'>", ["<a href=\"x>y\" title = 'a>b'>"]),
+        ("<span it's>7\" wide</span>", ["<span it's>", "</span>"]),
+    ):
+        assert [m.group(0) for m in H._TAG.finditer(markup)] == tags
+    assert H._spans(" rowspan=70000 colspan='2000'") == (70000, 2000)
