@@ -10,7 +10,8 @@ still differ:
 3. What is left is cut into blocks of BLOCK positions, with the identifier of the later bytes that all strings of a block share
    as the bucket, and refined the same way; what then is left is refined position by position.
 
-Buckets meet as counts that are added up before the shuffle, never as lists, so their size does not matter.
+Buckets meet as counts that are added up before the shuffle, never as lists, and ranges of very frequent contents are told by a
+broadcast of the few keys that can be so frequent, so a bucket's size does not matter.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm import bytewise as B
-from recordmill.llm.tables import texts
+from recordmill.llm.tables import join_counted, texts
 from recordmill.session import stage
 
 LENGTH = 400
@@ -131,19 +132,13 @@ def _finer_ranges(keyed: DataFrame, open_ranges: DataFrame, length: int, size: i
 
 def _judge(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ranges with equal contents elsewhere, and those whose bucket holds other contents only."""
-    contents = ranges.groupBy("bucket", "whole").agg(F.count("*").alias("n"))
-    contents = stage(contents, "contents")
-    mixed = contents.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
-    again = contents.where("n > 1").select("bucket", "whole")
-    repeated = ranges.join(again, ["bucket", "whole"], "left_semi").select("doc", "anchor", "first", "last")
-    single = contents.where("n = 1").join(mixed, "bucket", "left_semi").select("bucket", "whole")
     # Of equal ranges one is enough for the others of the bucket to be compared with.
-    left = ranges.join(single, ["bucket", "whole"], "left_semi").select("doc", "anchor", "first", "last")
-    witness = (
-        ranges.join(again.join(mixed, "bucket", "left_semi"), ["bucket", "whole"], "left_semi")
-        .groupBy("bucket", "whole").agg(F.min(F.struct("doc", "anchor", "first", "last")).alias("r")).select("r.*")
-    )
-    return repeated, left.union(witness)
+    place = ("doc", "anchor", "first", "last")
+    contents = stage(ranges.groupBy("bucket", "whole").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in place]), "contents")
+    again = contents.where("n > 1").select("bucket", "whole", "n")
+    repeated = join_counted(ranges, again, ["bucket", "whole"], "n", "left_semi").select(*place)
+    mixed = stage(contents.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
+    return repeated, join_counted(contents, mixed, ["bucket"], "kinds", "left_semi").select(*place)
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
