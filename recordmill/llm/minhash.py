@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordmill.llm import bytewise as B
-from recordmill.llm.tables import texts
+from recordmill.llm.tables import join_counted, texts
 from recordmill.session import stage
 
 BANDS = 40
 ROWS = 6
 STAR_ROUNDS = 6
+PART_PAIRS = 1000          # pairs of one end that a task gets at least, before the end is dealt to several
+PARTS = 256                # about so many tasks share the pairs of an end that all pairs have in common
 
 _MULTIPLIERS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -120,13 +122,26 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
+    """``rows`` (``pairs`` and more) with the whole set of ``end``; the set of an end with very many pairs goes to several tasks.
+
+    Such ends are at most PARTS, so their ids may be broadcast.
+    """
+    share = max(pairs.count() // PARTS, PART_PAIRS)
+    parts = F.ceil(F.col("count") / share).cast("int").alias("parts")
+    hot = stage(pairs.groupBy(end).count().where(F.col("count") > share).select(end, parts), "hot")
+    dealt = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    ends = rows.join(F.broadcast(hot), end, "left").select(*rows.columns, dealt)
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    held = sets.withColumnRenamed("doc_id", end).join(F.broadcast(hot), end, "left").select(end, F.col("shingles").alias(f"set_of_{end}"), copies)
+    return ends.join(held, [end, "part"]).drop("part")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets overlap enough; each set travels once for a pair."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_of_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_of_b"))
     shared = F.size(F.array_intersect("set_of_a", "set_of_b"))
     return (
-        pairs.join(one, "a").join(two, "b")
+        _with_set(_with_set(pairs, pairs, sets, "b", "a"), pairs, sets, "a", "b")
         .select("a", "b", shared.alias("shared"), F.size("set_of_a").alias("n_a"), F.size("set_of_b").alias("n_b"))
         .where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared")))
         .select("a", "b")
@@ -152,12 +167,12 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
     signed = stage(signatures(docs, k, bands, rows), "signatures")
     classes = (
         signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles")
-        .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"))
+        .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     )
     classes = stage(classes, "classes")
     members = classes.select("class", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last").select("bucket")
-    members = stage(members.join(shared, "bucket"), "members")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("rows")).where("rows > 1")
+    members = stage(join_counted(members, stage(shared, "shared"), ["bucket"], "rows", "left_semi"), "members")
 
     ids = members.select(F.col("class").alias("doc_id")).distinct()
     sets = stage(shingle_sets(docs.select("doc_id", "text").dropDuplicates(["doc_id"]).join(ids, "doc_id", "left_semi"), k), "sets")
@@ -169,9 +184,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
         split = now.groupBy("bucket").agg(
             F.min("label").alias("low"), F.max("label").alias("high"),
             F.min_by(F.struct("class", "n", "label"), F.col("class") if turn == 0 else F.xxhash64("class", "bucket", F.lit(turn))).alias("rep"),
-        ).where("low <> high").select("bucket", "rep")
+            F.count("*").alias("rows"),
+        ).where("low <> high").select("bucket", "rep", "rows")
         if turn < STAR_ROUNDS:
-            pairs = now.join(split, "bucket").where("label <> rep.label").select(
+            pairs = join_counted(now, stage(split, "split"), ["bucket"], "rows").where("label <> rep.label").select(
                 F.col("class").alias("x"), F.col("rep.class").alias("y"), F.col("n").alias("n_a"), F.col("rep.n").alias("n_b"))
         else:  # whatever is still apart within a bucket
             left = now.join(split.select("bucket"), "bucket")
@@ -194,10 +210,11 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
             "labels",
         )
 
-    named = classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), "class")
-    named = named.join(labels, "class", "left").select("set_a", "set_b", "n", F.coalesce("label", "class").alias("label"))
-    return (
-        signed.join(named, (signed.set_a == named.set_a) & (signed.set_b == named.set_b) & (signed.n_shingles == named.n), "left")
-        .select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("component_id") == F.col("doc_id"))
-    )
+    key = ["set_a", "set_b", "n_shingles"]
+    named = classes.select(*key, "class", "copies").join(labels, "class", "left").select(*key, "copies", F.coalesce("label", "class").alias("label"))
+    rows = signed.select("doc_id", *key)
+    found = join_counted(rows.where("n_shingles > 0"), stage(named, "named"), key, "copies").select("doc_id", "n_shingles", "label")
+    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("label"))
+    return found.union(alone).select(
+        "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
+    ).withColumn("kept", F.col("component_id") == F.col("doc_id"))
