@@ -25,7 +25,7 @@ from recordmill.session import stage
 
 BANDS = 40
 ROWS = 6
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
 PART_PAIRS = 1000          # pairs of one end that a task gets at least, before the end is dealt to several
 PARTS = 256                # about so many tasks share the pairs of an end that all pairs have in common
 
@@ -125,15 +125,15 @@ def components(edges: DataFrame) -> DataFrame:
 def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, end: str, other: str) -> DataFrame:
     """``rows`` (``pairs`` and more) with the whole set of ``end``; the set of an end with very many pairs goes to several tasks.
 
-    Such ends are at most PARTS, so their ids may be broadcast.
+    Such ends are at most twice PARTS, so the staged table of their ids is small at any size of input.
     """
     share = max(pairs.count() // PARTS, PART_PAIRS)
     parts = F.ceil(F.col("count") / share).cast("int").alias("parts")
     hot = stage(pairs.groupBy(end).count().where(F.col("count") > share).select(end, parts), "hot")
     dealt = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-    ends = rows.join(F.broadcast(hot), end, "left").select(*rows.columns, dealt)
+    ends = rows.join(hot, end, "left").select(*rows.columns, dealt)
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
-    held = sets.withColumnRenamed("doc_id", end).join(F.broadcast(hot), end, "left").select(end, F.col("shingles").alias(f"set_of_{end}"), copies)
+    held = sets.withColumnRenamed("doc_id", end).join(hot, end, "left").select(end, F.col("shingles").alias(f"set_of_{end}"), copies)
     return ends.join(held, [end, "part"]).drop("part")
 
 
