@@ -100,19 +100,29 @@ def table_rows(shown: str, candidates_only: bool = False) -> list[dict]:
     tables = [(no, t, _attributes(t.attrs).get("class", "")) for no, t in enumerate(found, 1)]
     marked = {no for no, _, classes in tables if not set(fixed.TABLE_CLASSES).isdisjoint(classes.split())}
 
+    # Rows and cells of nested tables belong to every outer table: each is read once.
+    @lru_cache(None)
     def text(box: _Box) -> str:
         return clean("".join(pieces[box.first:box.last]))
 
+    @lru_cache(None)
+    def cells(row: _Box) -> list[str]:
+        return [text(cell) for cell in row.parts]
+
+    @lru_cache(None)
+    def merged_cells(row: _Box) -> list[tuple[int, tuple[int, int]]]:
+        sizes = ((x, _spans(cell.attrs)) for x, cell in enumerate(row.parts, 1) if "span" in cell.attrs.lower())
+        return [(x, size) for x, size in sizes if size != (1, 1)]
+
     out = []
     for no, table, classes in tables:
         if candidates_only and marked and no not in marked:
             continue
-        rows = [[text(cell) for cell in row.parts] for row in table.parts]
+        rows = [cells(row) for row in table.parts]
         spans = [
             {"row_no": y, "cell_no": x, "rowspan": size[0], "colspan": size[1]}
             for y, row in enumerate(table.parts, 1)
-            for x, cell in enumerate(row.parts, 1)
-            if "span" in cell.attrs.lower() and (size := _spans(cell.attrs)) != (1, 1)
+            for x, size in merged_cells(row)
         ]
         merged = len(rows) > 2 and any(s["row_no"] > 1 for s in spans)
         out.append({
@@ -143,8 +153,6 @@ def spread(rows: list[list[str]], spans: list[dict]) -> list[list[str | None]]:
     """
     header, *data = rows
     sizes = {(s["row_no"] - 2, s["cell_no"] - 1): (s["rowspan"], s["colspan"]) for s in spans}
-    tallest = max(down for down, _ in sizes.values())
-    columns = range(len(header))
     held: dict[tuple[int, int], tuple[str, int]] = {}
     for y, cells in enumerate(data):
         x = 0
@@ -155,12 +163,17 @@ def spread(rows: list[list[str]], spans: list[dict]) -> list[list[str | None]]:
             held.update(dict.fromkeys(product(*reach), (text, down)))
             x += across
 
-    def at(y: int, x: int) -> str | None:
-        own = held[y, x][0] if (y, x) in held else None
-        above = range(y - 1, max(y - tallest, -1), -1)
-        return own or next((held[p, x][0] for p in above if (p, x) in held and p + held[p, x][1] > y), own)
-
-    return [[at(y, x) for x in columns] for y in range(len(data))]
+    grid: list[list[str | None]] = [[None] * len(header) for _ in data]
+    for x in range(len(header)):
+        reaching: list[tuple[int, str]] = []  # (row a text no longer reaches, text), the nearest last
+        for y in range(len(data)):
+            while reaching and reaching[-1][0] <= y:
+                reaching.pop()
+            text, down = held.get((y, x), (None, 0))
+            grid[y][x] = text or (reaching[-1][1] if reaching else text)
+            if down:
+                reaching.append((y + down, text))
+    return grid
 
 
 # --- labelled times -------------------------------------------------------------------------
