@@ -5,11 +5,11 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordmill import fixed
 from recordmill.functions import text as T
+from recordmill.operators.reshape import number_rows
 from recordmill.session import stage
 
 
@@ -31,11 +31,11 @@ def page_cap(df: DataFrame, pages: int | None) -> DataFrame:
 
 
 def record_cap(df: DataFrame, records: int | None) -> DataFrame:
-    """The first ``records`` items of each category; each task passes on no more than that."""
+    """The first ``records`` items of each category, however many; a large category spreads over many tasks."""
     if records is None:
         return df
-    rank = F.row_number().over(W.partitionBy("category").orderBy("page", "pos"))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= records).drop("_rank")
+    ranked = number_rows(df, [F.col("page"), F.col("pos")], name="_rank", by=["category"])
+    return ranked.where(F.col("_rank") <= records).drop("_rank")
 
 
 def filter_year(df: DataFrame, year: int) -> DataFrame:

@@ -103,7 +103,9 @@ def a4_write_by_category(spark, sf):
 
 @query
 def a5_export_text(spark, sf):
-    return A.export_text(_clean_notices(spark, sf)).select("file_key", "body")
+    root = scratch_path(spark, "texts")
+    A.write_text(A.export_text(_clean_notices(spark, sf)), root)
+    return A.read_text(spark, root).select("file_key", "body")
 
 
 @query

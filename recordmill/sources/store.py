@@ -15,6 +15,8 @@ from recordmill.functions import text as X
 from recordmill.operators.reshape import category_rank, number_rows
 from recordmill.operators.stats import category_dim
 
+RECORD_END = "\x1e"
+
 LEDGER_SCHEMA = T.StructType([
     T.StructField(name, T.LongType() if name == "seq_no" else T.StringType())
     for name in fixed.LEDGER_FIELDS.values()
@@ -107,8 +109,21 @@ def export_text(df: DataFrame, *order: str) -> DataFrame:
 
 
 def write_text(texts: DataFrame, path: str) -> None:
-    """Text reports below one folder per category, many to a file."""
-    texts.select("category", "body").write.mode("overwrite").partitionBy("category").text(path)
+    """Text reports below one folder per category, many to a file: the key's line, then the body, then a record separator.
+
+    Line breaks in a key, and separators inside texts, become blanks.
+    """
+    key = F.regexp_replace("file_key", r"[\r\n\x1E]", " ")
+    body = F.translate("body", RECORD_END, " ")
+    texts.select("category", F.concat(key, F.lit("\n"), body).alias("value")).write.mode("overwrite").partitionBy(
+        "category").option("lineSep", RECORD_END).text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """``(file_key, category, body)`` of the reports ``write_text`` wrote."""
+    stored = spark.read.schema("value string, category string").option("lineSep", RECORD_END).text(path)
+    return stored.select(
+        F.substring_index("value", "\n", 1).alias("file_key"), "category", F.expr("substr(value, instr(value, '\n') + 1)").alias("body"))
 
 
 # --- labelled text files --------------------------------------------------------------------

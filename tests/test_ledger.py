@@ -168,6 +168,7 @@ def test_store_round_trips(spark, tmp_path):
     assert {r.file_key for r in texts.collect()} == {"a_b", "监管局本级_1"}
     A.write_text(texts, f"{tmp_path}/t")
     assert spark.read.text(f"{tmp_path}/t").where("value like '当事人名称%'").count() == 2
+    assert set(map(tuple, A.read_text(spark, f"{tmp_path}/t").collect())) == set(map(tuple, texts.collect()))
 
 
 def test_labelled_files(spark, tmp_path):

@@ -18,7 +18,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["e9_dedup_business_key", "e10_dedup_fallback", "c3_record_cap"])
+@pytest.mark.parametrize("name", ["e9_dedup_business_key", "e10_dedup_fallback"])
 def test_rank_limits_apply_before_the_shuffle(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert re.search(r"WindowGroupLimit.*Partial", text) and "SinglePartition" not in text
@@ -30,6 +30,12 @@ def test_numbering_needs_no_window_over_rows(spark, name):
     assert "Window" not in text and "SortMergeJoin" not in text
 
 
+@pytest.mark.parametrize("n", [25, 5000])
+def test_a_cap_of_any_size_gathers_no_category(spark, n):
+    text = plan(C.record_cap(X.list_items(spark, SF), n))
+    assert "Window" not in text and "SinglePartition" not in text
+
+
 def test_extraction_is_one_pass_without_a_shuffle(spark, tmp_path):
     pages = X.detail_html(spark, SF).select("url", "html", "title")
     pages.write.parquet(f"{tmp_path}/pages")
