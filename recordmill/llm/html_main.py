@@ -1,6 +1,7 @@
 """Main text of web pages by two passes over their blocks.
 
 First every block is classified on its own: by the element it stands in, link density, length and the density of stop words.
+A form, or a word in class, id or role that names page furniture, only counts as evidence against the blocks inside.
 Then blocks that this left open take the label of the nearest decided neighbours.
 """
 
@@ -10,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,12 +23,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td "
                    "tfoot th thead tr ul".split())
 UNSEEN = frozenset("head script style noscript template iframe object svg math canvas audio video select datalist button textarea".split())
-APART = frozenset("nav aside footer form menu search dialog".split())
+APART = frozenset("nav aside footer menu search dialog".split())
 ARTICLE = frozenset(("article", "main"))
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation "
                   "breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe "
                   "signup login share sharing social related recommended comment comments commentlist respond replies disqus pagination "
                   "pager widget toolbar skip complementary contentinfo search".split())
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())  # what may well outweigh its article
 STOP_WORDS = frozenset(
     "the of and to in is it that for was on are as with be by at from or an this have not he she they his her you we which but had has were a "
     "le la les de des du un une et est en que qui dans pour par sur au aux avec il elle pas ne ce se son sa ou "
@@ -35,7 +38,7 @@ STOP_WORDS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 MANY_LINKS = 0.5           # share of a block's characters inside links
-LONG = 70                  # characters
+LONG, LONG_MARKED = 70, 200  # characters; the latter where an element around the block is marked
 STOPS_LOW, STOPS_HIGH = 0.1, 0.2
 _WORDS = re.compile(r"\w+")
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -43,14 +46,40 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 GOOD, BAD, OPEN = 1, -1, 0
 
 
+class Mark(NamedTuple):
+    """A marked element: the mark around it or -1, its names, those of no element around it, and how many articles (2: or more) are."""
+
+    outer: int
+    names: frozenset[str]
+    first: frozenset[str]
+    depth: int
+
+
+class Block(NamedTuple):
+    """Text, characters inside links, whether it stands in an element apart from the article, and what is around it.
+
+    That is the number of its outermost article or 0, how many articles (2: or more), and the innermost mark or -1.
+    """
+
+    text: str
+    linked: int
+    apart: bool
+    article: int
+    depth: int
+    mark: int
+
+
 class _Blocks(HTMLParser):
-    """Blocks of a page: (text, characters inside links, stands apart from the article, number of its article or 0)."""
+    """Blocks and marked elements of a page."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, str]] = []       # elements that hold blocks, and what they are
+        self.blocks: list[Block] = []
+        self.marks: list[Mark] = []
+        self.mark = -1
+        self.open: list[tuple[str, str, int]] = []  # elements that hold blocks, what they are, and the mark around them
         self.names: Counter = Counter()
+        self.marking: Counter = Counter()
         self.kinds: Counter = Counter()
         self.link = False
         self.parts: list[str] = []
@@ -62,24 +91,30 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             linked = len(" ".join("".join(self.linked).split()))
-            self.blocks.append((text, linked, self.kinds["apart"] > 0, self.article))
+            self.blocks.append(Block(text, linked, self.kinds["apart"] > 0, self.article, self.depth(), self.mark))
         self.parts, self.linked = [], []
 
-    def kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    def depth(self) -> int:
+        return min(self.kinds["article"], 2)
+
+    def kind(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[str, frozenset[str]]:
+        """What an element is, and the names that mark it."""
+        none: frozenset[str] = frozenset()
         if tag in UNSEEN:
-            return "unseen"
+            return "unseen", none
         if tag in ARTICLE:
-            return "article"
+            return "article", none
         if tag in APART or tag == "header" and not self.kinds["article"]:
-            return "apart"
+            return "apart", none
         if tag in ("html", "body"):
-            return "plain"
+            return "plain", none
+        names = {"form"} if tag == "form" else set()
         for name, value in attrs:
-            if name in ("class", "id", "role") and not MARKS.isdisjoint(_PARTS.split((value or "").lower())):
-                return "apart"
+            if name in ("class", "id", "role"):
+                names.update(x for x in (value or "").lower().split() if not MARKS.isdisjoint(_PARTS.split(x)))
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return "unseen"
-        return "plain"
+                return "unseen", none
+        return ("marked", frozenset(names)) if names else ("plain", none)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -91,7 +126,7 @@ class _Blocks(HTMLParser):
             self.link = False  # a link that was never closed
             if tag in ("p", "li", "td", "th", "dt", "dd", "tr") and self.open and self.open[-1][0] == tag:
                 self.leave()  # these end one another
-        kind = self.kind(tag, attrs) if tag not in VOID else "plain"
+        kind, names = self.kind(tag, attrs) if tag not in VOID else ("plain", frozenset())
         if tag in VOID or tag not in BLOCKS and tag not in UNSEEN and kind == "plain":
             return
         if kind == "article" and not self.kinds["article"]:
@@ -99,12 +134,19 @@ class _Blocks(HTMLParser):
             self.article = self.articles
         if kind != "plain":
             self.end_block()
-        self.open.append((tag, kind))
+        self.open.append((tag, kind, self.mark))
+        if kind == "marked":
+            self.marks.append(Mark(self.mark, names, frozenset(x for x in names if not self.marking[x]), self.depth()))
+            self.mark = len(self.marks) - 1
+            self.marking.update(names)
         self.names[tag] += 1
         self.kinds[kind] += 1
 
     def leave(self) -> str:
-        tag, kind = self.open.pop()
+        tag, kind, outer = self.open.pop()
+        if kind == "marked":
+            self.marking.subtract(self.marks[self.mark].names)
+        self.mark = outer
         self.names[tag] -= 1
         self.kinds[kind] -= 1
         if kind == "article" and not self.kinds["article"]:
@@ -130,29 +172,72 @@ class _Blocks(HTMLParser):
                 self.linked.append(data)
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, int]]:
+def blocks(html: str) -> tuple[list[Block], list[Mark]]:
     reader = _Blocks()
     reader.feed(html)
     reader.close()  # text after the last tag
     reader.end_block()
-    return reader.blocks
+    return reader.blocks, reader.marks
 
 
-def classify(text: str, linked: int, apart: bool, article: int) -> int:
-    """A block's own label."""
+def _weight(block: Block) -> int:
+    """Characters outside links; none for what stands apart or is mostly links."""
+    return 0 if block.apart or block.linked > MANY_LINKS * len(block.text) else len(block.text) - block.linked
+
+
+def classify(block: Block, marked: bool) -> int:
+    """A block's own label; a mark that holds lowers it by a step, further for what isn't long."""
+    text, linked, apart, article, *_ = block
     if apart or linked > MANY_LINKS * len(text):
         return BAD
-    if len(text) < LONG:
-        return OPEN
+    if len(text) < (LONG_MARKED if marked else LONG):
+        return BAD if marked else OPEN
     words = _WORDS.findall(text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if density >= STOPS_HIGH:
-        return GOOD
-    if density >= STOPS_LOW or article:
+        return OPEN if marked else GOOD
+    if (density >= STOPS_LOW or article) and not marked:
         return OPEN
     return BAD
 
 
+def _of_comments(name: str) -> bool:
+    return set() < MARKS.intersection(_PARTS.split(name)) <= COMMENTS
+
+
+def _holding(found: list[Block], marks: list[Mark]) -> list[bool]:
+    """Whether each mark, or one around it, holds on this page.
+
+    A name marks nothing where its elements have most of the page's text between them; names of comments are judged element by
+    element. And no mark holds around an article or main element with a long block of running text (names of comments
+    aside), or with half of the text that such elements have.
+    """
+    weights, long = [[0, 0, 0] for _ in marks], [[False] * 3 for _ in marks]
+    total = [0, 0, 0]
+    for b in found:
+        total[b.depth] += _weight(b)
+        if b.mark >= 0:
+            weights[b.mark][b.depth] += _weight(b)
+            long[b.mark][b.depth] |= classify(b, True) == OPEN
+    for i in range(len(marks) - 1, -1, -1):  # inner marks come after outer ones
+        outer = marks[i].outer
+        if outer >= 0:
+            weights[outer] = [x + y for x, y in zip(weights[outer], weights[i], strict=True)]
+            long[outer] = [x or y for x, y in zip(long[outer], long[i], strict=True)]
+    shares: Counter = Counter()
+    for mark, weight in zip(marks, weights, strict=True):
+        for name in mark.first:
+            shares[name] += sum(weight)
+    out: list[bool] = []
+    for mark, weight, runs in zip(marks, weights, long, strict=True):
+        holds = any(2 * (sum(weight) if _of_comments(x) else shares[x]) <= sum(total) for x in mark.names)
+        deeper = sum(weight[mark.depth + 1:])
+        if holds and deeper:
+            holds = 2 * deeper < sum(total[mark.depth + 1:]) and (not any(runs[mark.depth + 1:]) or all(map(_of_comments, mark.names)))
+        out.append(holds or mark.outer >= 0 and out[mark.outer])
+    return out
+
+
 def _nearest(labels: list[int], places: list[int], order: range) -> list[tuple[int, int]]:
     """For every block the nearest decided label before it in ``order`` within its article, and its distance."""
     out: list[tuple[int, int]] = [(OPEN, 0)] * len(labels)
@@ -166,34 +251,61 @@ def _nearest(labels: list[int], places: list[int], order: range) -> list[tuple[i
     return out
 
 
+def _settled(labels: list[int], places: list[int]) -> list[int]:
+    """The labels with every open one settled by the nearer decided neighbour, or by whether it stands in an article."""
+    before = _nearest(labels, places, range(len(labels)))
+    after = _nearest(labels, places, range(len(labels) - 1, -1, -1))
+    out = []
+    for label, place, (one, near_one), (two, near_two) in zip(labels, places, before, after, strict=True):
+        if label == OPEN:
+            if one == OPEN or two == OPEN:
+                label = one or two or (GOOD if place else BAD)
+            elif near_one != near_two:
+                label = one if near_one < near_two else two
+            else:
+                label = max(one, two)
+        out.append(label)
+    return out
+
+
+def _kept(found: list[Block], marked: list[bool]) -> list[str]:
+    labels = [classify(b, m) for b, m in zip(found, marked, strict=True)]
+    places = [b.article for b in found]
+    settled = _settled(labels, places)
+    own = [i for i, m in enumerate(marked) if not (m and places[i])]
+    for i, label in zip(own, _settled([labels[i] for i in own], [places[i] for i in own]), strict=True):
+        settled[i] = label
+    return [b.text for b, label in zip(found, settled, strict=True) if label == GOOD]
+
+
 def main_text(html: str | None) -> str:
     """Good blocks in page order, one a line.
 
     An open block takes the label of the nearer decided neighbour, good where both are as near. Inside an article or main
-    element only neighbours that stand in the same one count, and what stands apart there (a note, an advert) is no neighbour;
-    with none, the block is good there and bad elsewhere. Where a page has such an element, blocks outside it are bad.
+    element only neighbours that stand in the same one count, and what stands apart there (a note, an advert) or is marked is
+    no neighbour of what isn't; with none, the block is good there and bad elsewhere. Blocks outside such elements are bad
+    where these have at least as much text as the good blocks outside have, comments and marked blocks aside. A marked block is
+    never good on its own; marks are left out of account on a page that would have no text with them.
     """
     if not html:
         return ""
-    found = blocks(html)
-    has_article = any(article and not apart for _, _, apart, article in found)
-    if has_article:
-        found = [b for b in found if b[3] and not b[2]]
-    labels = [classify(*b) for b in found]
-    places = [b[3] for b in found]
-    before = _nearest(labels, places, range(len(found)))
-    after = _nearest(labels, places, range(len(found) - 1, -1, -1))
-    kept = []
-    for block, label, (one, near_one), (two, near_two) in zip(found, labels, before, after, strict=True):
-        if label == OPEN:
-            if one == OPEN or two == OPEN:
-                label = one or two or (GOOD if has_article else BAD)
-            elif near_one != near_two:
-                label = one if near_one < near_two else two
-            else:
-                label = max(one, two)
-        if label == GOOD:
-            kept.append(block[0])
+    found, marks = blocks(html)
+    holding = _holding(found, marks)
+    marked = [b.mark >= 0 and holding[b.mark] for b in found]
+    comments: list[bool] = []
+    for mark in marks:
+        comments.append(mark.outer >= 0 and comments[mark.outer] or any(map(_of_comments, mark.names)))
+    inside = sum(_weight(b) for b in found if b.article)
+    outside = sum(
+        _weight(b) for b, m in zip(found, marked, strict=True)
+        if not b.article and not (b.mark >= 0 and comments[b.mark]) and classify(b, m) == GOOD
+    )
+    only = 0 < inside >= outside
+    chosen = [(b, m) for b, m in zip(found, marked, strict=True) if (not b.apart if b.article else not only)]
+    found, marked = [b for b, _ in chosen], [m for _, m in chosen]
+    kept = _kept(found, marked)
+    if not kept and any(marked):
+        kept = _kept(found, [False] * len(found))
     return "\n".join(kept)
 
 

@@ -188,6 +188,30 @@ def test_main_text_without_the_rest():
     assert main_text(loose).split("\n")[1] == "Short end." and "link" not in main_text(loose)
 
 
+def test_marks_are_evidence():
+    one = "The first part of the text is here and it is as long as it has to be for the rule."
+    two = "And the second part of it is in this block, which is as long as the one before it was."
+    text = f"{one}\n{two}"
+    both = f"<p>{one}</p><p>{two}</p>"
+    for words in ("content no-sidebar", "has-sidebar", "menu-open", "search-results", "comments-open"):
+        assert main_text(f"<body><div class='{words}'>{both}</div><div class=sidebar>More</div></body>") == text
+        assert main_text(f"<body><div id='{words}'><article>{both}</article></div><div class=sidebar>More of it</div></body>") == text
+        assert main_text(f"<body><main><div class='{words}'><article>{both}</article></div><div class=ad>Buy it</div></main></body>") == text
+    assert main_text(f"<body><form id=aspnet action=x><div>{both}</div><input><div class=footer>The end</div></form></body>") == text
+    assert main_text("<body>" + "".join(f"<div class=x-widget><p>{p}</p></div>" for p in (one, two)) + "</body>") == text
+    # a long block in a marked element goes with its neighbours; a short one is bad
+    long = " ".join([one] * 3)
+    assert main_text(f"<article>{both}<div class=notice><p>{long}</p><p>Short.</p></div><p>{two}</p></article>") == f"{text}\n{long}\n{two}"
+    # articles that have less text than the rest of the page
+    cards = "<article><h3>Other</h3><a href=x>A teaser that is read there</a></article>" * 3
+    assert set(text.split("\n")) <= set(main_text(f"<body><div>{both}</div><div>{cards}</div></body>").split("\n"))
+    # what stays out
+    comments = f"<ol class=comment-list><li class=comment><article class=comment-body><p>A name</p><p>{one}</p></article></ol>"
+    assert main_text(f"<main><article>{both}<p>{two}</p></article><div id=comments>{comments}</div></main>") == f"{text}\n{two}"
+    assert main_text(f"<main>{both}</main><div class=sidebar><article><p>{one}</p></article></div>") == text
+    assert main_text(f"<body><form class=menu hidden>{both}</form><p>{one}</p></body>") == one
+
+
 def test_quality_held_out(spark):
     rows = entry.queries()["op9_neighbour_quality"](spark, "/root/testdata/sf0.01")
     held = rows.where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("quality is not null")
