@@ -36,6 +36,12 @@ STOP_WORDS = frozenset(
     "der die das den dem des ein eine einer und ist in zu mit von auf für im nicht sich es als auch an bei er sie aus "
     "el los las del y es por con para se su al lo como más o pero una".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# What a head may hold, and the elements that a start tag ends where their own end tag was left out.
+HEAD = frozenset("html head title meta link base script style noscript template".split())
+_CELLS = frozenset("p caption td th".split())
+ENDS = dict.fromkeys(BLOCKS - {"html", "body"}, frozenset(("p",))) | {
+    "li": frozenset(("p", "li")), **dict.fromkeys(("dt", "dd"), frozenset(("p", "dt", "dd"))), **dict.fromkeys(("td", "th"), _CELLS),
+    "tr": _CELLS | {"tr"}, **dict.fromkeys(("thead", "tbody", "tfoot"), _CELLS | {"tr", "thead", "tbody", "tfoot"})}
 
 MANY_LINKS = 0.5           # share of a block's characters inside links
 LONG, LONG_MARKED = 70, 200  # characters; the latter where an element around the block is marked
@@ -77,7 +83,9 @@ class _Blocks(HTMLParser):
         self.blocks: list[Block] = []
         self.marks: list[Mark] = []
         self.mark = -1
-        self.open: list[tuple[str, str, int]] = []  # elements that hold blocks, what they are, and the mark around them
+        # Elements that hold blocks, what they are, the mark around them, and the place here of the innermost that isn't inline.
+        self.open: list[tuple[str, str, int, int]] = []
+        self.title = False
         self.names: Counter = Counter()
         self.marking: Counter = Counter()
         self.kinds: Counter = Counter()
@@ -117,6 +125,10 @@ class _Blocks(HTMLParser):
         return ("marked", frozenset(names)) if names else ("plain", none)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.names["head"] and (tag == "body" or tag not in HEAD and not self.names["noscript"] and not self.names["template"]):
+            self.end_head()
+        if tag == "title":
+            self.title = True
         if tag == "br":
             self.handle_data(" ")
         if tag == "a":
@@ -124,8 +136,9 @@ class _Blocks(HTMLParser):
         if tag in BLOCKS:
             self.end_block()
             self.link = False  # a link that was never closed
-            if tag in ("p", "li", "td", "th", "dt", "dd", "tr") and self.open and self.open[-1][0] == tag:
-                self.leave()  # these end one another
+            while self.open and (at := self.open[-1][3]) >= 0 and self.open[at][0] in ENDS.get(tag, ()):
+                while len(self.open) > at:
+                    self.leave()
         kind, names = self.kind(tag, attrs) if tag not in VOID else ("plain", frozenset())
         if tag in VOID or tag not in BLOCKS and tag not in UNSEEN and kind == "plain":
             return
@@ -134,7 +147,8 @@ class _Blocks(HTMLParser):
             self.article = self.articles
         if kind != "plain":
             self.end_block()
-        self.open.append((tag, kind, self.mark))
+        inline = tag not in BLOCKS and tag not in UNSEEN
+        self.open.append((tag, kind, self.mark, len(self.open) if not inline else self.open[-1][3] if self.open else -1))
         if kind == "marked":
             self.marks.append(Mark(self.mark, names, frozenset(x for x in names if not self.marking[x]), self.depth()))
             self.mark = len(self.marks) - 1
@@ -143,7 +157,7 @@ class _Blocks(HTMLParser):
         self.kinds[kind] += 1
 
     def leave(self) -> str:
-        tag, kind, outer = self.open.pop()
+        tag, kind, outer, _ = self.open.pop()
         if kind == "marked":
             self.marking.subtract(self.marks[self.mark].names)
         self.mark = outer
@@ -153,7 +167,14 @@ class _Blocks(HTMLParser):
             self.article = 0
         return tag
 
+    def end_head(self) -> None:
+        self.title = False
+        while self.leave() != "head":
+            pass
+
     def handle_endtag(self, tag: str) -> None:
+        if tag == "title":
+            self.title = False
         if tag == "a":
             self.link = False
         if tag in BLOCKS or self.names[tag]:
@@ -166,6 +187,8 @@ class _Blocks(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not self.title and data.strip():
+            self.end_head()
         if not self.kinds["unseen"]:
             self.parts.append(data)
             if self.link:

@@ -212,6 +212,25 @@ def test_marks_are_evidence():
     assert main_text(f"<body><form class=menu hidden>{both}</form><p>{one}</p></body>") == one
 
 
+def test_end_tags_left_out():
+    one = "The first part of the text is here and it is as long as it has to be for the rule."
+    two = "And the second part of it is in this block, which is as long as the one before it was."
+    text = f"{one}\n{two}"
+    for start in ("<body>", "", "<body class=x>", "<div>"):
+        assert main_text(f"<html><head><meta charset=utf-8><title>T</title><script>1</script>{start}<p>{one}<p>{two}") == text
+    assert main_text(f"<html><head><title>T</title> {one}<p>{two}</html>") == text
+    assert main_text(f"<head><title>T</title><noscript><img src=x></noscript><style>p</style></head><p>{one}</p><p>{two}</p>") == text
+    assert main_text(f"<head><title>T</title><noscript>On<body><p>{one}</p><p>{two}</p>") == text
+    for name in ("ad", "notice"):
+        for tag in ("div", "h2", "ul", "section", "table", "p", "blockquote"):
+            inner = f"<{tag}><li>{two}</ul>" if tag == "ul" else f"<{tag}><tr><td>{two}</table>" if tag == "table" else f"<{tag}>{two}</{tag}>"
+            assert main_text(f"<body><div><p>{one}</p><p class={name}>Buy it{inner}</div></body>") == text
+            assert main_text(f"<body><article><p>{one}</p><p class={name}>Buy <span class=ad>it{inner}</article></body>") == text
+    assert main_text(f"<article><dl><dt class=ad>Buy it<dd>{one}<dt class=ad>And this<dd>{two}</dl></article>") == text
+    assert main_text(f"<article><table><tr><td class=ad>Buy it<tr><td>{one}<tbody><tr class=ad><th>This<tbody><tr><td>{two}</table></article>") == text
+    assert main_text(f"<article><ul><li hidden><p>Away<li>{one}<li class=ad>Buy it<ul><li>This</ul><li>{two}</ul></article>") == text
+
+
 def test_quality_held_out(spark):
     rows = entry.queries()["op9_neighbour_quality"](spark, "/root/testdata/sf0.01")
     held = rows.where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("quality is not null")
