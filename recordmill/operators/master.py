@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordmill import fixed
 from recordmill.functions import text as T
-from recordmill.operators.reshape import ledger_projection, renumber
+from recordmill.operators.reshape import ADDED, ledger_projection, renumber
 from recordmill.session import stage
 
 PRIMARY_KEY = ("entity_name", "decision_authority", "decision_document_number")
@@ -61,20 +61,26 @@ def merge_new(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def master_and_batch(master: DataFrame, batch: DataFrame) -> DataFrame:
-    """Both sides with ``source`` (0 master, 1 batch) ahead of ``ingest_pos`` in precedence."""
+    """Both sides with ``source`` (0 master, 1 batch) ahead of ``ingest_pos`` in precedence.
+
+    Of the columns beside the twelve, those that either side has come along, null on the other.
+    """
+    added = {c: t for c, t in ADDED.items() if c in master.columns or c in batch.columns}
+
     def side(df: DataFrame, source: int) -> DataFrame:
         position = F.col("ingest_pos" if "ingest_pos" in df.columns else "seq_no").cast("bigint")
         placed = df.withColumn("_position", position)
         text = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEDGER_TEXT]
-        return placed.select(*text, F.lit(source).alias("source"), F.col("_position").alias("ingest_pos"))
+        more = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in added.items()]
+        return placed.select(*text, *more, F.lit(source).alias("source"), F.col("_position").alias("ingest_pos"))
 
     return side(master, 0).unionByName(side(batch, 1))
 
 
 def upsert_master(master: DataFrame, batch: DataFrame) -> DataFrame:
-    """The new master: existing rows win, newest first, renumbered, twelve columns."""
+    """The new master: existing rows win, newest first, renumbered, twelve columns and what is added to them."""
     merged = first_wins(master_and_batch(master, batch), list(PRIMARY_KEY), "source", "ingest_pos")
-    return ledger_projection(renumber(merged, "source", "ingest_pos"))
+    return ledger_projection(renumber(merged, "source", "ingest_pos"), added=True)
 
 
 def new_records(master: DataFrame, batch: DataFrame) -> DataFrame:

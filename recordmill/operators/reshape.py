@@ -12,6 +12,9 @@ from recordmill import fixed
 from recordmill.functions import text as T
 from recordmill.session import stage
 
+# What a row carries beside the twelve ledger columns, and its types.
+ADDED = {"decision_date": "date", "amount_yuan": "decimal(18,2)", "extras": "map<string,string>"}
+
 _SLOT_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
@@ -34,6 +37,12 @@ def clean_fields(fields: Column) -> Column:
     return F.transform_values(normalize_fields(fields), value)
 
 
+def exact_amount(fields: Column) -> Column:
+    """The amount of a record as collected; its cleaned text is rounded to tenths of 万元 and splits at thousands separators."""
+    named = normalize_fields(fields)
+    return T.amount_yuan(T.first_nonempty(*[T.clean_value(F.try_element_at(named, F.lit(f))) for f in fixed.AMOUNT_FIELDS]))
+
+
 def clean_records(records: DataFrame) -> DataFrame:
     """Raw record maps (column ``fields``) cleaned in place, with a typed amount beside them."""
     cleaned = records.withColumn("fields", clean_fields(F.col("fields")))
@@ -46,7 +55,7 @@ def process_category(records: DataFrame) -> DataFrame:
 
     Input ``(ingest_pos, category, fields, additional)``; i is the 1-based position of the main
     record in its category, also the sequence number where a record brings none. Output adds
-    ``position`` and ``part`` (rank inside the notice, main row last).
+    ``position``, ``part`` (rank inside the notice, main row last) and ``amount_yuan``.
     """
     placed = number_rows(records, [F.col("ingest_pos")], name="position", by=["category"])
     main = clean_fields(F.col("fields"))
@@ -59,15 +68,19 @@ def process_category(records: DataFrame) -> DataFrame:
             F.col("main"), lambda k, _: k.isin(fixed.TITLE, fixed.DETAIL_URL, fixed.CRAWL_TIME)
         )
         number = F.concat(i, F.lit("-"), (j + 1).cast("string"))
-        return F.map_concat(inherited, cleaned, F.create_map(F.lit(fixed.SEQ), number))
+        return row(F.map_concat(inherited, cleaned, F.create_map(F.lit(fixed.SEQ), number)), item)
+
+    def row(cleaned, raw):
+        return F.struct(cleaned.alias("fields"), exact_amount(raw).alias("amount_yuan"))
 
     rows = F.concat(
         F.transform(F.coalesce("additional", F.array().cast("array<map<string,string>>")), extra),
-        F.array(F.map_concat("main", F.create_map(F.lit(fixed.SEQ), own_seq))),
+        F.array(row(F.map_concat("main", F.create_map(F.lit(fixed.SEQ), own_seq)), F.col("fields"))),
     )
     return (
         placed.withColumn("main", main)
-        .select("ingest_pos", "category", "position", F.posexplode(rows).alias("part", "fields"))
+        .select("ingest_pos", "category", "position", F.posexplode(rows).alias("part", "row"))
+        .select("ingest_pos", "category", "position", "part", "row.fields", "row.amount_yuan")
         .withColumn("fields", F.map_concat("fields", F.create_map(F.lit(fixed.CATEGORY), F.col("category"))))
     )
 
@@ -75,7 +88,8 @@ def process_category(records: DataFrame) -> DataFrame:
 def canonicalize(records: DataFrame, *keep: str) -> DataFrame:
     """Record maps to the twelve ledger columns, '' where absent, document number from the title.
 
-    Fields outside the ledger stay in ``extras``; ``decision_date`` and ``source_seq`` are kept too.
+    Fields outside the ledger stay in ``extras``, an unreadable decision date too; ``decision_date``, ``amount_yuan`` (as given, or
+    else from the fields) and ``source_seq`` are kept.
     """
     def field(*names: str) -> Column:
         return T.first_nonempty(*[F.try_element_at("fields", F.lit(n)) for n in names])
@@ -86,10 +100,13 @@ def canonicalize(records: DataFrame, *keep: str) -> DataFrame:
         for name, column in fixed.LEDGER_FIELDS.items()
     ]
     known = [*fixed.LEDGER_FIELDS, "detail_url", "title", fixed.DECISION_DATE]
-    extras = F.map_filter("fields", lambda k, _: ~k.isin(known))
+    extras = F.map_filter(
+        "fields", lambda k, v: ~k.isin(known) | (k == fixed.DECISION_DATE) & (v != "") & T.strict_day(v).isNull())
+    amount = F.col("amount_yuan") if "amount_yuan" in records.columns else exact_amount(F.col("fields"))
     flat = records.select(
         *keep, *columns,
         T.strict_day(field(fixed.DECISION_DATE)).alias("decision_date"),
+        amount.alias("amount_yuan"),
         extras.alias("extras"),
     )
     return fill_decision_number(flat)
@@ -102,8 +119,8 @@ def fill_decision_number(df: DataFrame) -> DataFrame:
     return df.withColumn("decision_document_number", number)
 
 
-def ledger_projection(df: DataFrame) -> DataFrame:
-    """Exactly the twelve ledger columns in order; absent or null text becomes ''."""
+def ledger_projection(df: DataFrame, added: bool = False) -> DataFrame:
+    """Exactly the twelve ledger columns in order; absent or null text becomes ''. With ``added``, those of ``ADDED`` that are there follow."""
     def column(name: str) -> Column:
         if name not in df.columns:
             return F.lit("").alias(name)
@@ -111,7 +128,8 @@ def ledger_projection(df: DataFrame) -> DataFrame:
             return F.col(name)
         return F.coalesce(F.col(name), F.lit("")).alias(name)
 
-    return df.select(*[column(c) for c in fixed.LEDGER_FIELDS.values()])
+    more = [c for c in ADDED if added and c in df.columns]
+    return df.select(*[column(c) for c in fixed.LEDGER_FIELDS.values()], *more)
 
 
 def standardize_columns(df: DataFrame) -> DataFrame:

@@ -49,14 +49,13 @@ def pages_to_ledger(
     categories: str | None = None, max_pages: int | None = None, max_records: int | None = None,
     init_year: int = fixed.INIT_YEAR,
 ) -> DataFrame:
-    """The run's ledger: cleaned, deduplicated, newest first, numbered."""
+    """The run's ledger: cleaned, deduplicated, newest first, numbered; decision date, amount and other fields beside the twelve columns."""
     raw = collect_records(list_pages, detail_pages, site, mode, today, crawl_time, categories, max_pages, max_records, init_year)
-    rows = R.canonicalize(
-        R.clean_records(raw.withColumn("fields", F.map_concat("fields", F.create_map(F.lit(fixed.CATEGORY), F.col("category"))))),
-        "page", "pos", "record_no",
-    )
+    raw = raw.withColumn("exact", R.exact_amount(F.col("fields")))
+    cleaned = R.clean_records(raw.withColumn("fields", F.map_concat("fields", F.create_map(F.lit(fixed.CATEGORY), F.col("category")))))
+    rows = R.canonicalize(cleaned.withColumn("amount_yuan", F.col("exact")), "page", "pos", "record_no")
     place = ("category", "page", "pos", "record_no")
-    return R.ledger_projection(R.renumber(M.first_wins(rows, list(M.PRIMARY_KEY), *place), *place))
+    return R.ledger_projection(R.renumber(M.first_wins(rows, list(M.PRIMARY_KEY), *place), *place), added=True)
 
 
 def update_master(spark: SparkSession, root: str, batch: DataFrame, now: datetime) -> DataFrame:
@@ -82,8 +81,8 @@ def process_and_save(
     rows = R.canonicalize(R.process_category(records), "position", "part").withColumn(
         "category_no", R.category_rank(F.col("category"))
     )
-    rows = stage(rows.drop("extras"), "rows")
-    main = R.ledger_projection(R.renumber(rows, *place))
+    rows = stage(rows, "rows")
+    main = R.ledger_projection(R.renumber(rows, *place), added=True)
     stats = S.summary_by_category(rows).withColumn("updated", F.lit(now.strftime("%Y-%m-%d %H:%M:%S")))
     A.write_report(main, stats, f"{path}/report")
     if master_root:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from recordmill import fixed
 from recordmill.functions import text as X
-from recordmill.operators.reshape import category_rank, number_rows
+from recordmill.operators.reshape import ADDED, category_rank, number_rows
 from recordmill.operators.stats import category_dim
 
 RECORD_END = "\x1e"
@@ -33,6 +33,17 @@ def scan_master(spark: SparkSession, path: str, schema: T.StructType = LEDGER_SC
         return spark.createDataFrame([], schema)
 
 
+def with_added(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """``schema`` and those of the added columns that any file of the stored ledger has."""
+    try:
+        stored = spark.read.option("mergeSchema", True).parquet(path).columns
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
+            raise
+        return schema
+    return T.StructType(schema.fields + [T.StructField(c, T.DataType.fromDDL(t)) for c, t in ADDED.items() if c in stored])
+
+
 # --- snapshots ------------------------------------------------------------------------------
 
 
@@ -60,7 +71,8 @@ def latest_snapshot(spark: SparkSession, root: str, schema: T.StructType = LEDGE
         f for f in folders
         if f.startswith("snapshot_ts=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{f}/_SUCCESS"))
     ]
-    return scan_master(spark, f"{root}/{max(done)}" if done else f"{root}/none", schema)
+    path = f"{root}/{max(done)}" if done else f"{root}/none"
+    return scan_master(spark, path, with_added(spark, path, schema))
 
 
 # --- reports --------------------------------------------------------------------------------

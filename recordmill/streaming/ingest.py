@@ -9,8 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from recordmill import fixed
 from recordmill.operators.master import LEDGER_TEXT, new_records
-from recordmill.operators.reshape import ledger_projection, renumber
-from recordmill.sources.store import scan_master
+from recordmill.operators.reshape import ADDED, ledger_projection, renumber
+from recordmill.sources.store import scan_master, with_added
 
 BATCH_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in LEDGER_TEXT]
@@ -27,7 +27,8 @@ def append_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """
     spark = batch.sparkSession
     earlier = scan_master(spark, root, BATCH_SCHEMA).where(F.col("batch_id") < batch_id)
-    rows = batch.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEDGER_TEXT], "ingest_pos")
+    added = [F.col(c).cast(t).alias(c) for c, t in ADDED.items() if c in batch.columns]
+    rows = batch.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEDGER_TEXT], *added, "ingest_pos")
     new_records(earlier, rows).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
 
 
@@ -43,7 +44,8 @@ def start_ingest(records: DataFrame, root: str, checkpoint: str, **trigger) -> S
 
 def read_ingested(spark: SparkSession, root: str) -> DataFrame:
     """The ledger the stream has built, numbered newest first."""
-    return ledger_projection(renumber(scan_master(spark, root, BATCH_SCHEMA), "batch_id", "ingest_pos"))
+    stored = scan_master(spark, root, with_added(spark, root, BATCH_SCHEMA))
+    return ledger_projection(renumber(stored, "batch_id", "ingest_pos"), added=True)
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], time: str, within: str) -> DataFrame:

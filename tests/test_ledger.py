@@ -211,6 +211,43 @@ def test_process_and_save(spark, tmp_path):
     assert spark.read.text(f"{tmp_path}/run/texts").where("value like '序号%'").count() > 0
 
 
+def test_added_fields_reach_the_ledger(spark, tmp_path):
+    from recordmill.streaming import ingest as G
+
+    base = {fixed.DOC_NO: "1号", fixed.AUTHORITY: "局", "罚款金额": "58,530元", fixed.DECISION_DATE: "2024年3月5日", "备注": "x"}
+    raw = [(0, "总局机关", {**base, fixed.ENTITY: "甲"}, [{**base, fixed.ENTITY: "乙", "罚款金额": "1,580万元", fixed.DECISION_DATE: "待定"}])]
+    records = spark.createDataFrame(raw, "ingest_pos long, category string, fields map<string,string>, additional array<map<string,string>>")
+    want = {"甲": ("2024-03-05", "58530.00"), "乙": ("None", "15800000.00")}
+
+    def check(df):
+        rows = {r.entity_name: r for r in df.collect()}
+        assert df.columns == [*fixed.LEDGER_FIELDS.values(), "decision_date", "amount_yuan", "extras"]
+        assert {k: (str(r.decision_date), str(r.amount_yuan)) for k, r in rows.items()} == want
+        assert all(r.extras["备注"] == "x" for r in rows.values()) and rows["乙"].extras[fixed.DECISION_DATE] == "待定"
+
+    jobs.process_and_save(records, f"{tmp_path}/run", datetime(2025, 1, 1), f"{tmp_path}/m")
+    check(spark.read.parquet(f"{tmp_path}/run/report/main"))
+    check(A.latest_snapshot(spark, f"{tmp_path}/m"))
+    plain = ledger(spark, party("丙"))
+    jobs.update_master(spark, f"{tmp_path}/m", plain, datetime(2025, 1, 2))  # a batch without them
+    want["丙"] = ("None", "None")
+    later = A.latest_snapshot(spark, f"{tmp_path}/m")
+    assert later.where("entity_name = '丙' AND extras IS NULL").count() == 1
+    check(later.withColumn("extras", F.coalesce("extras", F.create_map(F.lit("备注"), F.lit("x")))))
+    del want["丙"]
+    batch = spark.read.parquet(f"{tmp_path}/run/report/main").withColumn("ingest_pos", F.col("seq_no"))
+    G.append_batch(plain.limit(0), 0, f"{tmp_path}/s")
+    G.append_batch(batch, 1, f"{tmp_path}/s")
+    check(G.read_ingested(spark, f"{tmp_path}/s"))
+
+
+def test_added_fields_of_a_run(spark):
+    lists, details = X.list_html(spark, SF), X.detail_html(spark, SF).select("url", "html")
+    out = jobs.pages_to_ledger(lists, details, X.SITE, "monthly", date(2001, 7, 10), "2025-01-01 00:00:00")
+    assert out.columns == [*fixed.LEDGER_FIELDS.values(), "decision_date", "amount_yuan", "extras"]
+    assert out.where("extras IS NULL").count() == 0 < out.count()
+
+
 def test_scratch_follows_the_session():
     from recordmill import session
 
