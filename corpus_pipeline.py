@@ -1,15 +1,20 @@
-"""Cleaning of a training corpus in stages; each works on all that the one before kept."""
+"""Cleaning of a training corpus in stages; each works on all that the one before kept.
+
+Stages that remove documents decide row by row: the operators see a number of the row in place of its doc_id. So a null doc_id, or one
+doc_id with several texts, is judged like any other row, and of repeated rows with words near-duplicate removal keeps one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordmill.llm.minhash import near_duplicates
 from recordmill.llm.pieces import round_trip
 from recordmill.llm.quality import quality_rules
 from recordmill.llm.secrets import redact_secrets
 from recordmill.llm.tables import table
-from recordmill.llm.tiling import decontaminate
+from recordmill.llm.tiling import contaminated_pairs
 from recordmill.session import prepare, stage
 
 SHINGLE = 5  # words
@@ -18,18 +23,24 @@ SHINGLE = 5  # words
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     prepare(spark)
-    return _only(docs, quality_rules(docs))
+    rows, seen = _numbered(docs)
+    return rows.join(_rows(quality_rules(seen).where("kept")), "_row", "left_semi").select(*docs.columns)
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id."""
+    """One document of each near-duplicate group, that of the smallest doc_id (a null one last)."""
     prepare(spark)
-    return _only(docs, near_duplicates(docs, k=SHINGLE))
+    rows, seen = _numbered(docs)
+    grouped = near_duplicates(seen, k=SHINGLE).select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    kept = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("first"))
+    return rows.join(kept.select("first._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate(docs, table(prepare(spark), sf_dir, "benchmark"))
+    rows, seen = _numbered(docs)
+    found = _rows(contaminated_pairs(seen, table(prepare(spark), sf_dir, "benchmark"))).distinct()
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def _redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +55,14 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return round_trip(docs)
 
 
-def _only(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    kept = judged.where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with a number each, written once so that it stays, and the same with that number as their doc_id."""
+    rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return rows, rows.withColumn("doc_id", F.col("_row")).drop("_row")
+
+
+def _rows(judged: DataFrame) -> DataFrame:
+    return judged.select(F.col("doc_id").alias("_row"))
 
 
 STAGES = [

@@ -37,3 +37,21 @@ def test_stages(spark):
     model, texts = read_model(), {r.doc_id: r.text for r in e.collect()}
     rows = P.run(spark, SF).collect()
     assert len(rows) == len(texts) and all(model.decode(r.ids) == texts[r.doc_id] for r in rows)
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Null doc_ids, two texts of one doc_id, repeated rows."""
+    def words(name, n=30):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    def run(step, *rows):
+        docs = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+        return sorted(((r.doc_id, r.text) for r in stage(step(spark, docs, SF), "out").collect()), key=str)
+
+    a, b, c = words("a"), words("b"), words("c")
+    assert run(P._quality, (None, a), (None, "few"), (7, b), (7, "too short"), (8, c), (8, c)) == [(7, b), (8, c), (8, c), (None, a)]
+    near = b + " more"
+    assert run(P._near_dedup, (None, a), (None, a), (7, b), (7, c), (3, near), (8, words("d")), (8, words("d"))) == [
+        (3, near), (7, c), (8, words("d")), (None, a)]
+    item = next(x.text for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if x.text and len(x.text.split()) >= 8)
+    assert run(P._decontaminate, (9, item), (9, a), (None, item), (None, b)) == [(9, a), (None, b)]
