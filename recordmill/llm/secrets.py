@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from recordmill.llm.automaton import compile_rules
 from recordmill.llm.tables import texts
 
+# A private key goes on to its END line, over what such a block holds; without one, over its header and base64 lines and the
+# shorter one after them. Line breaks may be written as escapes.
+_BREAK = r"([\x0a\x0d]|\x5c[nr])"
+_SPACE = r"([\x09\x0a\x0d\x20]|\x5c[nr])"
+_KEY_END = r"""([A-Za-z0-9+/=:,.;_\x09\x0a\x0d\x20\x5c"'>#*]|-[A-Za-z0-9])*-----END ([A-Z]+ )*PRIVATE KEY-----"""
+_KEY_LINES = (rf"({_SPACE}+(Proc-Type|DEK-Info):\x20*[A-Za-z0-9,.-]+)*({_SPACE}+[A-Za-z0-9+/]{{16,}}={{0,2}})+"
+              rf"({_BREAK}{_SPACE}*[A-Za-z0-9+/]+={{0,2}})?")
+
 # Kind, pattern, letters in either case, least length of an assignment's value (0: of nothing), and the head that
 # the common automaton looks for. Every match holds its head. Open-ended tails would multiply the automaton's states, so the
 # rule's own automaton reads them. Base rules first.
@@ -22,7 +30,7 @@ RULES = (
      r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
     ("access", r"AKIA[A-Z0-9]{16,}", False, 0, r"AKIA[A-Z0-9]"),
     ("hex", r"[0-9a-f]{24,}", False, 0, r"[0-9a-f]{24}"),
-    ("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", False, 0, r"-----BEGIN "),
+    ("private_key", rf"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----({_KEY_END}|{_KEY_LINES})?", False, 0, r"-----BEGIN "),
     ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}", False, 0, r"gh[pousr]_[A-Za-z0-9]"),
     ("chat", r"xox[abprs]-[0-9A-Za-z-]{10,}", False, 0, r"xox[abprs]-[0-9A-Za-z-]"),
     ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", False, 0, r"\.eyJ[A-Za-z0-9_-]"),
