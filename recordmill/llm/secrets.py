@@ -1,4 +1,4 @@
-"""Secret scans: all rules in one automaton, one pass over a text's bytes, exact spans only for rules whose head it saw."""
+"""Secret scans: one pass over a text's bytes with the heads of all rules tells which occur; each of these scans the text for its spans."""
 
 from __future__ import annotations
 
