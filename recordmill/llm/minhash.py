@@ -186,8 +186,11 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
             F.min_by(F.struct("class", "n", "label"), F.col("class") if turn == 0 else F.xxhash64("class", "bucket", F.lit(turn))).alias("rep"),
             F.count("*").alias("rows"),
         ).where("low <> high").select("bucket", "rep", "rows")
+        split = stage(split, "split")
+        if split.isEmpty():  # no bucket is in several components
+            break
         if turn < STAR_ROUNDS:
-            pairs = join_counted(now, stage(split, "split"), ["bucket"], "rows").where("label <> rep.label").select(
+            pairs = join_counted(now, split, ["bucket"], "rows").where("label <> rep.label").select(
                 F.col("class").alias("x"), F.col("rep.class").alias("y"), F.col("n").alias("n_a"), F.col("rep.n").alias("n_b"))
         else:  # whatever is still apart within a bucket
             left = now.join(split.select("bucket"), "bucket")
@@ -200,8 +203,6 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
         tested = pairs if tested is None else tested.union(pairs)
         found = stage(_confirmed(pairs, sets, percent), "links")
         if found.isEmpty():
-            if turn == STAR_ROUNDS or pairs.isEmpty() and turn:
-                break
             continue
         links = found if links is None else links.union(found)
         joined = components(links)

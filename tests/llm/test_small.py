@@ -96,6 +96,14 @@ def test_benchmark_edges(spark, docs):
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4, 6, 7]
 
 
+def test_members_that_only_met_a_hub(spark):
+    """In the one bucket 1 is the representative in both star rounds and like neither 2 nor 3; these are alike."""
+    s, t, u, v = ([f"{c}3x{i}" for i in range(n)] for c, n in (("s", 70), ("t", 20), ("u", 5), ("v", 25)))
+    rows = [(i, " ".join(x)) for i, x in enumerate((s + v, s + t, s + t + u), 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1, bands=1, rows=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 2)]
+
+
 def test_pages(spark):
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, "u", "<p>", 1), (3, "u", "<p>", 1), (4, "u", "no markup", 1),
             (5, "u", "<article>" + "<p>para &amp; text</p>" * 20000 + "</article>", 1), (6, "u", "<div>" * 5000 + "x" + "</p>" * 5000, 1)]
