@@ -80,8 +80,8 @@ def _with_common(strings: DataFrame) -> DataFrame:
 
 
 def trie(strings: DataFrame) -> DataFrame:
-    """The edges of the trie of distinct ``strings`` (column ``s``): parent and child (numbers; the root, '', is 0), head, label, and the
-    child's string ``s`` if it is one of the strings.
+    """The edges of the trie of distinct ``strings`` (column ``s``): parent and child (numbers; the root, '', is 0), head, label, the
+    child's string ``s`` if it is one of the strings, and ``heads``, the characters that go on from it.
 
     In order, strings branch where neighbours stop sharing characters; with those places among them, the parent of a string is
     what it shares with the one before it.
@@ -92,10 +92,12 @@ def trie(strings: DataFrame) -> DataFrame:
     placed = stage(_with_common(nodes.select("s")), "placed").join(nodes, "s")
     placed = stage(placed.withColumn("above", F.expr("substr(s, 1, common)")), "placed")
     parents = placed.select(F.col("s").alias("above"), F.col("no").alias("parent"))
-    return placed.join(parents, "above", "left").select(
+    edges = stage(placed.join(parents, "above", "left").select(
         F.coalesce("parent", F.lit(0)).alias("parent"), F.col("no").alias("child"),
         F.expr("substr(s, common + 1, 1)").alias("head"), F.expr("substr(s, common + 1)").alias("label"),
-        F.when(F.col("ends"), F.col("s")).alias("s"))
+        F.when(F.col("ends"), F.col("s")).alias("s")), "edges")
+    onward = edges.groupBy(F.col("parent").alias("child")).agg(F.array_join(F.collect_list("head"), "").alias("heads"))
+    return edges.join(onward, "child", "left").select(*edges.columns, F.coalesce("heads", F.lit("")).alias("heads"))
 
 
 # --- the walk -------------------------------------------------------------------------------
@@ -115,7 +117,7 @@ def _step(states: DataFrame, level: DataFrame, many: bool) -> DataFrame:
 
     With an edit, or before the middle, only the edge that begins with the word's next character will do; past the middle any
     edge of the node. A label is taken as it stands, with one letter replaced, or with one letter of the word left out, where
-    the word's own letter is past the middle.
+    the word's own letter is past the middle. States that can neither end nor go on are not kept.
     """
     head = F.expr("substr(word, place + 1, 1)")
     # The mark in front of a word belongs to its first half.
@@ -135,7 +137,10 @@ def _step(states: DataFrame, level: DataFrame, many: bool) -> DataFrame:
         F.when(same >= 0, F.struct(F.expr("place + size").alias("place"), (F.col("edits") + same).alias("edits"))),
         F.when(longer == 1, F.struct(F.expr("place + size + 1").alias("place"), F.lit(1).alias("edits"))),
     ))
-    return met.select("word", "child", "s", F.explode(ways).alias("way")).select("word", "way.place", F.col("child").alias("node"), "way.edits", "s")
+    after = met.select("word", "child", "s", "heads", F.explode(ways).alias("way")).select(
+        "word", "way.place", F.col("child").alias("node"), "way.edits", "s", "heads")
+    alive = F.expr("CASE WHEN place < length(word) THEN contains(heads, substr(word, place + 1, 1)) OR edits = 0 ELSE edits = 1 AND s IS NOT NULL END")
+    return after.where(alive).drop("heads")
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -152,7 +157,7 @@ def near_words(words: DataFrame) -> DataFrame:
     pairs = None
     while (size := level.count()) and not states.isEmpty():
         after = stage(_step(states, level, size > BROADCAST_EDGES), "states")
-        found = after.where("edits = 1 AND place = length(word) AND s IS NOT NULL").select("word", F.col("s").alias("near"))
+        found = after.where("place = length(word)").select("word", F.col("s").alias("near"))
         pairs = found if pairs is None else pairs.union(found)
         states = after.where("place < length(word)").drop("s")
         level = stage(edges.join(level.select(F.col("child").alias("node")), "node"), "level")
