@@ -16,6 +16,8 @@ from recordmill.session import stage
 ADDED = {"decision_date": "date", "amount_yuan": "decimal(18,2)", "extras": "map<string,string>"}
 
 _SLOT_BITS = 33  # monotonically_increasing_id: partition above, row below
+PLACE_BITS = 16  # rows of one time are numbered in ranges of so many positions
+RANGE_BITS = 10  # and without a time so many ranges make one step of the prefix sums
 
 
 # --- field maps -----------------------------------------------------------------------------
@@ -145,29 +147,19 @@ def union_categories(*parts: DataFrame) -> DataFrame:
 # --- order ----------------------------------------------------------------------------------
 
 
-def with_time_keys(df: DataFrame) -> DataFrame:
-    """Both times parsed once, so that sampling, shuffling and sorting compare plain columns."""
-    return df.withColumns({
-        "_published": T.parse_time(F.col("publish_time")),
-        "_crawled": T.parse_time(F.col("crawl_time")),
-    })
-
-
-def time_order(*ties: str) -> list[Column]:
-    """Newest publish time first; unreadable ones last.
+def with_time_key(df: DataFrame) -> DataFrame:
+    """``_when``, the parsed time that orders the table: the publish time, or the crawl time where no row at all has a publish time.
 
-    The crawl time orders rows without a publish time, hence everything when no row has one,
-    in the same single pass. The tie columns make the order total.
+    One column is chosen for the whole table; whether any row has a publish time is known from the first that does.
     """
-    return [
-        F.col("_published").desc_nulls_last(),
-        F.col("_crawled").desc_nulls_last(),
-        *[F.col(c).asc() for c in (ties or ("ingest_pos",))],
-    ]
+    published = not df.where(~T.is_blank(F.col("publish_time"))).limit(1).isEmpty()
+    return df.withColumn("_when", T.parse_time(F.col("publish_time" if published else "crawl_time")))
 
 
 def sort_by_time(df: DataFrame, *ties: str) -> DataFrame:
-    return with_time_keys(df).orderBy(*time_order(*ties)).drop("_published", "_crawled")
+    """Newest first by the time that orders the table, unreadable ones last; the tie columns (by default the position) make the order total."""
+    keys = [F.col(c).asc() for c in ties or ("ingest_pos",)]
+    return with_time_key(df).orderBy(F.col("_when").desc_nulls_last(), *keys).drop("_when")
 
 
 def category_rank(category: Column) -> Column:
@@ -237,7 +229,49 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "seq_no", by: li
     return rows.join(starts, match).select(*df.columns, number.alias(name))
 
 
-def renumber(df: DataFrame, *ties: str) -> DataFrame:
-    """Fresh contiguous ``seq_no`` 1..n, newest first, replacing any old numbers."""
-    numbered = number_rows(with_time_keys(df.drop("seq_no")), time_order(*ties))
-    return numbered.drop("_published", "_crawled")
+def number_by_counts(
+    df: DataFrame, order: list[str], name: str = "seq_no", by: list[str] | None = None, newest: str | None = None, place: str | None = None,
+) -> DataFrame:
+    """Contiguous 1..n (per ``by`` group), newest first by the time ``newest`` if given, then by the columns of ``order``.
+
+    Rows are counted per cell: group, time, the columns before ``place`` and a range of 2 ** PLACE_BITS values of ``place``, a
+    whole number (the first of ``order`` unless told). A cell's start comes from prefix sums over those counts, a row's rank
+    from its own cell, which a group, day or null time of any size has many of. The input is computed and written once; the
+    rows are hashed once by cell, and nothing is sampled or sorted as a whole. ``order`` should be total.
+    """
+    by = by or []
+    place = place or order[0]
+    ahead = order[: order.index(place)]
+    rows = stage(df, "rows").withColumn("_cell", F.shiftright(F.col(place).cast("bigint"), PLACE_BITS))
+    cell = [*by, *([newest] if newest else []), *ahead, "_cell"]
+    first = F.to_date(newest) if newest else F.col(ahead[0]) if ahead else F.shiftright("_cell", RANGE_BITS)
+
+    def down(c: str, newest_first: bool) -> Column:
+        return F.col(c).desc_nulls_last() if newest_first else F.col(c).asc()
+
+    def earlier(window):
+        return F.coalesce(F.sum("_n").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    counts = stage(rows.groupBy(*cell).agg(F.count("*").alias("_n")).withColumn("_first", first), "counts")
+    sums = counts.groupBy(*by, "_first").agg(F.sum("_n").alias("_n"))
+    sums = stage(sums.withColumn("_ahead", earlier(W.partitionBy(*by).orderBy(down("_first", bool(newest))))).drop("_n"), "sums")
+    inside = W.partitionBy(*by, "_first").orderBy(*[down(c, c == newest) for c in cell[len(by) :]])
+
+    def same(keys: list[str]) -> list[Column]:
+        return [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
+
+    def renamed(table: DataFrame, keys: list[str]) -> DataFrame:
+        return table.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+
+    starts = counts.withColumn("_inside", earlier(inside)).join(renamed(sums, [*by, "_first"]), same([*by, "_first"]))
+    starts = stage(starts.select(*cell, (F.col("_ahead") + F.col("_inside")).alias("_start")), "starts")
+    rank = F.row_number().over(W.partitionBy(*cell).orderBy(*order[len(ahead) :]))
+    numbered = rows.withColumn("_rank", rank).join(renamed(starts, cell), same(cell))
+    return numbered.select(*df.columns, (F.col("_start") + F.col("_rank")).alias(name))
+
+
+def renumber(df: DataFrame, *ties: str, place: str | None = None) -> DataFrame:
+    """Fresh contiguous ``seq_no`` 1..n, newest first, replacing any old numbers; ``place`` is the whole number among the ties that spreads rows of one time."""
+    ties = ties or ("ingest_pos",)
+    whole = place or next((c for c in ties if c in ("ingest_pos", "position", "page")), ties[0])
+    return number_by_counts(with_time_key(stage(df.drop("seq_no"), "dated")), list(ties), newest="_when", place=whole).drop("_when")

@@ -15,6 +15,7 @@ from recordmill.operators import select as C
 from recordmill.operators import stats as S
 from recordmill.operators import tables as B
 from recordmill.session import stage
+from recordmill.sources import ledger as K
 from recordmill.sources import store as A
 
 
@@ -59,11 +60,13 @@ def pages_to_ledger(
 
 
 def update_master(spark: SparkSession, root: str, batch: DataFrame, now: datetime) -> DataFrame:
-    """Upsert a run's rows into the stored master as a new snapshot; returns its counts, taken before the write."""
-    old = A.latest_snapshot(spark, root)
-    counts = stage(M.upsert_counts(old, batch), "counts")
-    A.write_snapshot(M.upsert_master(old, batch), root, now)
-    return counts
+    """Upsert a run's rows into the stored master at the time ``now``; returns its counts. What is read and written follows the batch.
+
+    A folder that holds dated copies only is taken over first: its newest copy becomes the first part.
+    """
+    if not K.is_kept(spark, root):
+        K.append(spark, root, A.latest_snapshot(spark, root), at=now)
+    return K.append(spark, root, batch, at=now)
 
 
 def process_and_save(
@@ -77,6 +80,7 @@ def process_and_save(
     spark = records.sparkSession
     if "additional" not in records.columns:
         records = records.withColumn("additional", F.lit(None).cast("array<map<string,string>>"))
+    records = stage(records, "records")
     place = ("category_no", "position", "part")
     rows = R.canonicalize(R.process_category(records), "position", "part").withColumn(
         "category_no", R.category_rank(F.col("category"))

@@ -115,7 +115,7 @@ ORACLES: dict[str, str] = {
     "a7_labelled_lines": _with(_N, """
         SELECT CAST(k AS VARCHAR) AS file, 'N' || k AS doc_no, entity, nation AS authority, '' AS day FROM t"""),
     "a8_preview": _with(_N, """
-        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, day DESC, k) AS seq_no, link AS detail_url
+        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, k) AS seq_no, link AS detail_url
         FROM t ORDER BY seq_no LIMIT 5"""),
 
     "b1_extract_links": _with(_ITEMS, "SELECT category, page, title, url AS detail_url FROM linked"),
@@ -279,7 +279,7 @@ ORACLES: dict[str, str] = {
           'seq_no,title,entity_name,violation_behavior,punishment_basis,punishment_content,decision_document_number,decision_authority,publish_time,category,crawl_time,detail_url' AS layout
         FROM t"""),
     "e5_sort_by_time": _with(_N, """
-        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, day DESC, k) AS place, k AS ingest_pos FROM t"""),
+        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, k) AS place, k AS ingest_pos FROM t"""),
     "e6_sort_by_category_seq": _with(_N, """
         SELECT k AS ingest_pos, category, s AS source_seq, row_number() OVER (ORDER BY region, major, minor NULLS FIRST, k) AS place
         FROM (SELECT *, CASE WHEN k % 5 = 0 THEN (k // 5) || '-1' ELSE seq END AS s,
@@ -291,7 +291,7 @@ ORACLES: dict[str, str] = {
                 CASE WHEN k % 5 = 0 THEN k // 5 WHEN seq = '' THEN 9999 ELSE k END AS major,
                 CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS minor FROM t)"""),
     "e8_renumber": _with(_N, """
-        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, day DESC, k) AS seq_no, k AS ingest_pos FROM t"""),
+        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, k) AS seq_no, k AS ingest_pos FROM t"""),
     "e9_dedup_business_key": _with(_N, """
         SELECT min(k) AS ingest_pos, entity AS entity_name, doc_no AS decision_document_number, nation AS decision_authority
         FROM t GROUP BY entity, doc_no, nation"""),
@@ -302,7 +302,13 @@ ORACLES: dict[str, str] = {
         SELECT k AS ingest_pos, seq AS source_seq, 'old' AS side FROM t WHERE day < DATE '1999-01-01'
         UNION ALL SELECT k, seq, 'new' FROM t WHERE day >= DATE '1997-01-01' AND (day >= DATE '1999-01-01' OR seq = '')"""),
     "e12_upsert_master": _with(_OLD_NEW, """
-        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, day DESC, source, k) AS seq_no, title, entity AS entity_name,
+        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, source, k) AS seq_no, title, entity AS entity_name,
+          violation AS violation_behavior, basis AS punishment_basis, content AS punishment_content,
+          doc_no AS decision_document_number, nation AS decision_authority, publish AS publish_time, category,
+          crawl AS crawl_time, link AS detail_url
+        FROM ranked WHERE rn = 1"""),
+    "e12_full_upsert": _with(_OLD_NEW, """
+        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, source, k) AS seq_no, title, entity AS entity_name,
           violation AS violation_behavior, basis AS punishment_basis, content AS punishment_content,
           doc_no AS decision_document_number, nation AS decision_authority, publish AS publish_time, category,
           crawl AS crawl_time, link AS detail_url
@@ -343,7 +349,7 @@ ORACLES: dict[str, str] = {
         SELECT url AS detail_url, CASE WHEN k % 3 = 2 AND entity <> '' THEN 2 ELSE 1 END AS records FROM t"""),
 
     "g1_incremental_ingest": _with(_N, """
-        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, day DESC, k) AS seq_no, link AS detail_url,
+        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, k) AS seq_no, link AS detail_url,
           doc_no AS decision_document_number
         FROM (SELECT *, row_number() OVER (PARTITION BY entity, doc_no, nation ORDER BY k) AS rn FROM t) WHERE rn = 1"""),
     "g2_stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",

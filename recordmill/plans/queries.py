@@ -19,6 +19,7 @@ from recordmill.operators import tables as B
 from recordmill.plans import jobs
 from recordmill.session import prepare, scratch_path, widen
 from recordmill.sources import fixtures as X
+from recordmill.sources import ledger as K
 from recordmill.sources import store as A
 from recordmill.sources.pages import read_parts, scan_pages
 from recordmill.streaming import ingest as G
@@ -511,8 +512,8 @@ def _mixed_seq() -> Column:
 
 @query
 def e5_sort_by_time(spark, sf):
-    n = R.with_time_keys(X.notices(spark, sf).select("ingest_pos", "publish_time", "crawl_time"))
-    return R.number_rows(n, R.time_order(), name="place").select("place", "ingest_pos")
+    n = R.with_time_key(X.notices(spark, sf).select("ingest_pos", "publish_time", "crawl_time"))
+    return R.number_by_counts(n, ["ingest_pos"], name="place", newest="_when").select("place", "ingest_pos")
 
 
 @query
@@ -554,7 +555,10 @@ def e11_merge_new(spark, sf):
 
 @query
 def e12_upsert_master(spark, sf):
-    return M.upsert_master(_stored(_clean_notices(spark, sf)), _arriving(_clean_notices(spark, sf)))
+    root = scratch_path(spark, "master")
+    for side in (_stored, _arriving):
+        K.append(spark, root, side(_clean_notices(spark, sf)))
+    return K.read(spark, root)
 
 
 @query
@@ -562,6 +566,11 @@ def e13_upsert_counts(spark, sf):
     return M.upsert_counts(_stored(_clean_notices(spark, sf)), _arriving(_clean_notices(spark, sf)))
 
 
+@query
+def e12_full_upsert(spark, sf):
+    return M.upsert_master(_stored(_clean_notices(spark, sf)), _arriving(_clean_notices(spark, sf)))
+
+
 # --- F: aggregates --------------------------------------------------------------------------
 
 
@@ -620,9 +629,18 @@ def _stream_table(spark, sf, name: str) -> DataFrame:
 
 @query
 def g1_incremental_ingest(spark, sf):
-    root = scratch_path(spark, "ledger")
-    n = X.notices(spark, sf, orders=_stream_table(spark, sf, "orders"))
-    G.start_ingest(R.fill_decision_number(n), root, scratch_path(spark, "checkpoint")).awaitTermination()
+    """Five files, one a batch, merged after every second batch; the last batch comes twice."""
+    root, source = scratch_path(spark, "ledger"), scratch_path(spark, "orders")
+    orders = X.table(spark, sf, "orders")
+    top = orders.agg(F.max("o_orderkey").alias("k")).first().k or 0
+    for i in range(5):  # in the order of the keys, as files arrive
+        first, end = (top + 1) * i // 5, (top + 1) * (i + 1) // 5
+        orders.where((F.col("o_orderkey") >= first) & (F.col("o_orderkey") < end)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    n = R.fill_decision_number(X.notices(spark, sf, orders=stream))
+    G.start_ingest(n, root, scratch_path(spark, "checkpoint"), compact_every=2).awaitTermination()
+    again = X.notices(spark, sf, orders=orders.where(F.col("o_orderkey") >= (top + 1) * 4 // 5))
+    G.append_batch(R.fill_decision_number(again), 4, root)
     return G.read_ingested(spark, root).select("seq_no", "detail_url", "decision_document_number")
 
 

@@ -14,6 +14,7 @@ from recordmill import fixed
 from recordmill.functions import text as X
 from recordmill.operators.reshape import ADDED, category_rank, number_rows
 from recordmill.operators.stats import category_dim
+from recordmill.sources import ledger
 
 RECORD_END = "\x1e"
 
@@ -62,7 +63,9 @@ def write_snapshot(df: DataFrame, root: str, ts: datetime) -> None:
 
 
 def latest_snapshot(spark: SparkSession, root: str, schema: T.StructType = LEDGER_SCHEMA) -> DataFrame:
-    """The newest complete copy; only its folder is read."""
+    """The newest complete copy, only whose folder is read; or the ledger that is kept there in parts."""
+    if ledger.is_kept(spark, root):
+        return ledger.read(spark, root)
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -4,48 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from recordmill import fixed
-from recordmill.operators.master import LEDGER_TEXT, new_records
-from recordmill.operators.reshape import ADDED, ledger_projection, renumber
-from recordmill.sources.store import scan_master, with_added
+from recordmill.sources import ledger
 
-BATCH_SCHEMA = T.StructType(
-    [T.StructField(c, T.StringType()) for c in LEDGER_TEXT]
-    + [T.StructField("ingest_pos", T.LongType()), T.StructField("batch_id", T.LongType())]
-)
 
+def append_batch(batch: DataFrame, batch_id: int, root: str, compact_every: int | None = None) -> None:
+    """Append the rows the ledger lacks as this batch's own part; a redelivered batch changes nothing, merged or not.
 
-def append_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Append the rows the ledger lacks as this batch's own folder.
-
-    First-wins means a stored row never changes, so a batch costs its own size plus a read of
-    the ledger's key columns. A redelivered batch rewrites its folder and nothing else: it sees
-    only the batches before it.
+    Of earlier parts only those are read whose key filter has one of the batch's keys. After every ``compact_every`` batches
+    the parts are merged into one.
     """
-    spark = batch.sparkSession
-    earlier = scan_master(spark, root, BATCH_SCHEMA).where(F.col("batch_id") < batch_id)
-    added = [F.col(c).cast(t).alias(c) for c, t in ADDED.items() if c in batch.columns]
-    rows = batch.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEDGER_TEXT], *added, "ingest_pos")
-    new_records(earlier, rows).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+    ledger.append(batch.sparkSession, root, batch, batch_id)
+    if compact_every and batch_id % compact_every == compact_every - 1:
+        ledger.compact(batch.sparkSession, root)
 
 
-def start_ingest(records: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start_ingest(records: DataFrame, root: str, checkpoint: str, compact_every: int | None = None, **trigger) -> StreamingQuery:
     """Upsert every arriving batch of ledger rows; by default drains what is there and stops."""
     return (
         records.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, root))
+        .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, root, compact_every))
         .start()
     )
 
 
 def read_ingested(spark: SparkSession, root: str) -> DataFrame:
     """The ledger the stream has built, numbered newest first."""
-    stored = scan_master(spark, root, with_added(spark, root, BATCH_SCHEMA))
-    return ledger_projection(renumber(stored, "batch_id", "ingest_pos"), added=True)
+    return ledger.read(spark, root)
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], time: str, within: str) -> DataFrame:

@@ -24,12 +24,21 @@ def test_rank_limits_apply_before_the_shuffle(spark, name):
     assert re.search(r"WindowGroupLimit.*Partial", text) and "SinglePartition" not in text
 
 
-@pytest.mark.parametrize("name", ["e5_sort_by_time", "e8_renumber", "c8_take_while_recent", "e1_process_category"])
+@pytest.mark.parametrize("name", ["c8_take_while_recent", "e1_process_category"])
 def test_numbering_needs_no_window_over_rows(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "Window" not in text and "SortMergeJoin" not in text
 
 
+@pytest.mark.parametrize("name", ["e5_sort_by_time", "e8_renumber"])
+def test_numbers_come_from_counts(spark, name):
+    """Rows are hashed by cell and ranked within it; nothing is range-partitioned, gathered or computed twice."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "rangepartitioning" not in text and "SinglePartition" not in text and "orders.parquet" not in text
+    ranked = re.findall(r"row_number\(\) windowspecdefinition\(([^\]]*)", text)
+    assert ranked and all("_cell" in r for r in ranked)
+
+
 @pytest.mark.parametrize("n", [25, 5000])
 def test_a_cap_of_any_size_gathers_no_category(spark, n):
     text = plan(C.record_cap(X.list_items(spark, SF), n))
@@ -76,3 +85,30 @@ def test_no_query_crosses_or_pins_locally(spark):
             words.append(".collect()")
         assert not [w for w in words if w in path.read_text()], path
 
+
+
+def test_a_small_batch_reads_little_of_the_ledger(spark, tmp_path):
+    """Parts whose filter has none of the batch's keys are not read, and of the others only the batch's buckets of the keys."""
+    from recordmill.sources import ledger
+
+    rows = R.fill_decision_number(X.notices(spark, SF))
+    for i in range(4):
+        ledger.append(spark, f"{tmp_path}/m", rows.where(F.col("ingest_pos") % 4 == i))
+    one = rows.where("ingest_pos = 1")
+    state = ledger.manifest(spark, f"{tmp_path}/m")
+    keys = ledger.candidate_keys(spark, f"{tmp_path}/m", state, one)
+    assert keys.count() >= 1 and len(keys.inputFiles()) >= 1
+    read = [f for f in keys.inputFiles() if "/bucket=" in f]
+    folders = {f.split("/bucket=")[1].split("/")[0] for f in read}
+    parts = {f.split("/part=")[1].split("/")[0] for f in read}
+    assert len(parts) < 4
+    text = plan(keys)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", text) and "Exchange" not in text
+    assert len(folders) > 0
+    unknown = one.withColumn("entity_name", F.lit("nobody has this name"))
+    before = len(list(tmp_path.rglob("*.parquet")))
+    assert ledger.append(spark, f"{tmp_path}/m", one).first().inserted == 0
+    assert len(list(tmp_path.rglob("*.parquet"))) == before  # nothing is written for a batch without news
+    assert ledger.append(spark, f"{tmp_path}/m", unknown).first().inserted == 1
+    text = plan(ledger.read(spark, f"{tmp_path}/m"))
+    assert "Window" not in text and "Sort " not in text and "rangepartitioning" not in text
