@@ -352,6 +352,10 @@ ORACLES: dict[str, str] = {
         SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, k) AS seq_no, link AS detail_url,
           doc_no AS decision_document_number
         FROM (SELECT *, row_number() OVER (PARTITION BY entity, doc_no, nation ORDER BY k) AS rn FROM t) WHERE rn = 1"""),
+    "g2_stream_late_rows": _with(_N, """
+        SELECT row_number() OVER (ORDER BY publish_day DESC NULLS LAST, k) AS seq_no, link AS detail_url,
+          doc_no AS decision_document_number
+        FROM (SELECT *, row_number() OVER (PARTITION BY entity, doc_no, nation ORDER BY k) AS rn FROM t) WHERE rn = 1"""),
     "g2_stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
     "g3_daily_trend_stream": "SELECT CAST(ts AS DATE) AS day, count(*) AS records FROM events GROUP BY 1",
     "g4_run_log_extract": _with(_LOGS, """

@@ -627,19 +627,25 @@ def _stream_table(spark, sf, name: str) -> DataFrame:
     return stream.repartition(cores) if at_rest.rdd.getNumPartitions() < cores else stream
 
 
+def _arriving_files(spark, sf, n: int) -> tuple[DataFrame, DataFrame]:
+    """The orders as a stream of ``n`` files, one a batch, in the order of their keys; and the last of them at rest."""
+    source = scratch_path(spark, "orders")
+    orders = X.table(spark, sf, "orders")
+    top = orders.agg(F.max("o_orderkey").alias("k")).first().k or 0
+    for i in range(n):
+        part = orders.where((F.col("o_orderkey") >= (top + 1) * i // n) & (F.col("o_orderkey") < (top + 1) * (i + 1) // n))
+        part.coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(source), part
+
+
 @query
 def g1_incremental_ingest(spark, sf):
     """Five files, one a batch, merged after every second batch; the last batch comes twice."""
-    root, source = scratch_path(spark, "ledger"), scratch_path(spark, "orders")
-    orders = X.table(spark, sf, "orders")
-    top = orders.agg(F.max("o_orderkey").alias("k")).first().k or 0
-    for i in range(5):  # in the order of the keys, as files arrive
-        first, end = (top + 1) * i // 5, (top + 1) * (i + 1) // 5
-        orders.where((F.col("o_orderkey") >= first) & (F.col("o_orderkey") < end)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    root = scratch_path(spark, "ledger")
+    stream, last = _arriving_files(spark, sf, 5)
     n = R.fill_decision_number(X.notices(spark, sf, orders=stream))
     G.start_ingest(n, root, scratch_path(spark, "checkpoint"), compact_every=2).awaitTermination()
-    again = X.notices(spark, sf, orders=orders.where(F.col("o_orderkey") >= (top + 1) * 4 // 5))
+    again = X.notices(spark, sf, orders=last)
     G.append_batch(R.fill_decision_number(again), 4, root)
     return G.read_ingested(spark, root).select("seq_no", "detail_url", "decision_document_number")
 
@@ -664,6 +670,15 @@ def g2_stream_dedup(spark, sf):
     return _drain(kept, spark, "append").select("user_id", "event_type")
 
 
+@query
+def g2_stream_late_rows(spark, sf):
+    """Three files of six years each, under a watermark of a year: late rows reach the ledger too."""
+    root = scratch_path(spark, "ledger")
+    n = X.notices(spark, sf, orders=_arriving_files(spark, sf, 3)[0]).withColumn("ordered", F.col("order_day").cast("timestamp"))
+    G.start_deduplicated(R.fill_decision_number(n), root, scratch_path(spark, "checkpoint"), "ordered", "365 days").awaitTermination()
+    return G.read_ingested(spark, root).select("seq_no", "detail_url", "decision_document_number")
+
+
 @query
 def g3_daily_trend_stream(spark, sf):
     events = _stream_table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))

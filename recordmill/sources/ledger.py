@@ -25,6 +25,7 @@ from recordmill.operators.reshape import ADDED, ledger_projection, number_by_cou
 from recordmill.session import stage
 
 BUCKETS = 32
+AT_ONCE = 1 << 20          # rows of one time that a task may rank; larger batches are numbered from counts
 EMPTY = {"version": 0, "parts": [], "batches": []}
 
 _KEYS = ", ".join(f"{c} string" for c in PRIMARY_KEY) + ", bucket int"
@@ -166,14 +167,17 @@ def append(spark: SparkSession, root: str, batch: DataFrame, batch_id: int | Non
         sizes = rows.agg(F.count("*").alias("rows"), F.count_if(~has_key(list(PRIMARY_KEY))).alias("blank")).first()
         named = stage(first_wins(rows, list(PRIMARY_KEY), "ingest_pos"), "first")
         new = stage(named.join(candidate_keys(spark, root, state, named), list(PRIMARY_KEY), "left_anti"), "new")
-        n = new.count()
-        part = {"name": uuid.uuid4().hex, "rows": n, "words": 1 << max(n - 1, 1).bit_length(), "added": added, "dated": new.where("published IS NOT NULL").limit(1).count(),
+        n, dated = new.agg(F.count("*").alias("n"), F.count("published").alias("dated")).first()
+        part = {"name": uuid.uuid4().hex, "rows": n, "words": 1 << max(n - 1, 1).bit_length(), "added": added, "dated": dated,
                 "at": at.isoformat() if at else None}
         if n:
             earlier = _read(spark, root, "counts", state["parts"], _COUNTS).join(
                 new.select(F.col("published").alias("_p")).distinct(), F.col("published").eqNullSafe(F.col("_p")), "left_semi")
-            earlier = stage(earlier.groupBy(F.col("published").alias("_p")).agg(F.sum("n").alias("_before")), "before")
-            ranked = number_by_counts(new, ["ingest_pos"], by=["published"], name="rank")
+            earlier = earlier.groupBy(F.col("published").alias("_p")).agg(F.sum("n").alias("_before"))
+            if n <= AT_ONCE:
+                ranked = new.withColumn("rank", F.row_number().over(W.partitionBy("published").orderBy("ingest_pos")))
+            else:
+                ranked = number_by_counts(new, ["ingest_pos"], by=["published"], name="rank")
             placed = ranked.join(earlier, F.col("published").eqNullSafe(F.col("_p")), "left").withColumns({
                 "place": F.coalesce("_before", F.lit(0)) + F.col("rank"), "batch_id": F.lit(state["version"] if batch_id is None else batch_id).cast("bigint")})
             _write_part(stage(placed.select(*LEDGER_TEXT, *added, "ingest_pos", "batch_id", "published", "place"), "placed"), root, part["name"], n)

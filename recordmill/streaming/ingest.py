@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from recordmill import fixed
+from recordmill.operators.master import PRIMARY_KEY
 from recordmill.sources import ledger
 
 
@@ -37,10 +45,75 @@ def read_ingested(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], time: str, within: str) -> DataFrame:
-    """Drop keys seen within the watermark; older repeats are left to the ledger's own dedup."""
+    """Drop keys seen within the watermark, and rows older than it; ``mark_repeats`` keeps the latter."""
     return stream.withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
 
 
+def mark_repeats(stream: DataFrame, keys: list[str], time: str, within: str, order: str = "ingest_pos", live: str | None = None) -> DataFrame:
+    """``stream`` with ``mark``: 'first' of its key, 'repeat' of one that came at most ``within`` before the watermark, or 'late'.
+
+    No row is dropped: late ones, older than the watermark, are for the ledger's own dedup. Of one batch the row of smallest
+    ``order`` is first; of a key with very many rows at once several may be marked so, each smaller than those before. The
+    state is one time per key and goes when the key has not come for ``live`` (by default ``within``) of processing time.
+    To be started inside ``without_empty_batches``.
+    """
+    within_ms, live_ms = (_milliseconds(x) for x in (within, live or within))
+
+    def marked(key, chunks, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        watermark = state.getCurrentWatermarkMs()
+        known = state.exists and state.get[0] + within_ms >= watermark
+        least = None  # the smallest place marked first in this batch: chunks of a large group come in any order
+        for chunk in chunks:
+            at, place = chunk[time].to_numpy().astype("datetime64[ms]").astype("int64"), chunk[order].to_numpy()
+            marks = np.where(at < watermark, "late", "repeat").astype(object)
+            timely = np.flatnonzero(at >= watermark)
+            if not known and len(timely):
+                best = timely[place[timely].argmin()]
+                if least is None or place[best] < least:
+                    least, marks[best] = place[best], "first"
+                    state.update((int(at[best]),))
+            chunk["mark"] = marks
+            yield chunk
+        if state.exists:
+            state.setTimeoutDuration(live_ms)
+
+    schema = T.StructType([*stream.schema.fields, T.StructField("mark", T.StringType())])
+    return stream.withWatermark(time, within).groupBy(*keys).applyInPandasWithState(
+        marked, schema, "at bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _milliseconds(interval: str) -> int:
+    """A number and a unit, as watermarks have them."""
+    n, unit = interval.split()
+    return int(timedelta(**{f"{unit.removesuffix('s')}s": float(n)}) / timedelta(milliseconds=1))
+
+
+def start_deduplicated(records: DataFrame, root: str, checkpoint: str, time: str, within: str, **trigger) -> StreamingQuery:
+    """Ingest a stream that repeats much: repeats seen within the watermark are dropped by key, first and late rows go to the ledger, which is exact."""
+    marked = mark_repeats(records, list(PRIMARY_KEY), time, within)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        append_batch(batch.where("mark <> 'repeat'").drop("mark"), batch_id, root)
+
+    with without_empty_batches(records.sparkSession):
+        return marked.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+
+
+@contextmanager
+def without_empty_batches(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside run no batch without data: with a state that ends by the clock, such batches would never end."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def daily_trend_stream(stream: DataFrame, time: str, within: str) -> DataFrame:
     """Rows per day over tumbling one-day windows."""
     return (

@@ -21,7 +21,7 @@ def numbered(df):
 def test_random_histories(spark, tmp_path, seed):
     r, root = random.Random(seed), f"{tmp_path}/m"
     master = ledger(spark).limit(0)
-    for i in range(5):
+    for i in range(4):
         rows = [party(r.choice("甲乙丙丁戊己") if r.random() < 0.9 else "", str(r.randint(0, 4)) if r.random() < 0.9 else "", "", title=f"{i}-{k}",
                       publish_time=r.choice(DAYS[4:] if seed == 3 else DAYS), crawl_time=f"2025-01-0{i + 1}") for k in range(r.choice([0, 1, 7, 25]))]
         batch = ledger(spark, *rows)
@@ -36,7 +36,7 @@ def test_random_histories(spark, tmp_path, seed):
     K.compact(spark, root)
     K.vacuum(spark, root)
     assert numbered(K.read(spark, root)) == numbered(master)
-    assert len(K.manifest(spark, root)["parts"]) <= 1 and K.manifest(spark, root)["batches"] == [[0, 4]]
+    assert len(K.manifest(spark, root)["parts"]) <= 1 and K.manifest(spark, root)["batches"] == [[0, 3]]
 
 
 def test_readers_go_on_while_parts_are_merged(spark, tmp_path):

@@ -46,3 +46,18 @@ def test_stream_dedup(spark, tmp_path):
         "checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.k for r in spark.table("kept").collect()) == ["a", "b"]
+
+
+def test_late_rows_are_marked_not_dropped(spark, tmp_path):
+    """First, repeat, late and a key whose state is older than the watermark, over three batches."""
+    batches = [[("a", 0, "2025-01-01"), ("a", 1, "2025-01-02"), ("b", 2, "2025-01-10")], [("a", 3, "2025-01-09"), ("c", 4, "2025-01-03"), ("b", 5, "2025-01-10")],
+               [("b", 6, "2025-03-01"), ("d", 7, "2025-01-01")], [("b", 8, "2025-03-02"), ("a", 9, "2025-03-02"), ("d", 10, "2025-01-01")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, ingest_pos long, t string").withColumn("t", F.col("t").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, ingest_pos long, t timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    marked = G.mark_repeats(stream, ["k"], "t", "5 days")
+    with G.without_empty_batches(spark):
+        query = marked.writeStream.format("memory").queryName("marked").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.ingest_pos: r.mark for r in spark.table("marked").collect()}
+    assert got == {0: "first", 1: "repeat", 2: "first", 3: "repeat", 4: "late", 5: "repeat", 6: "repeat", 7: "late", 8: "first", 9: "first", 10: "late"}
