@@ -1,17 +1,23 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search over a public vocabulary.
 
-The best segmentation is searched from left to right with a window no longer than the longest piece. Whenever the
-back-pointers of all places that may still be extended lead over one common boundary, the ids before it are final and leave
-the window, so memory does not grow with the text.
+The best segmentation is searched from left to right; costs are kept for no more places than the longest piece can reach back to.
+Whenever the back-pointers of all places that may still be extended lead over one common boundary, the ids before it are final.
+Costs are whole numbers, and of equally cheap segmentations the one whose last piece costs more a character is taken: in a run of one
+sign or one pattern the cheapest piece then fills the run from its start, so the paths meet after a few pieces. Where they nevertheless
+stay apart, a place waits as two numbers, and the search for the boundary is made when the waiting part has doubled, so time stays linear.
+
+Ids are not those of the model's own merges (see ``Pieces``); decoding gives back exactly the text that was encoded.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -21,98 +27,156 @@ from recordmill.llm.tables import texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-BYTE_COST = 16.0           # more than any piece costs: bytes are used where no piece fits
-CACHED_WORDS = 1 << 17     # words of up to CACHED_CHARS whose ids a worker keeps
+COST_UNIT = 1 << 20
+BYTE_COST = 16 * COST_UNIT  # more than any piece costs: bytes are used where no piece fits
+CACHED_WORDS = 1 << 17      # words of up to CACHED_CHARS whose ids a worker keeps
 CACHED_CHARS = 32
+PART_CHARS = 1 << 18        # characters of a text, or ids of one, that are handled at once
+PART_ROWS = 256
 # A word and the blanks before it.
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_WORD_END = re.compile(f"[^{BLANK}]{BLANK}")
+
+
+class _Words(dict):
+    """Ids of words as bytes, made when first asked for. When full it starts anew and asks the former one first."""
+
+    def __init__(self, stream) -> None:
+        super().__init__()
+        self.stream, self.former = stream, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.former.get(word)
+        if ids is None:
+            ids = array("i", self.stream(word)).tobytes()
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHED_WORDS:
+                self.former = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 class Pieces:
     """A vocabulary: pieces with ids and costs, and the ids of the 256 bytes.
 
-    The public model orders its pieces by merge; a piece's cost is the logarithm of its place in that order, as word ranks
-    behave, and the segmentation of least total cost is taken.
+    The public model orders its pieces by merge and holds no probabilities; a piece's cost is the logarithm of its place in that
+    order, as word ranks behave, and the segmentation of least total cost is taken.
     """
 
     def __init__(self, table: list[tuple[str, int]], byte_ids: list[int]) -> None:
-        self.cost = {piece: (math.log(2 + rank), i) for rank, (piece, i) in enumerate(table)}
+        self.cost = {piece: (round(math.log(2 + rank) * COST_UNIT), i) for rank, (piece, i) in enumerate(table)}
         self.longest = max((len(p) for p in self.cost), default=1)
-        self.tails = {p[i:] for p in self.cost for i in range(len(p))}  # where the search for longer pieces may go on
+        # Where the search for longer pieces may go on, with cost and id where a piece is reached.
+        self.tails = {p[i:]: self.cost.get(p[i:]) for p in self.cost for i in range(len(p))}
         self.byte_ids = byte_ids
-        self.text = {i: piece.replace(BLANK, " ").encode() for piece, i in table}
-        self.text.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
+        spelled = {i: piece.replace(BLANK, " ").encode() for piece, i in table}
+        spelled.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
+        listed = [spelled.get(i, b"") for i in range(max(spelled, default=-1) + 1)]
+        self.bytes = np.frombuffer(b"".join(listed), np.uint8)
+        self.sizes = np.array([len(x) for x in listed], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         # No piece goes on after a blank that follows something else: every path has a boundary there.
         self.by_words = not any(BLANK in p.lstrip(BLANK) for p in self.cost)
-        self.word = lru_cache(CACHED_WORDS)(lambda w: tuple(self.stream(w)))
+        self.words = _Words(self.stream)
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of the cheapest segmentation, each as soon as it is certain; of equally cheap ones the longer last piece wins.
+        """Ids of the cheapest segmentation, each as soon as it is certain; of equally cheap ones that with the dearer last piece
+        a character wins, then that with the shorter one.
 
-        ``best[i]`` is (cost, length of the last piece, its id or None for bytes) of the window's first i characters.
+        ``sizes`` and ``pieces`` hold, for every place that is not yet final, the best last piece that ends there; a character
+        spelled in bytes is held as the complement of its code point.
         """
-        window, best, n = "", [(0.0, 0, None)], 0
-        costs, tails = self.cost, self.tails
+        tail, longest = self.tails.get, self.longest
+        recent, costs = "", [0]
+        sizes, pieces, check = array("i"), array("i"), 2 * longest
         for char in chars:
-            window += char
-            n += 1
-            least, length, piece = best[n - 1][0] + BYTE_COST * (1 if char < "\x80" else len(char.encode())), 1, None
-            for at in range(n - 1, -1, -1):
-                tail = window[at:]
-                if tail not in tails:
+            recent += char
+            size, (last, piece) = 1, tail(char) or (BYTE_COST * len(char.encode()), ~ord(char))
+            least = last + costs[-1]
+            for back in range(2, len(recent) + 1):
+                hit = tail(recent[-back:], 0)
+                if hit:
+                    cost = hit[0] + costs[-back]
+                    if cost < least or cost == least and hit[0] * size > last * back:
+                        least, size, (last, piece) = cost, back, hit
+                elif hit == 0:
                     break
-                if tail in costs:
-                    cost, i = costs[tail]
-                    cost += best[at][0]
-                    if cost <= least:
-                        least, length, piece = cost, n - at, i
-            best.append((least, length, piece))
-            if n >= 2 * self.longest:
-                edge = self._meeting(best)
-                if edge:
-                    yield from self._ids(window, best, edge)
-                    window, paid, n = window[edge:], best[edge][0], n - edge
-                    best = [(0.0, 0, None)] + [(c - paid, s, i) for c, s, i in best[edge + 1 :]]
-        yield from self._ids(window, best, len(window))
-
-    def _meeting(self, best: list) -> int:
+            costs.append(least)
+            sizes.append(size)
+            pieces.append(piece)
+            if len(costs) > 4 * longest:
+                recent, costs = recent[-longest:], costs[-longest - 1 :]
+            if len(sizes) >= check:
+                edge = self._meeting(sizes)
+                yield from self._ids(sizes, pieces, edge)
+                del sizes[:edge], pieces[:edge]
+                check = 2 * max(longest, len(sizes))
+        yield from self._ids(sizes, pieces, len(sizes))
+
+    def _meeting(self, sizes: array) -> int:
         """The last boundary that lies on the paths to all places a further piece may start from."""
-        n = len(best) - 1
-        alive = set(range(max(n - self.longest + 1, 0), n + 1))
-        while len(alive) > 1:
-            top = max(alive)
-            alive.remove(top)
-            alive.add(top - best[top][1])
-        return alive.pop()
-
-    def _ids(self, window: str, best: list, end: int) -> list[int]:
+        n = len(sizes)
+        first = max(n - self.longest + 1, 0)
+        alive, paths = bytearray(first) + b"\1" * (n + 1 - first), n + 1 - first
+        while True:
+            if alive[n]:
+                if paths == 1:
+                    return n
+                back = n - sizes[n - 1]
+                paths -= alive[back]
+                alive[back] = 1
+            n -= 1
+
+    def _ids(self, sizes: array, pieces: array, end: int) -> list[int]:
         out: list[int] = []
         while end:
-            _, size, piece = best[end]
-            out += [piece] if piece is not None else [self.byte_ids[b] for b in reversed(window[end - 1].encode())]
-            end -= size
+            piece = pieces[end - 1]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += [self.byte_ids[b] for b in reversed(chr(~piece).encode())]
+            end -= sizes[end - 1]
         return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
+    def _words_of(self, part: str) -> Iterator[list[str]]:
+        """The words of a text, those of about PART_CHARS characters at a time."""
+        at = 0
+        while at < len(part):
+            cut = _WORD_END.search(part, at + PART_CHARS)
+            end = cut.start() + 1 if cut else len(part)
+            yield _WORD.findall(part, at, end)
+            at = end
+
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a text. Its blanks become the blank sign, with one put in front; a blank sign of its own is spelled in bytes."""
         if not text:
-            return []
-        out: list[int] = []
+            return np.empty(0, np.int32)
+        out: list[bytes] = []
+        sign = array("i", [self.byte_ids[b] for b in BLANK.encode()]).tobytes()
         for i, part in enumerate(text.split(BLANK)):
             if i:
-                out += [self.byte_ids[b] for b in BLANK.encode()]
+                out.append(sign)
             part = part.replace(" ", BLANK)
             if not i:
                 part = BLANK + part
-            if not self.by_words:
-                out += self.stream(part)
-                continue
-            for word in _WORD.findall(part):
-                out += self.word(word) if len(word) <= CACHED_CHARS else self.stream(word)
-        return out
+            if self.by_words:
+                out += (b"".join(map(self.words.__getitem__, words)) for words in self._words_of(part))
+            else:
+                out.append(array("i", self.stream(part)).tobytes())
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def decode_bytes(self, ids) -> bytes:
+        ids, out = np.asarray(ids, np.int64), []
+        for at in range(0, len(ids), PART_CHARS):
+            part = ids[at : at + PART_CHARS]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            out.append(self.bytes[np.arange(ends[-1]) + np.repeat(self.starts[part] - ends + sizes, sizes)].tobytes())
+        return b"".join(out)[1:]
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.text.__getitem__, ids))[1:].decode()
+    def decode(self, ids) -> str:
+        return self.decode_bytes(ids).decode()
 
 
 def read_model(path: str = MODEL) -> Pieces:
@@ -141,10 +205,14 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = [None if t is None else model.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for i in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(i, PART_ROWS)
+                given = part.column(1)
+                ids = [model.encode(t.as_py() or "") for t in given]
+                offsets = np.zeros(len(ids) + 1, np.int32)
+                np.cumsum([len(x) for x in ids], out=offsets[1:])
+                held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=given.is_null())
+                yield pa.RecordBatch.from_arrays([part.column(0), held], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -154,14 +222,20 @@ def decode(rows: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
-            out = [None if x is None else model.decode(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], ["doc_id", "ids", "text"])
+            for i in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(i, PART_ROWS)
+                out = [model.decode_bytes(x.values.to_numpy()) if x.is_valid else None for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary()).cast(pa.string())], ["doc_id", "ids", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, ids, n_ids and the decoded text's sha256 and length in code points."""
+    """doc_id, ids, n_ids and the decoded text's sha256 and length in code points; one row per input row.
+
+    A null text has null ids, no ids counted, and null sha256 and length; an empty one has no ids, and length 0. Repeated rows and
+    null doc_ids are kept as they are; other columns are ignored; an empty table gives an empty result.
+    """
     decoded = decode(encode(docs, path), path)
     return decoded.select(
         "doc_id", "ids", F.coalesce(F.size(F.coalesce("ids", F.array().cast("array<int>"))), F.lit(0)).cast("long").alias("n_ids"),

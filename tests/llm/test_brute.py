@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
+import pytest
 import regex
 import tiktoken
 from check import difference
@@ -141,15 +143,22 @@ def test_contaminated_pairs(spark, duck):
 
 
 def plain_viterbi(model, text):
-    best = [(0.0, 0, None)]
+    best = [(0, 0, None)]
     for n in range(1, len(text) + 1):
-        choice = (best[n - 1][0] + pieces.BYTE_COST * len(text[n - 1].encode()), 1, None)
+        byte = pieces.BYTE_COST * len(text[n - 1].encode())
+        choices = [(best[n - 1][0] + byte, -Fraction(byte), 1, None)]
         for size in range(1, n + 1):
             known = model.cost.get(text[n - size : n])
-            if known and best[n - size][0] + known[0] <= choice[0]:
-                choice = (best[n - size][0] + known[0], size, known[1])
-        best.append(choice)
-    return model._ids(text, best, len(text))
+            if known:
+                choices.append((best[n - size][0] + known[0], -Fraction(known[0], size), size, known[1]))
+        cost, _, size, piece = min(choices, key=lambda c: c[:3])
+        best.append((cost, size, piece))
+    out, end = [], len(text)
+    while end:
+        _, size, piece = best[end]
+        out += [piece] if piece is not None else [model.byte_ids[b] for b in reversed(text[end - 1].encode())]
+        end -= size
+    return out[::-1]
 
 
 def test_pieces(duck):
@@ -161,22 +170,47 @@ def test_pieces(duck):
         assert model.decode(model.encode(text)) == text
     for _, text in documents(duck):
         assert model.decode(model.encode(text)) == text
+    for run in ("a" * 150, "▁" * 150, "-" * 150, "-=" * 75, "abc" * 50):
+        assert list(model.stream(run)) == plain_viterbi(model, run)
 
 
-def test_window_stays_short():
+def test_texts_in_parts(duck, monkeypatch):
+    """Words of a long text, and ids of one, are handled part by part."""
+    model = pieces.read_model()
+    texts = [t for _, t in documents(duck)][:50] + ["  a   b ▁ c  " * 40]
+    whole = [model.encode(t).tolist() for t in texts]
+    monkeypatch.setattr(pieces, "PART_CHARS", 7)
+    assert [model.encode(t).tolist() for t in texts] == whole
+    assert [model.decode(i) for i in whole] == texts
+    monkeypatch.setattr(pieces, "CACHED_WORDS", 3)
+    assert [pieces.read_model().encode(t).tolist() for t in texts] == whole
+
+
+@pytest.mark.parametrize("run", ["the▁", "a", "▁", "-", "-=", "=", ".", "0", "abc", "\t", "中", "ha", "▁▁x"])
+def test_window_stays_short(run):
     model, longest = pieces.read_model(), 0
 
     class Watched(type(model)):
-        def _meeting(self, best):
+        def _meeting(self, sizes):
             nonlocal longest
-            longest = max(longest, len(best))
-            return super()._meeting(best)
+            longest = max(longest, len(sizes))
+            return super()._meeting(sizes)
 
     model.__class__ = Watched
-    assert len(list(model.stream("the▁" * 20000))) > 0
+    assert len(list(model.stream(run * 20000))) > 0
     assert longest <= 8 * model.longest
 
 
+def test_paths_that_never_meet():
+    """Pieces of two and of one sign at costs that keep two paths apart: results stay right and time linear."""
+    model = pieces.Pieces([("ab", 0), ("ba", 1), ("a", 2), ("b", 3)], list(range(4, 260)))
+    model.cost = {"ab": (1, 0), "ba": (1, 1), "a": (1000, 2), "b": (1000, 3)}
+    model.tails = dict(model.cost)
+    for n in (1, 2, 30, 31):
+        assert list(model.stream("ab" * n)) == plain_viterbi(model, "ab" * n)
+    assert list(model.stream("ab" * 200000)) == [0] * 200000
+
+
 def test_main_text_without_the_rest():
     page = ("<html><head><title>t</title></head><body><header>Site</header><nav><a href=x>Home</a></nav><div class='cookie-notice'>We use cookies</div>"
             "<main><h1>A title</h1><p>The first &eacute;\n paragraph of the text is here and it is long enough to be judged on its own.</p>"
