@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,7 @@ ARROW_BATCH_BYTES = 64 << 20
 
 _local_scratch: dict[str, str] = {}
 _shipped: set[str] = set()
+_open: list[list[str]] = []      # paths written inside each ``passing`` block that is open
 
 
 def build_session(app: str = "recordmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -76,5 +79,28 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for paths in _open[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stage`` writes inside the block are deleted at its end.
+
+    What is to outlive the block must have been written elsewhere by then; a result that still reads a staged table must not leave it.
+    """
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
