@@ -4,9 +4,9 @@ One hash evaluation per shingle and permutation gives two signature rows, its mi
 signature has twice as many rows as there are permutations. Bands of the signature are bucket keys.
 
 * Equal shingle sets fall into one class first; only classes go on, so a hot group of copies is one class.
-* In a bucket each class is compared with one representative, never with all others. Where members of a bucket are still in
-  different components, later rounds take other representatives (another one in every bucket), and what no round has joined
-  is at last compared across components, so no candidate pair is left undecided.
+* In a bucket each class is compared with one representative, never with all others; a second round takes another one in every bucket.
+* Members of buckets that are then still in several components meet in an exact set join (``similar_pairs``): by the rarest of
+  their shingles, not by bucket, so texts that share a long passage but stay below the threshold make no pairs. No link is left out.
 * Nothing is collected; each round's state is a written table in the shared folder.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordmill.llm import bytewise as B
@@ -153,20 +153,54 @@ def _near_size(percent: int):
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
+def similar_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of ``rows`` (class, label, n) with different labels: every pair whose sets are similar enough, and few others.
+
+    All shingles are put in one order, the rarest first; those that only one label holds come first of all, as no such pair shares them.
+    If two sets of sizes n and m, whose first common shingle stands at places i and j, are similar enough, then 1 + min(n - i, m - j)
+    is at least the overlap they need, and i and j lie in the first n - ceil(percent / 100 * n) + 1 shingles. Only these are joined, and
+    only at such places. ``sets`` has doc_id and shingles.
+    """
+    held = rows.join(sets, rows["class"] == sets["doc_id"]).select("class", "label", "n", F.explode("shingles").alias("token"))
+    shared = held.groupBy("token").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shared = stage(shared.where("low <> high").select("token", "df"), "shared_tokens")
+    met = join_counted(held, shared.withColumn("rows", F.col("df")), ["token"], "rows").select("class", "label", "n", "token", "df")
+    # Places count from 1; the shingles of one label only stand before all of these.
+    of = Window.partitionBy("class")
+    place = F.col("n") - F.count("*").over(of) + F.row_number().over(of.orderBy("df", "token"))
+    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    heads = met.withColumn("place", place).where(F.col("place") <= first).select("class", "label", "n", "token", "place")
+    heads = stage(heads, "heads")
+    # A shingle at the head of very many sets is dealt to several tasks; such shingles are at most as many as PARTS.
+    share = max(heads.count() // PARTS, PART_PAIRS)
+    parts = F.ceil(F.col("count") / share).cast("int").alias("parts")
+    hot = stage(heads.groupBy("token").count().where(F.col("count") > share).select("token", parts), "hot")
+    dealt = heads.join(hot, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = dealt.select("token", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), "class", "label", "n", "place")
+    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    right = dealt.select("token", copies, *[F.col(c).alias(f"other_{c}") for c in ("class", "label", "n", "place")])
+    rest = 1 + F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
+    enough = (100 + percent) * rest >= percent * (F.col("n") + F.col("other_n"))
+    near_size = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
+    found = left.join(right, ["token", "part"]).where((F.col("class") < F.col("other_class")) & (F.col("label") != F.col("other_label")) & near_size & enough)
+    return found.select(F.col("class").alias("a"), F.col("other_class").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Group documents whose sets of ``k``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased. Returns doc_id, n_shingles, component_id (the
     smallest doc_id reachable over links) and kept (doc_id = component_id), one row per input row. A text with fewer than k
     words is one shingle. Null and empty texts have no shingles and stay alone. A repeated doc_id with the same text is one
-    node. Other columns of ``docs`` are ignored. An empty table gives an empty result.
+    node; of several texts of one doc_id, one stands for it where links are confirmed, so number such rows first. A row with a null
+    doc_id is no node: component_id null, kept. Other columns of ``docs`` are ignored. An empty table gives an empty result.
 
     Sets are compared as 64-bit hashes of whole shingles. A pair at the threshold shares no band with probability
     (1 - 0.8 ** rows) ** bands, about 5e-6 as set here; more similar pairs are missed far less.
     """
     signed = stage(signatures(docs, k, bands, rows), "signatures")
     classes = (
-        signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles")
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
         .agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     )
     classes = stage(classes, "classes")
@@ -192,11 +226,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
         if turn < STAR_ROUNDS:
             pairs = join_counted(now, split, ["bucket"], "rows").where("label <> rep.label").select(
                 F.col("class").alias("x"), F.col("rep.class").alias("y"), F.col("n").alias("n_a"), F.col("rep.n").alias("n_b"))
+            pairs = pairs.where(_near_size(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:  # whatever is still apart within a bucket
-            left = now.join(split.select("bucket"), "bucket")
-            right = left.select("bucket", F.col("class").alias("y"), F.col("n").alias("n_b"), F.col("label").alias("other"))
-            pairs = left.withColumnsRenamed({"class": "x", "n": "n_a"}).join(right, "bucket").where("x < y and label <> other").select("x", "y", "n_a", "n_b")
-        pairs = pairs.where(_near_size(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            still = join_counted(now, split, ["bucket"], "rows", "left_semi").select("class", "label", "n").distinct()
+            pairs = similar_pairs(stage(still, "apart"), sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
@@ -214,8 +247,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80, bands: int =
     key = ["set_a", "set_b", "n_shingles"]
     named = classes.select(*key, "class", "copies").join(labels, "class", "left").select(*key, "copies", F.coalesce("label", "class").alias("label"))
     rows = signed.select("doc_id", *key)
-    found = join_counted(rows.where("n_shingles > 0"), stage(named, "named"), key, "copies").select("doc_id", "n_shingles", "label")
-    alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("label"))
+    found = join_counted(rows.where("n_shingles > 0 and doc_id is not null"), stage(named, "named"), key, "copies").select("doc_id", "n_shingles", "label")
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("label"))
     return found.union(alone).select(
         "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"),
-    ).withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    ).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))

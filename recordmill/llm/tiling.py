@@ -146,10 +146,9 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, percent: int = PERCENT
     sizes = items.select("item_id", words.alias("words")).where(F.col("words") >= SEED).groupBy("item_id").agg(F.min("words").alias("words"))
     pairs = shared.join(sizes, "item_id").where(100 * SEED * F.col("found") >= percent * F.col("words")).select("doc_id", "item_id")
     pairs = stage(pairs, "pairs")
-    rows = (
-        pairs.join(items.withColumnRenamed("text", "item"), "item_id")
-        .join(docs.select("doc_id", "text").where("text is not null"), "doc_id").select("doc_id", "item_id", "item", "text")
-    )
+    # Only texts of found documents travel: their few ids are staged, so Spark knows their size.
+    found = docs.select("doc_id", "text").where("text is not null").join(stage(pairs.select("doc_id").distinct(), "found"), "doc_id", "left_semi")
+    rows = pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(found, "doc_id").select("doc_id", "item_id", "item", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

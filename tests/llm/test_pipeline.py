@@ -55,3 +55,19 @@ def test_rows_are_judged_one_by_one(spark):
         (3, near), (7, c), (8, words("d")), (None, a)]
     item = next(x.text for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if x.text and len(x.text.split()) >= 8)
     assert run(P._decontaminate, (9, item), (9, a), (None, item), (None, b)) == [(9, a), (None, b)]
+
+
+def test_columns_of_any_name_go_through(spark):
+    """Columns named like the stages' own, empty tables, null and very long texts."""
+    schema = "doc_id long, text string, lang string, source string, _row int, `group` string, `n.m` int, _ROW_ int, id int, kept int, rows int"
+    long = " ".join(f"w{i}" for i in range(60000))
+    docs = spark.createDataFrame([
+        (1, long, "en", "s", 5, "g", 7, 8, 9, 1, 2), (2, None, None, None, 6, None, 8, None, 1, None, 3), (3, "", "en", None, 6, "", 8, 4, 1, 0, 3)], schema)
+    for name, step in P.STAGES[:-1]:
+        assert stage(step(spark, docs.where("false"), SF), name).collect() == []
+        got = stage(step(spark, docs, SF), name)
+        assert got.columns == docs.columns
+        want = [1] if name == "quality_rules" else [1, 2, 3]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted((tuple(r) for r in docs.collect() if r.doc_id in want), key=str)
+    assert {(r.doc_id, r.n_ids > 0, r.ids is None) for r in P.STAGES[-1][1](spark, docs, SF).collect()} == {
+        (1, True, False), (2, False, True), (3, False, False)}
