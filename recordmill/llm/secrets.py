@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from recordmill.llm.automaton import compile_rules
 from recordmill.llm.tables import texts
@@ -182,7 +183,9 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             masked = pa.array([t and redact(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield batch.set_column(at, "text", masked)
+            yield batch.set_column(at, plain.names[at], masked)
 
-    out = docs.mapInArrow(run, docs.schema)
+    # Columns pass by place: a name may hold a dot.
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])
+    out = docs.toDF(*plain.names).mapInArrow(run, plain).toDF(*names)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
