@@ -29,7 +29,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 COST_UNIT = 1 << 20
 BYTE_COST = 16 * COST_UNIT  # more than any piece costs: bytes are used where no piece fits
-CACHED_WORDS = 1 << 17      # words of up to CACHED_CHARS whose ids a worker keeps
+CACHED_WORDS = 1 << 18      # words of up to CACHED_CHARS whose ids a worker keeps
 CACHED_CHARS = 32
 PART_CHARS = 1 << 18        # characters of a text, or ids of one, that are handled at once
 PART_ROWS = 256
@@ -57,6 +57,16 @@ class _Words(dict):
         return ids
 
 
+def _tails(cost: dict[str, tuple[int, int]]) -> dict:
+    """The pieces read backwards as a tree: for a character, what is known of the piece that begins there, and what may stand before."""
+    top: dict = {}
+    for piece in sorted(cost, key=len):
+        level = top
+        for i in range(len(piece) - 1, -1, -1):
+            level = level.setdefault(piece[i], (cost.get(piece[i:]), {}))[1]
+    return top
+
+
 class Pieces:
     """A vocabulary: pieces with ids and costs, and the ids of the 256 bytes.
 
@@ -67,8 +77,7 @@ class Pieces:
     def __init__(self, table: list[tuple[str, int]], byte_ids: list[int]) -> None:
         self.cost = {piece: (round(math.log(2 + rank) * COST_UNIT), i) for rank, (piece, i) in enumerate(table)}
         self.longest = max((len(p) for p in self.cost), default=1)
-        # Where the search for longer pieces may go on, with cost and id where a piece is reached.
-        self.tails = {p[i:]: self.cost.get(p[i:]) for p in self.cost for i in range(len(p))}
+        self.tails = _tails(self.cost)
         self.byte_ids = byte_ids
         spelled = {i: piece.replace(BLANK, " ").encode() for piece, i in table}
         spelled.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
@@ -87,21 +96,22 @@ class Pieces:
         ``sizes`` and ``pieces`` hold, for every place that is not yet final, the best last piece that ends there; a character
         spelled in bytes is held as the complement of its code point.
         """
-        tail, longest = self.tails.get, self.longest
+        top, longest = self.tails, self.longest
+        nowhere = (None, None)
         recent, costs = "", [0]
         sizes, pieces, check = array("i"), array("i"), 2 * longest
         for char in chars:
             recent += char
-            size, (last, piece) = 1, tail(char) or (BYTE_COST * len(char.encode()), ~ord(char))
-            least = last + costs[-1]
-            for back in range(2, len(recent) + 1):
-                hit = tail(recent[-back:], 0)
+            hit, level = top.get(char, nowhere)
+            size, (last, piece) = 1, hit or (BYTE_COST * len(char.encode()), ~ord(char))
+            least, back = last + costs[-1], 1
+            while level and back < len(recent):
+                back += 1
+                hit, level = level.get(recent[-back], nowhere)
                 if hit:
                     cost = hit[0] + costs[-back]
                     if cost < least or cost == least and hit[0] * size > last * back:
                         least, size, (last, piece) = cost, back, hit
-                elif hit == 0:
-                    break
             costs.append(least)
             sizes.append(size)
             pieces.append(piece)
