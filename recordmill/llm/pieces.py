@@ -15,7 +15,7 @@ import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,10 @@ class _Words(dict):
         super().__init__()
         self.stream, self.former = stream, {}
 
+    def clear_all(self) -> None:
+        self.clear()
+        self.former = {}
+
     def __missing__(self, word: str) -> bytes:
         ids = self.former.get(word)
         if ids is None:
@@ -77,7 +81,6 @@ class Pieces:
     def __init__(self, table: list[tuple[str, int]], byte_ids: list[int]) -> None:
         self.cost = {piece: (round(math.log(2 + rank) * COST_UNIT), i) for rank, (piece, i) in enumerate(table)}
         self.longest = max((len(p) for p in self.cost), default=1)
-        self.tails = _tails(self.cost)
         self.byte_ids = byte_ids
         spelled = {i: piece.replace(BLANK, " ").encode() for piece, i in table}
         spelled.update({i: bytes([b]) for b, i in enumerate(byte_ids)})
@@ -89,6 +92,10 @@ class Pieces:
         self.by_words = not any(BLANK in p.lstrip(BLANK) for p in self.cost)
         self.words = _Words(self.stream)
 
+    @cached_property
+    def tails(self) -> dict:
+        return _tails(self.cost)
+
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of the cheapest segmentation, each as soon as it is certain; of equally cheap ones that with the dearer last piece
         a character wins, then that with the shorter one.
@@ -223,6 +230,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=given.is_null())
                 yield pa.RecordBatch.from_arrays([part.column(0), held], ["doc_id", "ids"])
+        model.words.clear_all()  # the worker may wait long for its next task
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
