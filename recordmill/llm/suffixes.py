@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from recordmill.llm import bytewise as B
 from recordmill.llm.tables import join_counted, texts
-from recordmill.session import stage
+from recordmill.session import delete, passing, scratch_path, stage
 
 LENGTH = 400
 GRAM = 32
@@ -143,18 +143,21 @@ def _judge(ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """doc (hash of id and text), first and last: ranges of places at which a string of ``length`` bytes starts that starts elsewhere too."""
-    keyed = _keyed(docs)
-    ranges = stage(_first_ranges(keyed, length, gram), "ranges")
-    found, rest = _judge(ranges)
-    out = [found]
-    for size in (block, 1):
-        ranges = stage(_finer_ranges(keyed, rest, length, size), "ranges")
-        found, rest = _judge(ranges)
-        out.append(found)
-    spans = out[0].select("doc", "first", "last")
-    for more in out[1:]:
-        spans = spans.union(more.select("doc", "first", "last"))
-    return spans
+    spark, keyed = docs.sparkSession, _keyed(docs)
+    out, rest, held = [], None, None
+    for size in (0, block, 1):
+        repeated, left = scratch_path(spark, "repeated"), scratch_path(spark, "open")
+        with passing(spark):  # a round's ranges and buckets are deleted once its result is written
+            ranges = stage(_finer_ranges(keyed, rest, length, size) if size else _first_ranges(keyed, length, gram), "ranges")
+            found, still = _judge(ranges)
+            found.select("doc", "first", "last").write.parquet(repeated)
+            if size != 1:
+                still.write.parquet(left)
+        if held:
+            delete(spark, held)
+        out.append(spark.read.schema("doc long, first int, last int").parquet(repeated))
+        rest, held = (spark.read.schema(_RANGE).parquet(left), left) if size != 1 else (None, None)
+    return out[0].union(out[1]).union(out[2])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
