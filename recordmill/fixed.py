@@ -181,6 +181,12 @@ BASIS_PATTERNS = (
     r"根据[《]?([^》。；\n]+)[》]?[，。]",
     r"违反[了]?[《]?([^》。；\n]+)[》]?",
 )
+# Words without which a pattern, in the same order, cannot match.
+BASIS_ANCHORS = (
+    ("依据", "第", "条"), ("根据", "第", "条"), ("按照", "第", "条"),
+    ("《", "法", "》"), ("《", "规定", "》"), ("《", "办法", "》"), ("《", "条例", "》"),
+    ("依据",), ("根据",), ("违反",),
+)
 BASIS_MIN_RAW = 3
 BASIS_MIN_CLEAN = 5
 
@@ -193,6 +199,8 @@ SUMMARY_PATTERNS = (
     r"(合计罚款[0-9]+万元[^。；\n]*)",
     r"(其中[^。；\n]*[0-9]+万元[^。；\n]*)",
 )
+PERSON_PENALTY_ANCHORS = (("对", "警告并罚款", "万元"), ("对", "罚款", "万元"), ("对", "警告"))
+SUMMARY_ANCHORS = (("合计罚款", "万元"), ("其中", "万元"))
 CLAUSE_START = r"(?=对[^对]*(?:警告|罚款))"
 CLAUSE_WORDS = ("对", "罚款", "万元", "警告")
 PENALTY_WORDS = ("罚款", "警告")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordmill import fixed
 from recordmill.functions import text as T
-from recordmill.operators.reshape import number_rows
+from recordmill.operators.reshape import number_by_counts
 from recordmill.session import stage
 
 
@@ -31,11 +32,48 @@ def page_cap(df: DataFrame, pages: int | None) -> DataFrame:
 
 
 def record_cap(df: DataFrame, records: int | None) -> DataFrame:
-    """The first ``records`` items of each category, however many; a large category spreads over many tasks."""
+    """The first ``records`` items of each category in order of page and ``pos``, however many; null pages come first.
+
+    Items are counted per page and range of pages. Prefix sums tell the range, then the page, in which a category's cap falls;
+    only the items of that page are numbered. No item is sorted or written otherwise, but ``df`` is read three times, once
+    for its categories and pages alone: it should be a stored table.
+    """
     if records is None:
         return df
-    ranked = number_rows(df, [F.col("page"), F.col("pos")], name="_rank", by=["category"])
-    return ranked.where(F.col("_rank") <= records).drop("_rank")
+    pages = stage(df.groupBy("category", "page").agg(F.count("*").alias("_n")), "pages")
+    pages = pages.withColumn("_range", F.shiftright(F.col("page").cast("bigint"), _PAGE_BITS))
+    ranges = pages.groupBy("category", "_range").agg(F.sum("_n").alias("_n"))
+    cut = _crossing(ranges.withColumn("_ahead", F.lit(0)), "_range", records)
+    cut = _crossing(_beside(pages, cut, "_range").select("category", "page", "_n", F.col("_before").alias("_ahead")), "page", records)
+    cut = stage(cut, "cuts")
+    rest = [f"`{c}`" for c in df.columns]
+    reached = df.join(_named(cut), F.col("category").eqNullSafe(F.col("_of_category")), "left")
+    before = F.col("_before").isNull() | (F.col("page") < F.col("_of_page")) | (F.col("page").isNull() & F.col("_of_page").isNotNull())
+    numbered = number_by_counts(_beside(df, cut, "page").select(*rest, "_before"), ["pos"], "_rank", by=["category"])
+    last = stage(numbered.where(F.col("_before") + F.col("_rank") <= records).select(*rest), "last")
+    return reached.where(before).select(*rest).unionByName(last)
+
+
+_PAGE_BITS = 10  # pages of a range
+
+
+def _crossing(counts: DataFrame, at: str, records: int) -> DataFrame:
+    """Of each category the place ``at`` whose items take it to the cap, and how many come ``_before``; none for smaller categories."""
+    earlier = W.partitionBy("category").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_ahead") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    first = F.greatest(F.lit(records), F.lit(1))  # a cap of none falls on the first item
+    return counts.withColumn("_before", before).where(
+        (F.col("_before") < first) & (F.col("_before") + F.col("_n") >= first)).select("category", at, "_before")
+
+
+def _named(cut: DataFrame) -> DataFrame:
+    return cut.withColumnsRenamed({c: f"_of_{c}" for c in cut.columns if c != "_before"})
+
+
+def _beside(rows: DataFrame, cut: DataFrame, at: str) -> DataFrame:
+    """The rows at their category's cut."""
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in ("category", at)]
+    return rows.join(_named(cut), same)
 
 
 def filter_year(df: DataFrame, year: int) -> DataFrame:
