@@ -40,6 +40,7 @@ RULES = (
 )
 KINDS = tuple(r[0] for r in RULES)
 BASE = 3
+LONG_RUN = 64  # bytes of a failed run that may be read again from its next byte
 _VALUE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 
 
@@ -80,24 +81,32 @@ def ends(data: bytes) -> dict[int, int]:
 
 
 @cache
-def _first_bytes(rule: int) -> frozenset[int]:
+def _dead(rule: int) -> int | None:
+    """The state of one rule's table that no match can follow, if any."""
     table, mask = _anchored(rule)
-    dead = next((s for s, row in enumerate(table) if set(row) == {s} and not mask[s]), None)
-    return frozenset(b for b in range(256) if table[0][b] != dead)
+    return next((s for s, row in enumerate(table) if set(row) == {s} and not mask[s]), None)
+
+
+@cache
+def _first_bytes(rule: int) -> frozenset[int]:
+    row, dead = _anchored(rule)[0][0], _dead(rule)
+    return frozenset(b for b in range(256) if row[b] != dead)
 
 
 def spans(data: bytes, rule: int, since: int = 0) -> list[tuple[int, int]]:
-    """Leftmost, longest, non-overlapping matches of one rule, as byte ranges; too short values are passed over."""
+    """Leftmost, longest, non-overlapping matches of one rule, as byte ranges; too short values are passed over.
+
+    A run that fails within LONG_RUN bytes is begun anew one byte on. After a longer one the search goes on with all starts at
+    once (``_first_match``), so a run of any length is not read again for each of its bytes.
+    """
     table, mask = _anchored(rule)
-    dead = next((s for s, row in enumerate(table) if set(row) == {s} and not mask[s]), None)
-    least = RULES[rule][3]
-    begin = _first_bytes(rule)
+    dead, begin, least = _dead(rule), _first_bytes(rule), RULES[rule][3]
     out, at, n = [], since, len(data)
     while at < n:
         if data[at] not in begin:
             at += 1
             continue
-        state, end = 0, -1
+        state, end, i = 0, -1, at
         for i in range(at, n):
             state = table[state][data[i]]
             if state == dead:
@@ -106,13 +115,47 @@ def spans(data: bytes, rule: int, since: int = 0) -> list[tuple[int, int]]:
                 end = i + 1
         if end < 0:
             at += 1
-            continue
+            if i - at < LONG_RUN:
+                continue
+            found = _first_match(data, rule, at)
+            if found is None:
+                break
+            at, end = found
         if not least or _value_length(data, at, end) >= least:
             out.append((at, end))
         at = end
     return out
 
 
+def _first_match(data: bytes, rule: int, since: int) -> tuple[int, int] | None:
+    """The leftmost, then longest match, in one pass: for every state that some start has led to, the earliest such start.
+
+    Starts in one state have the same future, so the earliest stands for them all, and a byte costs at most a step for each state.
+    """
+    table, mask = _anchored(rule)
+    dead, begin = _dead(rule), _first_bytes(rule)
+    starts: dict[int, int] = {}
+    best = None
+    for i in range(since, len(data)):
+        byte = data[i]
+        moved: dict[int, int] = {}
+        for state, start in starts.items():
+            to = table[state][byte]
+            if to != dead and start <= moved.get(to, start):
+                moved[to] = start
+        if best is None and byte in begin:
+            moved.setdefault(table[0][byte], i)
+        for state, start in moved.items():
+            if mask[state] and (best is None or start <= best[0]):
+                best = (start, i + 1)
+        if best:
+            moved = {state: start for state, start in moved.items() if start <= best[0]}
+            if not moved:
+                break
+        starts = moved
+    return best
+
+
 def _value_length(data: bytes, start: int, end: int) -> int:
     """Length of an assignment's value: what stands after its first sign, blanks and a quote."""
     at = start
@@ -157,8 +200,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, the counts n_assign, n_access and n_hex, base_sha256 (of the base rules' spans) and spans (of all rules, as
     kind:start:end in code points, end exclusive, by start and then rule, comma-joined). Null and empty texts have none: counts
-    0, spans ''. Rows are independent, so repeated rows give repeated results; other columns are ignored. The pass is linear in
-    the text's length and keeps one state; spans of different kinds may overlap.
+    0, spans ''. Rows are independent, so repeated rows give repeated results; other columns are ignored. Time is linear in
+    the text's length, also over runs that look like a secret and fail; spans of different kinds may overlap.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
