@@ -47,6 +47,7 @@ MANY_LINKS = 0.5           # share of a block's characters inside links
 LONG, LONG_MARKED = 70, 200  # characters; the latter where an element around the block is marked
 STOPS_LOW, STOPS_HIGH = 0.1, 0.2
 _WORDS = re.compile(r"\w+")
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 GOOD, BAD, OPEN = 1, -1, 0
@@ -208,18 +209,27 @@ def _weight(block: Block) -> int:
     return 0 if block.apart or block.linked > MANY_LINKS * len(block.text) else len(block.text) - block.linked
 
 
-def classify(block: Block, marked: bool) -> int:
-    """A block's own label; a mark that holds lowers it by a step, further for what isn't long."""
+def _width(text: str) -> int:
+    """Length of a text; a sign of the scripts that write words without blanks counts as three letters."""
+    return len(text) + 2 * len(_UNSPACED.findall(text)) if not text.isascii() else len(text)
+
+
+def classify(block: Block, marked: bool, by_length: bool = False) -> int:
+    """A block's own label; a mark that holds lowers it by a step, further for what isn't long.
+
+    A long block without any known stop word may be of another language, or code: it is left open. ``by_length``: such a
+    block is good, for pages on which stop words tell nothing.
+    """
     text, linked, apart, article, *_ = block
     if apart or linked > MANY_LINKS * len(text):
         return BAD
-    if len(text) < (LONG_MARKED if marked else LONG):
+    if _width(text) < (LONG_MARKED if marked else LONG):
         return BAD if marked else OPEN
     words = _WORDS.findall(text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if density >= STOPS_HIGH:
+    if density >= STOPS_HIGH or by_length:
         return OPEN if marked else GOOD
-    if (density >= STOPS_LOW or article) and not marked:
+    if (density >= STOPS_LOW or not density or article) and not marked:
         return OPEN
     return BAD
 
@@ -291,8 +301,8 @@ def _settled(labels: list[int], places: list[int]) -> list[int]:
     return out
 
 
-def _kept(found: list[Block], marked: list[bool]) -> list[str]:
-    labels = [classify(b, m) for b, m in zip(found, marked, strict=True)]
+def _kept(found: list[Block], marked: list[bool], by_length: bool = False) -> list[str]:
+    labels = [classify(b, m, by_length) for b, m in zip(found, marked, strict=True)]
     places = [b.article for b in found]
     settled = _settled(labels, places)
     own = [i for i, m in enumerate(marked) if not (m and places[i])]
@@ -308,7 +318,8 @@ def main_text(html: str | None) -> str:
     element only neighbours that stand in the same one count, and what stands apart there (a note, an advert) or is marked is
     no neighbour of what isn't; with none, the block is good there and bad elsewhere. Blocks outside such elements are bad
     where these have at least as much text as the good blocks outside have, comments and marked blocks aside. A marked block is
-    never good on its own; marks are left out of account on a page that would have no text with them.
+    never good on its own; marks are left out of account on a page that would have no text with them. On a page without any
+    text by stop words, as in a language that STOP_WORDS does not hold, length and links alone decide.
     """
     if not html:
         return ""
@@ -327,8 +338,11 @@ def main_text(html: str | None) -> str:
     chosen = [(b, m) for b, m in zip(found, marked, strict=True) if (not b.apart if b.article else not only)]
     found, marked = [b for b, _ in chosen], [m for _, m in chosen]
     kept = _kept(found, marked)
+    if not kept:
+        kept = _kept(found, marked, True)
     if not kept and any(marked):
-        kept = _kept(found, [False] * len(found))
+        plain = [False] * len(found)
+        kept = _kept(found, plain) or _kept(found, plain, True)
     return "\n".join(kept)
 
 
@@ -336,7 +350,8 @@ def extract_main(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 
     Null and empty pages, and pages without a good block, have the text ''. Rows are independent: repeated rows give repeated
-    results, a null url stays null, other columns are ignored. The reader is linear in the page's length and whole pages are read.
+    results, a null url stays null, other columns are ignored. Whole pages are read, in one pass; only in broken markup
+    (very many tags or comments that never end) does the standard reader search the rest of the page again for each.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
