@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -14,6 +16,7 @@ from recordmill import fixed
 from recordmill.functions import text as X
 from recordmill.operators.reshape import ADDED, category_rank, number_rows
 from recordmill.operators.stats import category_dim
+from recordmill.session import delete
 from recordmill.sources import ledger
 
 RECORD_END = "\x1e"
@@ -52,29 +55,38 @@ def snapshot_name(ts: datetime) -> str:
     return ts.strftime("%Y%m%d_%H%M%S")
 
 
-def write_snapshot(df: DataFrame, root: str, ts: datetime) -> None:
-    """A new dated copy beside the earlier ones; a further one of the same second gets a number, so none is overwritten."""
-    jvm = df.sparkSession.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
-    name = f"snapshot_ts={snapshot_name(ts)}"
-    taken = sum(s.getPath().getName().startswith(name) for s in fs.listStatus(base)) if fs.exists(base) else 0
-    df.write.parquet(f"{root}/{name}-{taken:04d}" if taken else f"{root}/{name}")
+def write_snapshot(df: DataFrame, root: str, ts: datetime, keep: int | None = None) -> None:
+    """A new dated copy beside the earlier ones, named by its time, the moment of writing and a random part.
 
+    So no listing picks the name: writers of one second never meet, and the later one's copy is the newer. With ``keep`` only
+    so many complete copies, the newest, stay once this one is complete; copies that are still being written are left alone.
+    """
+    if keep is not None and keep < 1:
+        raise ValueError("at least the copy just written is kept")
+    spark = df.sparkSession
+    df.write.parquet(f"{root}/snapshot_ts={snapshot_name(ts)}-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}")
+    for old in _complete(spark, root)[:-keep] if keep else ():
+        delete(spark, f"{root}/{old}")
 
-def latest_snapshot(spark: SparkSession, root: str, schema: T.StructType = LEDGER_SCHEMA) -> DataFrame:
-    """The newest complete copy, only whose folder is read; or the ledger that is kept there in parts."""
-    if ledger.is_kept(spark, root):
-        return ledger.read(spark, root)
+
+def _complete(spark: SparkSession, root: str) -> list[str]:
+    """Folders of the copies whose writing ended, oldest first."""
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
     fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     folders = [s.getPath().getName() for s in fs.listStatus(base)] if fs.exists(base) else []
-    done = [
+    return sorted(
         f for f in folders
         if f.startswith("snapshot_ts=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{f}/_SUCCESS"))
-    ]
-    path = f"{root}/{max(done)}" if done else f"{root}/none"
+    )
+
+
+def latest_snapshot(spark: SparkSession, root: str, schema: T.StructType = LEDGER_SCHEMA) -> DataFrame:
+    """The newest complete copy, only whose folder is read; or the ledger that is kept there in parts."""
+    if ledger.is_kept(spark, root):
+        return ledger.read(spark, root)
+    done = _complete(spark, root)
+    path = f"{root}/{done[-1]}" if done else f"{root}/none"
     return scan_master(spark, path, with_added(spark, path, schema))
 
 
