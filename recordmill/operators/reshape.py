@@ -156,6 +156,19 @@ def with_time_key(df: DataFrame) -> DataFrame:
     return df.withColumn("_when", T.parse_time(F.col("publish_time" if published else "crawl_time")))
 
 
+def with_time_keys(df: DataFrame) -> DataFrame:
+    """``_published`` and ``_crawled``, both parsed: for an order in which the crawl time decides where publish times are equal or unreadable."""
+    return df.withColumns({"_published": T.parse_time(F.col("publish_time")), "_crawled": T.parse_time(F.col("crawl_time"))})
+
+
+def first_step(times: list[str]) -> Column:
+    """The day of a row in an order by ``times``, newest first: its first time's, else (far below all of those) its second one's, else null."""
+    if len(times) == 1:
+        return F.to_date(times[0])
+    day, later = (F.unix_date(F.to_date(c)).cast("bigint") for c in times)
+    return F.coalesce(day, later - F.lit(1 << 40))
+
+
 def sort_by_time(df: DataFrame, *ties: str) -> DataFrame:
     """Newest first by the time that orders the table, unreadable ones last; the tie columns (by default the position) make the order total."""
     keys = [F.col(c).asc() for c in ties or ("ingest_pos",)]
@@ -230,21 +243,24 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "seq_no", by: li
 
 
 def number_by_counts(
-    df: DataFrame, order: list[str], name: str = "seq_no", by: list[str] | None = None, newest: str | None = None, place: str | None = None,
+    df: DataFrame, order: list[str], name: str = "seq_no", by: list[str] | None = None, newest: str | list[str] | None = None,
+    place: str | None = None,
 ) -> DataFrame:
-    """Contiguous 1..n (per ``by`` group), newest first by the time ``newest`` if given, then by the columns of ``order``.
+    """Contiguous 1..n (per ``by`` group), newest first by the time ``newest`` (or by the first and then the second of two) if given, then by
+    the columns of ``order``.
 
-    Rows are counted per cell: group, time, the columns before ``place`` and a range of 2 ** PLACE_BITS values of ``place``, a
+    Rows are counted per cell: group, times, the columns before ``place`` and a range of 2 ** PLACE_BITS values of ``place``, a
     whole number (the first of ``order`` unless told). A cell's start comes from prefix sums over those counts, a row's rank
     from its own cell, which a group, day or null time of any size has many of. The input is computed and written once; the
     rows are hashed once by cell, and nothing is sampled or sorted as a whole. ``order`` should be total.
     """
     by = by or []
+    newest = [newest] if isinstance(newest, str) else newest or []
     place = place or order[0]
     ahead = order[: order.index(place)]
     rows = stage(df, "rows").withColumn("_cell", F.shiftright(F.col(place).cast("bigint"), PLACE_BITS))
-    cell = [*by, *([newest] if newest else []), *ahead, "_cell"]
-    first = F.to_date(newest) if newest else F.col(ahead[0]) if ahead else F.shiftright("_cell", RANGE_BITS)
+    cell = [*by, *newest, *ahead, "_cell"]
+    first = first_step(newest) if newest else F.col(ahead[0]) if ahead else F.shiftright("_cell", RANGE_BITS)
 
     def down(c: str, newest_first: bool) -> Column:
         return F.col(c).desc_nulls_last() if newest_first else F.col(c).asc()
@@ -255,7 +271,7 @@ def number_by_counts(
     counts = stage(rows.groupBy(*cell).agg(F.count("*").alias("_n")).withColumn("_first", first), "counts")
     sums = counts.groupBy(*by, "_first").agg(F.sum("_n").alias("_n"))
     sums = stage(sums.withColumn("_ahead", earlier(W.partitionBy(*by).orderBy(down("_first", bool(newest))))).drop("_n"), "sums")
-    inside = W.partitionBy(*by, "_first").orderBy(*[down(c, c == newest) for c in cell[len(by) :]])
+    inside = W.partitionBy(*by, "_first").orderBy(*[down(c, c in newest) for c in cell[len(by) :]])
 
     def same(keys: list[str]) -> list[Column]:
         return [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys]
@@ -270,8 +286,14 @@ def number_by_counts(
     return numbered.select(*df.columns, (F.col("_start") + F.col("_rank")).alias(name))
 
 
-def renumber(df: DataFrame, *ties: str, place: str | None = None) -> DataFrame:
-    """Fresh contiguous ``seq_no`` 1..n, newest first, replacing any old numbers; ``place`` is the whole number among the ties that spreads rows of one time."""
+def renumber(df: DataFrame, *ties: str, place: str | None = None, both_times: bool = False) -> DataFrame:
+    """Fresh contiguous ``seq_no`` 1..n, newest first, replacing any old numbers; ``place`` is the whole number among the ties that spreads rows of one time.
+
+    With ``both_times`` the crawl time orders rows of one publish time, and those without a readable one.
+    """
     ties = ties or ("ingest_pos",)
     whole = place or next((c for c in ties if c in ("ingest_pos", "position", "page")), ties[0])
+    if both_times:
+        keys = ["_published", "_crawled"]
+        return number_by_counts(with_time_keys(df.drop("seq_no")), list(ties), newest=keys, place=whole).drop(*keys)
     return number_by_counts(with_time_key(stage(df.drop("seq_no"), "dated")), list(ties), newest="_when", place=whole).drop("_when")

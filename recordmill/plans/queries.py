@@ -512,8 +512,8 @@ def _mixed_seq() -> Column:
 
 @query
 def e5_sort_by_time(spark, sf):
-    n = R.with_time_key(X.notices(spark, sf).select("ingest_pos", "publish_time", "crawl_time"))
-    return R.number_by_counts(n, ["ingest_pos"], name="place", newest="_when").select("place", "ingest_pos")
+    n = R.with_time_keys(X.notices(spark, sf).select("ingest_pos", "publish_time", "crawl_time"))
+    return R.number_by_counts(n, ["ingest_pos"], name="place", newest=["_published", "_crawled"]).select("place", "ingest_pos")
 
 
 @query
@@ -531,7 +531,7 @@ def e7_sort_by_seq(spark, sf):
 
 @query
 def e8_renumber(spark, sf):
-    return R.renumber(_clean_notices(spark, sf)).select("seq_no", "ingest_pos")
+    return R.renumber(_clean_notices(spark, sf), both_times=True).select("seq_no", "ingest_pos")
 
 
 @query
@@ -557,7 +557,7 @@ def e11_merge_new(spark, sf):
 def e12_upsert_master(spark, sf):
     root = scratch_path(spark, "master")
     for side in (_stored, _arriving):
-        K.append(spark, root, side(_clean_notices(spark, sf)))
+        K.append(spark, root, side(_clean_notices(spark, sf)), both_times=True)
     return K.read(spark, root)
 
 
@@ -644,7 +644,7 @@ def g1_incremental_ingest(spark, sf):
     root = scratch_path(spark, "ledger")
     stream, last = _arriving_files(spark, sf, 5)
     n = R.fill_decision_number(X.notices(spark, sf, orders=stream))
-    G.start_ingest(n, root, scratch_path(spark, "checkpoint"), compact_every=2).awaitTermination()
+    G.start_ingest(n, root, scratch_path(spark, "checkpoint"), compact_every=2, both_times=True).awaitTermination()
     again = X.notices(spark, sf, orders=last)
     G.append_batch(R.fill_decision_number(again), 4, root)
     return G.read_ingested(spark, root).select("seq_no", "detail_url", "decision_document_number")

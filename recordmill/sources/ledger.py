@@ -1,9 +1,9 @@
 """The kept master: appended parts, found by key through small filters, numbered from counts.
 
 First-wins means that a stored row never changes, so an upsert appends a part with the batch's new rows. Beside its rows a
-part has its keys, dealt into buckets by hash; a filter, 64 bits for every key; and counts per publish time. An upsert reads
-the filters, then of the parts they do not exclude the buckets that the batch touches. A row is stored with its rank among
-the rows of its publish time, which later rows never change; how many rows are newer comes from the counts when the ledger is
+part has its keys, dealt into buckets by hash; a filter, 64 bits for every key; and counts per publish time (in a ledger of
+both times, per publish and crawl time). An upsert reads the filters, then of the parts they do not exclude the buckets that
+the batch touches. A row is stored with its rank among the rows of its time, which later rows never change; how many rows are newer comes from the counts when the ledger is
 read. What is live stands in a numbered manifest that is never overwritten, so readers of an older one go on undisturbed
 while parts are added or merged.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from recordmill.functions import text as X
 from recordmill.operators.master import LEDGER_TEXT, PRIMARY_KEY, first_wins, has_key
-from recordmill.operators.reshape import ADDED, ledger_projection, number_by_counts, renumber
+from recordmill.operators.reshape import ADDED, first_step, ledger_projection, number_by_counts, renumber
 from recordmill.session import stage
 
 BUCKETS = 32
@@ -30,7 +30,6 @@ EMPTY = {"version": 0, "parts": [], "batches": []}
 
 _KEYS = ", ".join(f"{c} string" for c in PRIMARY_KEY) + ", bucket int"
 _BITS = "words bigint, word bigint, bits bigint"
-_COUNTS = "published timestamp, n bigint"
 
 
 # --- manifests ------------------------------------------------------------------------------
@@ -96,12 +95,25 @@ def _read(spark: SparkSession, root: str, kind: str, parts: list[dict], schema)
     return spark.read.schema(schema).option("basePath", f"{root}/{kind}").parquet(*paths)
 
 
-def _row_schema(parts: list[dict]) -> T.StructType:
+def _times(state: dict) -> list[str]:
+    """The times that order a ledger, fixed by its first append."""
+    return state.get("times", ["published"])
+
+
+def _counts_schema(times: list[str]) -> str:
+    return ", ".join([*(f"{c} timestamp" for c in times), "n bigint"])
+
+
+def _same(times: list[str], other: str) -> list:
+    return [F.col(c).eqNullSafe(F.col(f"{other}{c}")) for c in times]
+
+
+def _row_schema(parts: list[dict], times: list[str]) -> T.StructType:
     added = [c for c in ADDED if any(c in p["added"] for p in parts)]
     fields = [T.StructField(c, T.StringType()) for c in LEDGER_TEXT]
     fields += [T.StructField(c, T.DataType.fromDDL(ADDED[c])) for c in added]
     return T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in ("ingest_pos", "batch_id")),
-                         T.StructField("published", T.TimestampType()), T.StructField("place", T.LongType())])
+                         *(T.StructField(c, T.TimestampType()) for c in times), T.StructField("place", T.LongType())])
 
 
 def _hash():
@@ -116,7 +128,7 @@ def _bit():
     return F.expr("shiftleft(1L, cast(pmod(hash, 64) as int))")
 
 
-def _write_part(rows: DataFrame, root: str, name: str, n: int) -> None:
+def _write_part(rows: DataFrame, root: str, name: str, n: int, times: list[str]) -> None:
     """Rows, keys by bucket, filter and counts of one part; ``rows`` is staged."""
     words = 1 << max(n - 1, 1).bit_length()
     rows.write.mode("overwrite").parquet(f"{root}/rows/part={name}")
@@ -126,7 +138,7 @@ def _write_part(rows: DataFrame, root: str, name: str, n: int) -> None:
     marks = keys.select(_word(words).alias("word"), _hash().alias("hash"))
     marks.groupBy("word").agg(F.bit_or(_bit()).alias("bits")).select(F.lit(words).cast("bigint").alias("words"), "word", "bits").write.mode(
         "overwrite").parquet(f"{root}/bits/part={name}")
-    rows.groupBy("published").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{root}/counts/part={name}")
+    rows.groupBy(*times).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{root}/counts/part={name}")
 
 
 def candidate_keys(spark: SparkSession, root: str, state: dict, batch: DataFrame) -> DataFrame:
@@ -148,22 +160,27 @@ def candidate_keys(spark: SparkSession, root: str, state: dict, batch: DataFrame
     return keys.where(F.col("bucket").isin(buckets)).select(*PRIMARY_KEY)
 
 
-def append(spark: SparkSession, root: str, batch: DataFrame, batch_id: int | None = None, at: datetime | None = None) -> DataFrame:
+def append(
+    spark: SparkSession, root: str, batch: DataFrame, batch_id: int | None = None, at: datetime | None = None, both_times: bool = False,
+) -> DataFrame:
     """Append the rows of ``batch`` that the ledger lacks; returns the counts of ``upsert_counts``.
 
     A numbered batch that is already in changes nothing. Parts are written before the manifest that names them, so what a
-    lost writer leaves behind is never read. The batch is computed once.
+    lost writer leaves behind is never read. The batch is computed once. The first append decides whether the ledger is ordered
+    by publish time alone or by ``both_times``, the crawl time coming second.
     """
     for _ in range(100):
         state = manifest(spark, root)
         before = sum(p["rows"] for p in state["parts"])
         if batch_id is not None and _covers(state, batch_id):
             return _counts(spark, before, before, 0, 0)
+        times = _times(state) if state["parts"] else ["published", "crawled"] if both_times else ["published"]
+        parsed = {"published": "publish_time", "crawled": "crawl_time"}
         added = [c for c in ADDED if c in batch.columns]
         position = F.col("ingest_pos" if "ingest_pos" in batch.columns else "seq_no").cast("bigint").alias("ingest_pos")
         rows = stage(batch.select(
             *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in LEDGER_TEXT], *[F.col(c).cast(ADDED[c]).alias(c) for c in added], position,
-            X.parse_time(F.col("publish_time")).alias("published")), "batch")
+            *[X.parse_time(F.col(parsed[c])).alias(c) for c in times]), "batch")
         sizes = rows.agg(F.count("*").alias("rows"), F.count_if(~has_key(list(PRIMARY_KEY))).alias("blank")).first()
         named = stage(first_wins(rows, list(PRIMARY_KEY), "ingest_pos"), "first")
         new = stage(named.join(candidate_keys(spark, root, state, named), list(PRIMARY_KEY), "left_anti"), "new")
@@ -171,17 +188,17 @@ def append(spark: SparkSession, root: str, batch: DataFrame, batch_id: int | Non
         part = {"name": uuid.uuid4().hex, "rows": n, "words": 1 << max(n - 1, 1).bit_length(), "added": added, "dated": dated,
                 "at": at.isoformat() if at else None}
         if n:
-            earlier = _read(spark, root, "counts", state["parts"], _COUNTS).join(
-                new.select(F.col("published").alias("_p")).distinct(), F.col("published").eqNullSafe(F.col("_p")), "left_semi")
-            earlier = earlier.groupBy(F.col("published").alias("_p")).agg(F.sum("n").alias("_before"))
+            earlier = _read(spark, root, "counts", state["parts"], _counts_schema(times)).join(
+                new.select(*[F.col(c).alias(f"_of_{c}") for c in times]).distinct(), _same(times, "_of_"), "left_semi")
+            earlier = earlier.groupBy(*[F.col(c).alias(f"_of_{c}") for c in times]).agg(F.sum("n").alias("_before"))
             if n <= AT_ONCE:
-                ranked = new.withColumn("rank", F.row_number().over(W.partitionBy("published").orderBy("ingest_pos")))
+                ranked = new.withColumn("rank", F.row_number().over(W.partitionBy(*times).orderBy("ingest_pos")))
             else:
-                ranked = number_by_counts(new, ["ingest_pos"], by=["published"], name="rank")
-            placed = ranked.join(earlier, F.col("published").eqNullSafe(F.col("_p")), "left").withColumns({
+                ranked = number_by_counts(new, ["ingest_pos"], by=times, name="rank")
+            placed = ranked.join(earlier, _same(times, "_of_"), "left").withColumns({
                 "place": F.coalesce("_before", F.lit(0)) + F.col("rank"), "batch_id": F.lit(state["version"] if batch_id is None else batch_id).cast("bigint")})
-            _write_part(stage(placed.select(*LEDGER_TEXT, *added, "ingest_pos", "batch_id", "published", "place"), "placed"), root, part["name"], n)
-        after = {"version": state["version"] + 1, "parts": [*state["parts"], part], "batches": _with_batch(state["batches"], batch_id)}
+            _write_part(stage(placed.select(*LEDGER_TEXT, *added, "ingest_pos", "batch_id", *times, "place"), "placed"), root, part["name"], n, times)
+        after = {"version": state["version"] + 1, "parts": [*state["parts"], part], "batches": _with_batch(state["batches"], batch_id), "times": times}
         if _commit(spark, root, after):
             return _counts(spark, before, before + n, sizes["rows"] - n, sizes["blank"])
     raise RuntimeError(f"other writers kept changing {root}")
@@ -202,11 +219,11 @@ def compact(spark: SparkSession, root: str) -> str | None:
     merged = [p for p in state["parts"] if p["rows"]]
     if len(merged) < 2:
         return None
-    rows = _read(spark, root, "rows", merged, _row_schema(merged))
+    rows = _read(spark, root, "rows", merged, _row_schema(merged, _times(state)))
     n = sum(p["rows"] for p in merged)
     part = {"name": uuid.uuid4().hex, "rows": n, "words": 1 << max(n - 1, 1).bit_length(),
             "added": [c for c in ADDED if any(c in p["added"] for p in merged)], "dated": max(p["dated"] for p in merged), "at": merged[-1]["at"]}
-    _write_part(rows, root, part["name"], n)
+    _write_part(rows, root, part["name"], n, _times(state))
     gone = {p["name"] for p in state["parts"]}
     for _ in range(100):
         now = manifest(spark, root)
@@ -244,21 +261,22 @@ def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
 def read(spark: SparkSession, root: str, state: dict | None = None) -> DataFrame:
     """The ledger of the newest (or the given) manifest, numbered newest first: no row is sorted or ranked.
 
-    A row's number is how many rows are newer, from prefix sums over the counts of publish times, plus its rank in its own.
-    Without any readable publish time the crawl time orders, as in ``renumber``.
+    A row's number is how many rows are newer, from prefix sums over the counts of times, plus its rank in its own.
+    Without any readable publish time the crawl time orders, as in ``renumber``; in a ledger of both times it always comes second.
     """
     state = state or manifest(spark, root)
-    rows = _read(spark, root, "rows", state["parts"], _row_schema(state["parts"]))
-    if not any(p["dated"] for p in state["parts"]):
+    times = _times(state)
+    rows = _read(spark, root, "rows", state["parts"], _row_schema(state["parts"], times))
+    if times == ["published"] and not any(p["dated"] for p in state["parts"]):
         return ledger_projection(renumber(rows, "batch_id", "ingest_pos"), added=True)
-    counts = _read(spark, root, "counts", state["parts"], _COUNTS).groupBy("published").agg(F.sum("n").alias("n"))
-    day = stage(counts.withColumn("day", F.to_date("published")), "times")
+    counts = _read(spark, root, "counts", state["parts"], _counts_schema(times)).groupBy(*times).agg(F.sum("n").alias("n"))
+    day = stage(counts.withColumn("day", first_step(times)), "times")
     newer_days = W.orderBy(F.col("day").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     days = stage(day.groupBy("day").agg(F.sum("n").alias("n")).withColumn("newer", F.coalesce(F.sum("n").over(newer_days), F.lit(0))).drop("n"), "days")
-    within = W.partitionBy("day").orderBy(F.col("published").desc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("day").orderBy(*[F.col(c).desc_nulls_last() for c in times]).rowsBetween(W.unboundedPreceding, -1)
     same = day.withColumn("in_day", F.coalesce(F.sum("n").over(within), F.lit(0))).join(days.withColumnRenamed("day", "_day"), F.col("day").eqNullSafe(F.col("_day")))
-    starts = stage(same.select(F.col("published").alias("_at"), (F.col("newer") + F.col("in_day")).alias("_newer")), "starts")
-    numbered = rows.join(starts, F.col("published").eqNullSafe(F.col("_at"))).withColumn("seq_no", F.col("_newer") + F.col("place"))
+    starts = stage(same.select(*[F.col(c).alias(f"_at_{c}") for c in times], (F.col("newer") + F.col("in_day")).alias("_newer")), "starts")
+    numbered = rows.join(starts, _same(times, "_at_")).withColumn("seq_no", F.col("_newer") + F.col("place"))
     return ledger_projection(numbered, added=True)
 
 

@@ -18,23 +18,25 @@ from recordmill.operators.master import PRIMARY_KEY
 from recordmill.sources import ledger
 
 
-def append_batch(batch: DataFrame, batch_id: int, root: str, compact_every: int | None = None) -> None:
+def append_batch(batch: DataFrame, batch_id: int, root: str, compact_every: int | None = None, both_times: bool = False) -> None:
     """Append the rows the ledger lacks as this batch's own part; a redelivered batch changes nothing, merged or not.
 
     Of earlier parts only those are read whose key filter has one of the batch's keys. After every ``compact_every`` batches
     the parts are merged into one.
     """
-    ledger.append(batch.sparkSession, root, batch, batch_id)
+    ledger.append(batch.sparkSession, root, batch, batch_id, both_times=both_times)
     if compact_every and batch_id % compact_every == compact_every - 1:
         ledger.compact(batch.sparkSession, root)
 
 
-def start_ingest(records: DataFrame, root: str, checkpoint: str, compact_every: int | None = None, **trigger) -> StreamingQuery:
+def start_ingest(
+    records: DataFrame, root: str, checkpoint: str, compact_every: int | None = None, both_times: bool = False, **trigger,
+) -> StreamingQuery:
     """Upsert every arriving batch of ledger rows; by default drains what is there and stops."""
     return (
         records.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, root, compact_every))
+        .foreachBatch(lambda batch, batch_id: append_batch(batch, batch_id, root, compact_every, both_times))
         .start()
     )
 
