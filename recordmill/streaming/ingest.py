@@ -17,6 +17,8 @@ from recordmill import fixed
 from recordmill.operators.master import PRIMARY_KEY
 from recordmill.sources import ledger
 
+STATE_BUCKETS = 1024  # fixed for the life of a checkpoint
+
 
 def append_batch(batch: DataFrame, batch_id: int, root: str, compact_every: int | None = None, both_times: bool = False) -> None:
     """Append the rows the ledger lacks as this batch's own part; a redelivered batch changes nothing, merged or not.
@@ -56,35 +58,55 @@ def mark_repeats(stream: DataFrame, keys: list[str], time: str, within: str, ord
 
     No row is dropped: late ones, older than the watermark, are for the ledger's own dedup. Of one batch the row of smallest
     ``order`` is first; of a key with very many rows at once several may be marked so, each smaller than those before. The
-    state is one time per key and goes when the key has not come for ``live`` (by default ``within``) of processing time.
+    state is one time per key and goes when it is ``within`` behind the watermark, or when the key has not come for ``live``
+    (by default ``within``) of processing time. Keys are dealt into ``STATE_BUCKETS`` buckets, each a call and a state of its
+    own, so a batch costs a call for every bucket it touches, not for every key.
     To be started inside ``without_empty_batches``.
     """
     within_ms, live_ms = (_milliseconds(x) for x in (within, live or within))
+    names = stream.columns
+    key, bucket = (_free(name, names) for name in ("_key", "_bucket"))
 
-    def marked(key, chunks, state):
-        if state.hasTimedOut:
+    def marked(_, chunks, state):
+        if state.hasTimedOut:  # no key of the bucket has come for so long
             state.remove()
             return
-        watermark = state.getCurrentWatermarkMs()
-        known = state.exists and state.get[0] + within_ms >= watermark
-        least = None  # the smallest place marked first in this batch: chunks of a large group come in any order
+        watermark, now = state.getCurrentWatermarkMs(), state.getCurrentProcessingTimeMs()
+        held = {k: (at, until) for k, at, until in zip(*state.get, strict=True) if at + within_ms >= watermark} if state.exists else {}
+        least = {}  # the smallest place of a key marked first in this batch: chunks of a large group come in any order
+        firsts, came = {}, set()
         for chunk in chunks:
-            at, place = chunk[time].to_numpy().astype("datetime64[ms]").astype("int64"), chunk[order].to_numpy()
+            at, place, who = chunk[time].to_numpy().astype("datetime64[ms]").astype("int64"), chunk[order].to_numpy(), chunk[key].to_numpy()
             marks = np.where(at < watermark, "late", "repeat").astype(object)
-            timely = np.flatnonzero(at >= watermark)
-            if not known and len(timely):
-                best = timely[place[timely].argmin()]
-                if least is None or place[best] < least:
-                    least, marks[best] = place[best], "first"
-                    state.update((int(at[best]),))
-            chunk["mark"] = marks
-            yield chunk
-        if state.exists:
+            best = {}
+            for i in np.flatnonzero(at >= watermark):
+                k = who[i]
+                if k not in held and (k not in best or place[i] < place[best[k]]):
+                    best[k] = i
+            for k, i in best.items():
+                if k not in least or place[i] < least[k]:
+                    least[k], marks[i], firsts[k] = place[i], "first", int(at[i])
+            came.update(who)
+            yield chunk[names].assign(mark=marks)
+        kept = {k: (at, now + live_ms if k in came else until) for k, (at, until) in held.items() if k in came or until > now}
+        kept.update({k: (at, now + live_ms) for k, at in firsts.items()})
+        if kept:
+            state.update((list(kept), [at for at, _ in kept.values()], [until for _, until in kept.values()]))
             state.setTimeoutDuration(live_ms)
+        elif state.exists:
+            state.remove()
 
     schema = T.StructType([*stream.schema.fields, T.StructField("mark", T.StringType())])
-    return stream.withWatermark(time, within).groupBy(*keys).applyInPandasWithState(
-        marked, schema, "at bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    whole = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+    dealt = stream.withWatermark(time, within).withColumn(key, whole).withColumn(bucket, F.pmod(F.xxhash64(key), F.lit(STATE_BUCKETS)))
+    return dealt.groupBy(bucket).applyInPandasWithState(
+        marked, schema, "keys array<string>, at array<bigint>, until array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _milliseconds(interval: str) -> int:
