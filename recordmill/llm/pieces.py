@@ -105,24 +105,27 @@ class Pieces:
         """
         top, longest = self.tails, self.longest
         nowhere = (None, None)
-        recent, costs = "", [0]
-        sizes, pieces, check = array("i"), array("i"), 2 * longest
+        recent, costs = [], [0]
+        sizes, pieces, check = [], [], 2 * longest
+        window = 4 * longest
         for char in chars:
-            recent += char
+            at = len(recent)
+            recent.append(char)
             hit, level = top.get(char, nowhere)
-            size, (last, piece) = 1, hit or (BYTE_COST * len(char.encode()), ~ord(char))
-            least, back = last + costs[-1], 1
-            while level and back < len(recent):
-                back += 1
-                hit, level = level.get(recent[-back], nowhere)
+            last, piece = hit or (BYTE_COST * len(char.encode()), ~ord(char))
+            least, start, end = last + costs[at], at, at + 1
+            while level and at:
+                at -= 1
+                hit, level = level.get(recent[at], nowhere)
                 if hit:
-                    cost = hit[0] + costs[-back]
-                    if cost < least or cost == least and hit[0] * size > last * back:
-                        least, size, (last, piece) = cost, back, hit
+                    own, of = hit
+                    cost = own + costs[at]
+                    if cost < least or cost == least and own * (end - start) > last * (end - at):
+                        least, start, last, piece = cost, at, own, of
             costs.append(least)
-            sizes.append(size)
+            sizes.append(end - start)
             pieces.append(piece)
-            if len(costs) > 4 * longest:
+            if end >= window:
                 recent, costs = recent[-longest:], costs[-longest - 1 :]
             if len(sizes) >= check:
                 edge = self._meeting(sizes)
@@ -131,7 +134,7 @@ class Pieces:
                 check = 2 * max(longest, len(sizes))
         yield from self._ids(sizes, pieces, len(sizes))
 
-    def _meeting(self, sizes: array) -> int:
+    def _meeting(self, sizes: list[int]) -> int:
         """The last boundary that lies on the paths to all places a further piece may start from."""
         n = len(sizes)
         first = max(n - self.longest + 1, 0)
@@ -145,7 +148,7 @@ class Pieces:
                 alive[back] = 1
             n -= 1
 
-    def _ids(self, sizes: array, pieces: array, end: int) -> list[int]:
+    def _ids(self, sizes: list[int], pieces: list[int], end: int) -> list[int]:
         out: list[int] = []
         while end:
             piece = pieces[end - 1]
