@@ -38,9 +38,12 @@ def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; null and empty texts stay."""
+    """Documents that hold a benchmark item go; null and empty texts stay.
+
+    The found numbers are staged: Spark knows how few they are, and the texts need not be shuffled to leave them out.
+    """
     rows, seen, number = _numbered(docs)
-    found = _rows(contaminated_pairs(seen, table(prepare(spark), sf_dir, "benchmark")), number).distinct()
+    found = stage(_rows(contaminated_pairs(seen, table(prepare(spark), sf_dir, "benchmark")), number).distinct(), "found")
     return rows.join(found, number, "left_anti").select(*_all(docs))
 
 
