@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from os.path import commonprefix
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +26,8 @@ TYPO_EVERY = 199
 HELD = 1 << 17             # distinct words a task adds up before it passes them on
 BROADCAST_EDGES = 1 << 16  # a level of so many edges is left to Spark's own choice
 ROWS = 256
-_RUN = regex.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_KEPT = {**{c: c + 32 for c in range(65, 91)}, **{c: c for c in range(97, 123)}, **{c: c for c in range(0xC0, 0x100)}}
+_LETTERS = bytes(_KEPT.get(c, 32) for c in range(256))  # of Latin-1: letters of words, A-Z lower-cased, all else blanks
 _FORWARDS, _BACKWARDS = ">", "<"
 
 
@@ -39,10 +38,11 @@ def word_counts(docs: DataFrame, typo_every: int | None = TYPO_EVERY) -> DataFra
     crc32 that it divides loses one letter of that word, wherever the document has it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
+        total: Counter[bytes] = Counter()
 
         def counted() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            words = pa.array([word.decode("latin-1") for word in total], pa.string())
+            made = pa.RecordBatch.from_arrays([words, pa.array(list(total.values()), pa.int64())], ["word", "n"])
             total.clear()
             return made
 
@@ -50,11 +50,16 @@ def word_counts(docs: DataFrame, typo_every: int | None = TYPO_EVERY) -> DataFra
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for word, n in Counter(_RUN.findall((text or "").translate(_LOWER))).items():
-                        if typo_every and (h := zlib.crc32(f"{'' if doc is None else doc}:{word}".encode())) % typo_every == 0:
-                            cut = h % len(word)
-                            word = word[:cut] + word[cut + 1 :]
-                        total[word] += n
+                    # A letter of a word is one byte of Latin-1, and no other character becomes one.
+                    words = (text or "").encode("latin-1", "replace").translate(_LETTERS).split()
+                    total.update(words)
+                    if typo_every:
+                        typos = dict(_typos(words, "" if doc is None else str(doc), typo_every))
+                        for word, n in Counter(filter(typos.__contains__, words)).items():
+                            total[word] -= n
+                            if not total[word]:
+                                del total[word]
+                            total[typos[word]] += n
                     if len(total) > HELD:
                         yield counted()
         yield counted()
@@ -63,6 +68,16 @@ def word_counts(docs: DataFrame, typo_every: int | None = TYPO_EVERY) -> DataFra
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _typos(words: list[bytes], doc: str, every: int) -> Iterator[tuple[bytes, bytes]]:
+    """The distinct words (Latin-1) that lose a letter in this document, and what is left of them."""
+    ahead = zlib.crc32(f"{doc}:".encode())
+    for word in set(words):
+        h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), ahead)
+        if h % every == 0:
+            cut = h % len(word)
+            yield word, word[:cut] + word[cut + 1 :]
+
+
 # --- the trie -------------------------------------------------------------------------------
 
 
