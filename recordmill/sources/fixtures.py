@@ -118,7 +118,7 @@ def detail_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = f"concat({heads}, {_row_sql(repr('1'), 'party', *shared, attrs=spans)}, {second})"
     top = """<html><head><script>var a="<td>x</td>";</script></head><body><table class="nav"><tr><td>首页</td></tr></table>"""
     time = """<div><span class="ng-binding">发布时间：', string(order_day), '</span></div><!-- <table> -->"""
-    n = spread(notices(spark, sf_dir)).selectExpr("*", "ingest_pos AS k", "coalesce(entity_name, '') AS party")
+    n = spread(notices(spark, sf_dir), table(spark, sf_dir, "orders")).selectExpr("*", "ingest_pos AS k", "coalesce(entity_name, '') AS party")
     return n.selectExpr(
         f"CASE WHEN startswith(detail_url, 'http') THEN detail_url ELSE concat('{SITE}', detail_url) END AS url",
         f"""concat('{top}{time}<table border="1" class="', CASE WHEN k % 2 = 0 THEN 'MsoTableGrid' ELSE 'MsoNormalTable' END,

@@ -31,3 +31,11 @@ def test_only_the_told_element_is_read():
 
 def test_pages_are_dealt_over_several_tasks_a_core(spark):
     assert X.detail_html(spark, SF).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_dealing_runs_no_join_ahead(spark):
+    """Only the footers of the four tables read are looked at."""
+    spark.sparkContext.setJobGroup("deal", "dealing")
+    X.detail_html(spark, SF)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("deal")) <= 4
+    spark.sparkContext.setJobGroup("", "")
