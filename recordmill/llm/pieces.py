@@ -12,7 +12,6 @@ Ids are not those of the model's own merges (see ``Pieces``); decoding gives bac
 from __future__ import annotations
 
 import math
-import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
@@ -33,13 +32,11 @@ CACHED_WORDS = 1 << 18      # words of up to CACHED_CHARS whose ids a worker kee
 CACHED_CHARS = 32
 PART_CHARS = 1 << 18        # characters of a text, or ids of one, that are handled at once
 PART_ROWS = 256
-# A word and the blanks before it.
-_WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_WORD_END = re.compile(f"[^{BLANK}]{BLANK}")
+PAIR_BITS = 20              # of the hash of two neighbouring characters
 
 
 class _Words(dict):
-    """Ids of words as bytes, made when first asked for. When full it starts anew and asks the former one first."""
+    """Ids of words (what lies between two certain boundaries) as bytes, made when first asked for. When full it starts anew and asks the former one first."""
 
     def __init__(self, stream) -> None:
         super().__init__()
@@ -61,6 +58,12 @@ class _Words(dict):
         return ids
 
 
+def _pairs(text: str) -> np.ndarray:
+    """The hash of every character and the one after it."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return (codes[:-1] * np.uint32(0x9E3779B1) ^ codes[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - PAIR_BITS)
+
+
 def _tails(cost: dict[str, tuple[int, int]]) -> dict:
     """The pieces read backwards as a tree: for a character, what is known of the piece that begins there, and what may stand before."""
     top: dict = {}
@@ -88,10 +91,16 @@ class Pieces:
         self.bytes = np.frombuffer(b"".join(listed), np.uint8)
         self.sizes = np.array([len(x) for x in listed], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        # No piece goes on after a blank that follows something else: every path has a boundary there.
-        self.by_words = not any(BLANK in p.lstrip(BLANK) for p in self.cost)
         self.words = _Words(self.stream)
 
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """For every hash of two neighbours whether no piece holds them."""
+        pairs = "".join({p[i : i + 2] for p in self.cost for i in range(len(p) - 1)})
+        out = np.ones(1 << PAIR_BITS, bool)
+        out[_pairs(pairs)[::2]] = False
+        return out
+
     @cached_property
     def tails(self) -> dict:
         return _tails(self.cost)
@@ -160,13 +169,14 @@ class Pieces:
         return out[::-1]
 
     def _words_of(self, part: str) -> Iterator[list[str]]:
-        """The words of a text, those of about PART_CHARS characters at a time."""
-        at = 0
-        while at < len(part):
-            cut = _WORD_END.search(part, at + PART_CHARS)
-            end = cut.start() + 1 if cut else len(part)
-            yield _WORD.findall(part, at, end)
-            at = end
+        """A text cut between neighbours that no piece holds, as every path has a boundary there; about PART_CHARS characters at a time."""
+        first = 0
+        for at in range(0, len(part), PART_CHARS):
+            cuts = (np.flatnonzero(self.apart[_pairs(part[at : at + PART_CHARS + 1])]) + (at + 1)).tolist()
+            if cuts:
+                yield [part[i:j] for i, j in zip([first, *cuts], cuts)]
+                first = cuts[-1]
+        yield [part[first:]]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text. Its blanks become the blank sign, with one put in front; a blank sign of its own is spelled in bytes."""
@@ -180,10 +190,7 @@ class Pieces:
             part = part.replace(" ", BLANK)
             if not i:
                 part = BLANK + part
-            if self.by_words:
-                out += (b"".join(map(self.words.__getitem__, words)) for words in self._words_of(part))
-            else:
-                out.append(array("i", self.stream(part)).tobytes())
+            out += (b"".join(map(self.words.__getitem__, words)) for words in self._words_of(part))
         return np.frombuffer(b"".join(out), np.int32)
 
     def decode_bytes(self, ids) -> bytes:
