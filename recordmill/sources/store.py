@@ -175,8 +175,9 @@ def _one_tab(line: Column) -> Column:
 def labelled_lines_to_row(lines: DataFrame) -> DataFrame:
     """One row per file with a column per label: the text after the label, the last line winning.
 
-    A line belongs to the first label, in list order, that it contains. The last value per label
-    is a map-side maximum by line number.
+    A line belongs to the first label, in list order, that it contains. Lines are dealt by file before
+    they are sorted for the maximum by line number, so a task sorts one partition of the shuffle, not
+    all lines of its input split.
     """
     label = F.coalesce(*[F.when(F.col("clean").contains(x), F.lit(x)) for x in fixed.LABELLED_FIELDS])
     value = X.strip(F.expr("substr(clean, instr(clean, label) + length(label))"))
@@ -185,7 +186,7 @@ def labelled_lines_to_row(lines: DataFrame) -> DataFrame:
         F.coalesce(F.expr(f"max_by(value, line_no) FILTER (WHERE label = '{x}')"), F.lit("")).alias(x)
         for x in fixed.LABELLED_FIELDS
     ]
-    return labelled.withColumn("value", value).groupBy("file").agg(*last)
+    return labelled.select("file", "line_no", "label", value.alias("value")).repartition("file").groupBy("file").agg(*last)
 
 
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
