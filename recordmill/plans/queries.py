@@ -17,7 +17,7 @@ from recordmill.operators import select as C
 from recordmill.operators import stats as S
 from recordmill.operators import tables as B
 from recordmill.plans import jobs
-from recordmill.session import prepare, scratch_path, widen
+from recordmill.session import prepare, scratch_path, spread, widen
 from recordmill.sources import fixtures as X
 from recordmill.sources import ledger as K
 from recordmill.sources import store as A
@@ -282,7 +282,7 @@ def b15_extract_basis(spark, sf):
 
 @query
 def b16_extract_content(spark, sf):
-    n = X.notices(spark, sf).withColumn("entity_or_x", T.first_nonempty(F.col("entity_name"), F.lit("某机构")))
+    n = spread(X.notices(spark, sf), X.table(spark, sf, "orders")).withColumn("entity_or_x", T.first_nonempty(F.col("entity_name"), F.lit("某机构")))
     return n.withColumn("finding", X.penalty_text()).select("ingest_pos", P.extract_content("finding").alias("content"))
 
 
