@@ -22,7 +22,7 @@ NO_FIELDS = "map<string,string>"
 def explode_cells(pages: DataFrame) -> DataFrame:
     """Every table cell of every page in long form, counted from 1."""
     kept = [c for c in pages.columns if c != "html"]
-    tables = read_parts(pages, "tables").select(*kept, F.explode("tables").alias("t"))
+    tables = read_parts(pages, "tables", fields=("table_no", "rows", "spans")).select(*kept, F.explode("tables").alias("t"))
     rows = tables.select(*kept, "t.table_no", "t.spans", F.posexplode("t.rows").alias("row_at", "cells"))
     cells = rows.select(*kept, "table_no", "spans", "row_at", F.posexplode("cells").alias("cell_at", "text"))
     here = F.get(
@@ -184,7 +184,7 @@ def with_records(df: DataFrame, table: str = "table", out: str = "records", comp
     """Adds all records of one table; the first also carries what the table's text alone tells.
 
     The steps are separate columns because lambdas share no work: what is used twice is
-    computed once, below.
+    computed once, below. Only horizontal tables have their headers mapped and rows read.
     """
     lone = F.lit(None).cast("int")
     is_kv = F.col("_layout") == "key_value"
@@ -196,13 +196,14 @@ def with_records(df: DataFrame, table: str = "table", out: str = "records", comp
     alone = overlay_basis(F.coalesce("_down", F.create_map().cast(NO_FIELDS)), F.col("_basis"))
     single = F.filter(F.array(_record(lone, F.col("_alone"))), lambda r: F.size(F.map_keys(r["fields"])) > 0)
     return (
-        with_horizontal(df, table, "_across", compat)
-        .withColumns({"_layout": classify_layout(table), "_basis": F.expr(basis_sql(f"{table}.text"))})
+        with_horizontal(df.withColumn("_layout", classify_layout(table)).withColumn("_wide", F.when(F.col("_layout") == "horizontal", F.col(table))),
+                        "_wide", "_across", compat)
+        .withColumn("_basis", F.expr(basis_sql(f"{table}.text")))
         .withColumn("_down", F.when(is_kv, parse_key_value(table)))
         .withColumn("_content", F.when(is_kv & (own_content == ""), F.expr(content_sql(f"{table}.text"))).otherwise(F.lit("")))
         .withColumn("_alone", overlay_content(alone, F.col("_content")))
         .withColumn(out, F.when(F.size(across) > 0, across).otherwise(single))
-        .drop("_across", "_layout", "_basis", "_down", "_content", "_alone")
+        .drop("_across", "_layout", "_wide", "_basis", "_down", "_content", "_alone")
     )
 
 
@@ -243,7 +244,7 @@ def extract_nested(pages: DataFrame, compat: bool = False) -> DataFrame:
     """
     kept = [c for c in pages.columns if c != "html"]
     with_source = pages.withColumn("_source_time", source_time(F.col("html")))
-    parts = read_parts(with_source, "times", "tables", candidates_only=True)
+    parts = read_parts(with_source, "times", "tables", candidates_only=True, fields=("table_no", "text", "rows", "grid"))
     hit = F.expr(f"CASE WHEN size(tables) = 1 THEN get(tables, 0) ELSE get(filter(tables, t -> {data_sql('t', compat)}), 0) END")
     chosen = parts.select(
         *kept,
@@ -293,7 +294,7 @@ def keyword_table(pages: DataFrame, keyword: str = fixed.TABLE_KEYWORD) -> DataF
         ),
     )
     first = F.get(F.filter(lines, lambda rows: F.exists(rows, lambda x: x.contains(keyword))), F.lit(0))
-    rows = read_parts(pages, "tables").select(*kept, F.posexplode_outer(first).alias("_at", "line"))
+    rows = read_parts(pages, "tables", fields=("rows",)).select(*kept, F.posexplode_outer(first).alias("_at", "line"))
     return rows.where(F.col("line").isNotNull()).select(*kept, (F.col("_at") + 1).alias("row_no"), "line")
 
 

@@ -174,7 +174,7 @@ def b5_extract_publish_time(spark, sf):
 
 @query
 def b6_select_table(spark, sf):
-    pages = read_parts(X.detail_html(spark, sf), "tables")
+    pages = read_parts(X.detail_html(spark, sf), "tables", fields=("table_no", "marked", "classes"))
     first = F.get(B.select_table(F.col("tables")), F.lit(0))
     single = B.select_single_table(F.col("tables"))
     return pages.select(
@@ -191,14 +191,14 @@ def b7_explode_cells(spark, sf):
     )
 
 
-def _chosen_table(spark, sf) -> DataFrame:
-    pages = read_parts(X.detail_html(spark, sf), "tables", candidates_only=True)
+def _chosen_table(spark, sf, *fields: str) -> DataFrame:
+    pages = read_parts(X.detail_html(spark, sf), "tables", candidates_only=True, fields=fields)
     return pages.select("ingest_pos", F.get("tables", F.lit(0)).alias("table"))
 
 
 @query
 def b8_classify_layout(spark, sf):
-    pages = read_parts(X.detail_html(spark, sf), "tables")
+    pages = read_parts(X.detail_html(spark, sf), "tables", fields=("rows",))
     return pages.select("ingest_pos", F.posexplode("tables").alias("at", "table")).select(
         "ingest_pos", (F.col("at") + 1).cast("bigint").alias("table_no"), B.classify_layout("table").alias("layout")
     )
@@ -209,7 +209,7 @@ def b9_map_header(spark, sf):
     table = F.col("table")
     labels = F.transform(table["rows"], lambda r: F.get(r, F.lit(0)))
     heads = F.when(B.classify_layout("table") == "key_value", labels).otherwise(B.header(table))
-    named = _chosen_table(spark, sf).select(F.explode(heads).alias("header"))
+    named = _chosen_table(spark, sf, "rows").select(F.explode(heads).alias("header"))
     counted = named.groupBy("header").agg(F.count("*").alias("cells"))
     return counted.select(
         "header", "cells",
@@ -230,14 +230,14 @@ def _record_columns(df: DataFrame, *keep: str) -> DataFrame:
 @query
 def b10_parse_horizontal_single(spark, sf):
     horizontal = B.classify_layout("table") == "horizontal"
-    tables = _chosen_table(spark, sf).where(horizontal & (F.size("table.rows") == 2))
+    tables = _chosen_table(spark, sf, "rows", "grid").where(horizontal & (F.size("table.rows") == 2))
     rows = B.with_horizontal(tables, "table", "records").select("ingest_pos", F.explode_outer("records").alias("r"))
     return _record_columns(rows.select("ingest_pos", F.col("r.fields").alias("fields")), "ingest_pos")
 
 
 @query
 def b11_parse_horizontal_multi(spark, sf):
-    tables = read_parts(X.multi_html(spark, sf), "tables").select("group_no", F.get("tables", F.lit(0)).alias("table"))
+    tables = read_parts(X.multi_html(spark, sf), "tables", fields=("rows", "grid")).select("group_no", F.get("tables", F.lit(0)).alias("table"))
     rows = B.with_horizontal(tables, "table", "records").select(
         "group_no", F.size("records").cast("bigint").alias("record_total"), F.explode_outer("records").alias("r")
     )
@@ -252,12 +252,12 @@ def b11_parse_horizontal_multi(spark, sf):
 
 @query
 def b12_has_merged_cells(spark, sf):
-    return _chosen_table(spark, sf).select("ingest_pos", B.has_merged_cells(F.col("table")).alias("merged"))
+    return _chosen_table(spark, sf, "spans").select("ingest_pos", B.has_merged_cells(F.col("table")).alias("merged"))
 
 
 @query
 def b13_expand_spans(spark, sf):
-    grids = _chosen_table(spark, sf).select("ingest_pos", F.posexplode("table.grid").alias("y", "row"))
+    grids = _chosen_table(spark, sf, "grid").select("ingest_pos", F.posexplode("table.grid").alias("y", "row"))
     return grids.select("ingest_pos", "y", F.posexplode("row").alias("x", "text")).select(
         "ingest_pos", (F.col("y") + 1).cast("bigint").alias("row_no"), (F.col("x") + 1).cast("bigint").alias("col_no"), "text"
     )
@@ -265,7 +265,7 @@ def b13_expand_spans(spark, sf):
 
 @query
 def b14_parse_key_value(spark, sf):
-    tables = _chosen_table(spark, sf).where(B.classify_layout("table") == "key_value")
+    tables = _chosen_table(spark, sf, "rows").where(B.classify_layout("table") == "key_value")
     flat = tables.select("ingest_pos", B.parse_key_value("table").alias("fields"))
     return _record_columns(flat, "ingest_pos", "fields").select(
         "ingest_pos", "entity", "violation", "content", "authority",
