@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,24 +26,33 @@ RANGE_BITS = 10  # and without a time so many ranges make one step of the prefix
 
 def normalize_fields(fields: Column) -> Column:
     """Accepted spellings become canonical names; other keys pass; a later key wins."""
-    renames = F.create_map(*[F.lit(x) for pair in fixed.FIELD_ALIASES.items() for x in pair])
-    return F.transform_keys(fields, lambda k, _: F.coalesce(F.try_element_at(renames, k), k))
+    other = {alias: name for alias, name in fixed.FIELD_ALIASES.items() if alias != name}
+    renames = F.create_map(*[F.lit(x) for pair in other.items() for x in pair])
+    # One hashed look tells most names from aliases; the map is searched one by one.
+    return F.transform_keys(fields, lambda k, _: F.when(k.isin(*other), F.try_element_at(renames, k)).otherwise(k))
 
 
 def clean_fields(fields: Column) -> Column:
     """Canonical names, clean values, and amount fields in one form."""
     def value(key, raw):
-        clean = T.clean_value(raw)
+        clean = F.when(raw.rlike(T.BLANK), T.clean_value(raw)).otherwise(raw)
         is_amount = key.isin(*fixed.AMOUNT_FIELDS) & clean.contains("元")
-        return F.when(is_amount, T.standardize_amount(clean)).otherwise(clean)
+        return F.when(is_amount, _once(clean, T.standardize_amount)).otherwise(clean)
 
     return F.transform_values(normalize_fields(fields), value)
 
 
 def exact_amount(fields: Column) -> Column:
     """The amount of a record as collected; its cleaned text is rounded to tenths of 万元 and splits at thousands separators."""
-    named = normalize_fields(fields)
-    return T.amount_yuan(T.first_nonempty(*[T.clean_value(F.try_element_at(named, F.lit(f))) for f in fixed.AMOUNT_FIELDS]))
+    def text(named):
+        return T.first_nonempty(*[T.clean_value(F.try_element_at(named, F.lit(f))) for f in fixed.AMOUNT_FIELDS])
+
+    return _once(_once(normalize_fields(fields), text), lambda t: F.when(t.contains("元"), T.amount_yuan(t)))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used: expressions inside a lambda share no work."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def clean_records(records: DataFrame) -> DataFrame:
