@@ -129,9 +129,11 @@ def _bit():
 
 
 def _write_part(rows: DataFrame, root: str, name: str, n: int, times: list[str]) -> None:
-    """Rows, keys by bucket, filter and counts of one part; ``rows`` is staged."""
+    """Rows, keys by bucket, filter and counts of one part; the rows are computed once and read back for the others."""
     words = 1 << max(n - 1, 1).bit_length()
-    rows.write.mode("overwrite").parquet(f"{root}/rows/part={name}")
+    path = f"{root}/rows/part={name}"
+    rows.write.mode("overwrite").parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     keys = rows.select(*PRIMARY_KEY)
     keys.withColumn("bucket", F.pmod(_hash(), F.lit(BUCKETS)).cast("int")).repartition("bucket").write.mode(
         "overwrite").partitionBy("bucket").parquet(f"{root}/keys/part={name}")
@@ -183,7 +185,7 @@ def append(
             *[X.parse_time(F.col(parsed[c])).alias(c) for c in times]), "batch")
         sizes = rows.agg(F.count("*").alias("rows"), F.count_if(~has_key(list(PRIMARY_KEY))).alias("blank")).first()
         named = stage(first_wins(rows, list(PRIMARY_KEY), "ingest_pos"), "first")
-        new = stage(named.join(candidate_keys(spark, root, state, named), list(PRIMARY_KEY), "left_anti"), "new")
+        new = stage(named.join(candidate_keys(spark, root, state, named), list(PRIMARY_KEY), "left_anti"), "new") if before else named
         n, dated = new.agg(F.count("*").alias("n"), F.count("published").alias("dated")).first()
         part = {"name": uuid.uuid4().hex, "rows": n, "words": 1 << max(n - 1, 1).bit_length(), "added": added, "dated": dated,
                 "at": at.isoformat() if at else None}
@@ -197,7 +199,7 @@ def append(
                 ranked = number_by_counts(new, ["ingest_pos"], by=times, name="rank")
             placed = ranked.join(earlier, _same(times, "_of_"), "left").withColumns({
                 "place": F.coalesce("_before", F.lit(0)) + F.col("rank"), "batch_id": F.lit(state["version"] if batch_id is None else batch_id).cast("bigint")})
-            _write_part(stage(placed.select(*LEDGER_TEXT, *added, "ingest_pos", "batch_id", *times, "place"), "placed"), root, part["name"], n, times)
+            _write_part(placed.select(*LEDGER_TEXT, *added, "ingest_pos", "batch_id", *times, "place"), root, part["name"], n, times)
         after = {"version": state["version"] + 1, "parts": [*state["parts"], part], "batches": _with_batch(state["batches"], batch_id), "times": times}
         if _commit(spark, root, after):
             return _counts(spark, before, before + n, sizes["rows"] - n, sizes["blank"])
